@@ -1,0 +1,6 @@
+"""Registered queries of the search and recall operators, with their DuckDB oracles."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
