@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: All line ends of a Unicode text (fixed values).
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: White space as text tools strip it.
-SPACE = r"[\s\x1c-\x1f\x85   -     　]"
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 TOKEN_BREAK = r"[^\p{L}\p{N}\p{Co}]+"
 
 
@@ -51,5 +51,5 @@ def tokens(text: Column) -> Column:
 
 def parse_time(raw: Column) -> Column:
     """A timestamp from ISO text (with or without ``Z``) or epoch seconds; null where it is neither."""
-    epoch = F.timestamp_seconds(F.expr("NULL").cast("double")) if raw is None else F.timestamp_seconds(raw.try_cast("double"))
-    return F.coalesce(F.when(raw.rlike(r"^\d+(\.\d+)?$"), epoch), raw.try_cast("timestamp"))
+    epoch = F.timestamp_seconds(raw.try_cast("double"))
+    return F.when(raw.rlike(r"^\d+(\.\d+)?$"), epoch).otherwise(raw.try_cast("timestamp"))

@@ -64,7 +64,7 @@ def collapse_repeats(turns: DataFrame) -> DataFrame:
 def result_command(text: Column) -> Column:
     """The command of the first line that starts with a prompt, ``command:`` or ``cmd:``; else null."""
     lines = F.transform(split_lines(text), strip)
-    first = F.element_at(F.filter(lines, lambda x: x.rlike(r"(?i)^(?:[$>] |command:|cmd:)")), 1)
+    first = F.get(F.filter(lines, lambda x: x.rlike(r"(?i)^(?:[$>] |command:|cmd:)")), F.lit(0))
     return strip(F.regexp_replace(first, r"(?i)^(?:[$>] |command:|cmd:)", ""))
 
 

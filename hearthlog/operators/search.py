@@ -71,13 +71,12 @@ def normalise_queries(queries: DataFrame) -> DataFrame:
 def prefix_terms(terms: DataFrame, atoms: DataFrame) -> DataFrame:
     """(query_id, atom_id, term): the terms that start with each atom's prefix.
 
-    terms: distinct terms; atoms: query_id, atom_id, prefix. An equi-join for each distinct prefix length.
+    terms: distinct terms; atoms: query_id, atom_id, prefix. An equi-join: every term meets the atoms at
+    its starts of the lengths that prefixes have.
     """
-    out = None
-    for (n,) in atoms.select(F.length("prefix")).distinct().collect():  # as many as query words have lengths
-        part = terms.withColumn("prefix", F.substring("term", 1, n)).join(atoms.where(F.length("prefix") == n), "prefix").select(*ATOM, "term")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else atoms.select(*ATOM, F.col("prefix").alias("term")).limit(0)
+    lengths = sorted(r[0] for r in atoms.select(F.length("prefix")).distinct().collect())  # as many as query words have lengths
+    starts = F.transform(F.filter(F.array(*map(F.lit, lengths or [0])), lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
+    return terms.withColumn("prefix", F.explode(starts)).join(atoms, "prefix").select(*ATOM, "term")
 
 
 def match_atoms(index: Index, queries: DataFrame) -> DataFrame:

@@ -1,6 +1,446 @@
-"""Registered queries of the search and recall operators, with their DuckDB oracles."""
+"""Registered queries of the search and recall operators over the driver's tables, with DuckDB SQL for each.
+
+Conversations, lines of documents and events stand for session logs (see ``sources.adapters``); search
+queries are made from the benchmark items' words, hashes are those that documents hold.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hearthlog.operators import clean, ingest, mentions, search, summarise, windows
+from hearthlog.plans import recall as plans
+from hearthlog.sources import adapters, logs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# DuckDB definitions that the oracles share
+_PROVIDER = "['codex', 'claude', 'gemini'][({}) % 3 + 1]"
+_TURNS = f"turns AS (SELECT {_PROVIDER.format('conv_id')} AS provider, conv_id::VARCHAR AS file, (turn + 1)::BIGINT AS msg_index, role, conv_id * 1000 + turn AS sec, text FROM conversations)"
+_LINES = f"lines AS (SELECT {_PROVIDER.format('doc_id')} AS provider, doc_id::VARCHAR AS file, unnest(range(1, len(t) + 1))::BIGINT AS msg_index, unnest(list_transform(range(len(t)), lambda i: CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END)) AS role, unnest(t) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))"
+_EVENTS = f"evs AS (SELECT {_PROVIDER.format('user_id')} AS provider, user_id::VARCHAR AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS msg_index, event_type AS role, ts, coalesce(props, '') AS text FROM events)"
+_ONE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_TOK = r"list_filter(regexp_split_to_array(lower(strip_accents({})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+_RAW_QUERIES = r"""rq AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN w[1] || ' OR ' || w[2] ELSE w[1] || ' NOT ' || w[3] END AS query
+ FROM (SELECT item_id, regexp_extract_all(text, '[^ \n]+') AS w FROM benchmark))"""
+_QUERIES = rf"""{_RAW_QUERIES},
+qp AS (SELECT query_id, unnest(p) AS p, unnest(range(len(p))) AS ix FROM (SELECT query_id, regexp_extract_all(query, '("[^"]*"|[^ "]+)') AS p FROM rq)),
+qc AS (SELECT *, sum((p = 'OR')::INT) OVER w AS clause_id, coalesce(lag(p) OVER w = 'NOT', false) AS negated FROM qp WINDOW w AS (PARTITION BY query_id ORDER BY ix)),
+atoms AS (SELECT query_id, clause_id::INT AS clause_id, ix AS atom_id, terms, lower(p) NOT IN ('and', 'or', 'not') AS is_prefix, negated FROM (SELECT *, {_TOK.format('p')} AS terms FROM qc WHERE p NOT IN ('AND', 'OR', 'NOT')) WHERE len(terms) > 0)"""
+_INDEX = rf"""{_TURNS}, toks AS (SELECT provider, file, msg_index, role, sec, text, {_TOK.format('text')} AS tk FROM turns),
+post AS (SELECT provider, file, msg_index, unnest(tk) AS term, unnest(range(len(tk))) AS pos FROM toks)"""
+_MATCH = rf"""{_INDEX}, {_QUERIES},
+parts AS (SELECT query_id, atom_id, is_prefix, len(terms) AS n, unnest(terms) AS part, unnest(range(len(terms))) AS ord FROM atoms),
+dict AS (SELECT DISTINCT term FROM post),
+exp AS (SELECT query_id, atom_id, n, ord, term FROM parts JOIN dict ON term = part OR (is_prefix AND ord = n - 1 AND starts_with(term, part))),
+m AS (SELECT query_id, atom_id, provider, file, msg_index, count(*)::BIGINT AS tf FROM (SELECT query_id, atom_id, n, provider, file, msg_index, pos - ord AS start FROM exp JOIN post USING (term) GROUP BY ALL HAVING count(DISTINCT ord) = n) GROUP BY ALL),
+need AS (SELECT query_id, clause_id, count(*) AS needed FROM atoms WHERE NOT negated GROUP BY ALL),
+ok AS (SELECT DISTINCT query_id, provider, file, msg_index FROM (
+  SELECT query_id, clause_id, provider, file, msg_index, count(*) FILTER (NOT negated) AS held, count(*) FILTER (negated) AS barred FROM m JOIN atoms USING (query_id, atom_id) GROUP BY ALL) JOIN need USING (query_id, clause_id) WHERE held = needed AND barred = 0)"""
+_BM25 = f"""{_MATCH}, tot AS (SELECT count(*) AS n_docs, sum(len(tk)) AS total FROM toks),
+pos AS (SELECT m.* FROM m JOIN (SELECT DISTINCT query_id, atom_id FROM atoms WHERE NOT negated) USING (query_id, atom_id)),
+df AS (SELECT query_id, atom_id, greatest(ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)), 0) AS raw, total / n_docs AS mean FROM pos, tot GROUP BY query_id, atom_id, n_docs, total),
+scored AS (SELECT query_id, provider, file, msg_index, sum(CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tk) / mean))) AS score
+  FROM pos JOIN ok USING (query_id, provider, file, msg_index) JOIN toks USING (provider, file, msg_index) JOIN df USING (query_id, atom_id) GROUP BY ALL)"""
+
+
+def _ranked(k: int, by: str = "query_id", source: str = "scored") -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY round(score, 9) DESC, file, msg_index) AS rank FROM {source} QUALIFY rank <= {k})"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def raw_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.regexp_extract_all("text", F.lit(r"[^ \n]+"), 0)
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", w.alias("w"))
+    kind = F.col("item_id") % 3
+    text = F.when(kind == 0, F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))).when(kind == 1, F.concat_ws(" OR ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))).otherwise(F.concat_ws(" NOT ", F.get("w", F.lit(0)), F.get("w", F.lit(2))))
+    return b.select(F.col("item_id").alias("query_id"), text.alias("query"))
+
+
+def _setup(spark: SparkSession, sf_dir: str) -> tuple[search.Index, DataFrame]:
+    return search.build_index(adapters.conversation_turns(spark, sf_dir)), search.normalise_queries(raw_queries(spark, sf_dir))
+
+
+def _score() -> Column:
+    return F.round("score", 4).alias("score")
+
+
+# --- inventory and ingest
+
+
+@query(f"WITH {_TURNS}, f AS (SELECT provider, file AS path, max(sec) AS mtime, sum(length(text))::BIGINT AS size FROM turns GROUP BY ALL) SELECT provider, path, size FROM f QUALIFY row_number() OVER (PARTITION BY provider ORDER BY mtime DESC, path) <= 5")
+def latest_sessions(spark, sf_dir):
+    return logs.latest_sessions(adapters.conversation_files(spark, sf_dir), 5).select("provider", "path", "size")
+
+
+@query(f"WITH {_EVENTS}, l AS (SELECT provider, file, max(ts) AS ts FROM evs GROUP BY ALL) SELECT provider, epoch_us(ts)::BIGINT AS last_us FROM l ORDER BY ts DESC, provider LIMIT 1")
+def latest_active_provider(spark, sf_dir):
+    turns = adapters.event_turns(spark, sf_dir)
+    files = turns.groupBy(F.col("file").alias("path"), "provider").agg(F.max("ts").alias("mtime"))
+    return logs.latest_active_provider(turns, files).select("provider", F.unix_micros("last_active").alias("last_us"))
+
+
+@query("""WITH f AS (SELECT doc_id::VARCHAR AS path, doc_id % 5 AS m, n_chars::BIGINT AS size FROM documents)
+SELECT path, CASE m WHEN 0 THEN 'new' WHEN 1 THEN 'grown' WHEN 2 THEN 'rewritten' WHEN 3 THEN 'same' ELSE 'vanished' END AS change FROM f""")
+def file_changes(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") % 5).alias("m"), F.col("n_chars").cast("long").alias("size"))
+    now = d.where("m <> 4").select("path", F.timestamp_seconds(F.lit(2000)).alias("mtime"), "size")
+    old = F.when(F.col("m") == 1, F.col("size") - 1).when(F.col("m") == 2, F.col("size") + 1).otherwise(F.col("size"))
+    state = d.where("m <> 0").select(F.col("path").alias("file"), F.timestamp_seconds(F.when(F.col("m") == 3, 2000).otherwise(1000)).alias("mtime"), old.alias("size"), F.lit(1).alias("msg_index"))
+    return ingest.file_changes(now, state)
+
+
+@query(f"WITH {_TURNS} SELECT provider, file, max(msg_index) AS n_turns, sum(length(text))::BIGINT AS n_chars FROM turns GROUP BY ALL")
+def incremental_ingest(spark, sf_dir):
+    """Half of the conversations are known, some in an older state; after the run all stand as in the source."""
+    turns, files = adapters.conversation_turns(spark, sf_dir), adapters.conversation_files(spark, sf_dir)
+    half = F.col("path").cast("long") % 2 == 0
+    state = files.where(half).select(F.col("path").alias("file"), F.when(F.col("path").cast("long") % 4 == 0, F.col("mtime")).otherwise(F.timestamp_seconds(F.lit(0))).alias("mtime"), "size", F.lit(0).cast("long").alias("msg_index"))
+    old = turns.where(F.col("file").cast("long") % 2 == 0).withColumn("text", F.when(F.col("file").cast("long") % 4 == 0, F.col("text")).otherwise("old"))
+    after, _ = ingest.incremental_ingest(files, state, old, lambda changed: turns.join(changed.select(F.col("path").alias("file")), "file", "left_semi"))
+    return after.groupBy("provider", "file").agg(F.max("msg_index").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
+
+
+# --- cleaning and rendering
+
+
+@query(rf"""WITH l AS (SELECT {_PROVIDER.format('doc_id')} AS provider, doc_id::VARCHAR AS file, text FROM documents),
+c AS (SELECT provider, file, trim(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: rtrim(x)), chr(10)), '^\n+|\n+$', '', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM l)
+SELECT provider, file, 1::BIGINT AS msg_index, text FROM c WHERE text <> ''""")
+def clean_turns(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    turns = d.select(adapters.provider_of(F.col("doc_id")).alias("provider"), F.col("doc_id").cast("string").alias("file"), F.lit(1).cast("long").alias("msg_index"), F.lit("user").alias("role"), "text")
+    return clean.clean_turns(turns).select("provider", "file", "msg_index", "text")
+
+
+@query(rf"""WITH {_LINES}, k AS (SELECT *, role || '|' || {_ONE.format('text')} AS key FROM (SELECT * REPLACE ('user' AS role) FROM lines))
+SELECT provider, file, msg_index FROM k QUALIFY coalesce(lag(key) OVER (PARTITION BY provider, file ORDER BY msg_index) <> key, true)""")
+def collapse_repeats(spark, sf_dir):
+    turns = adapters.document_line_turns(spark, sf_dir).withColumn("role", F.lit("user"))
+    return clean.collapse_repeats(turns).select("provider", "file", "msg_index")
+
+
+@query(f"WITH {_LINES} SELECT provider, file, msg_index, text FROM lines WHERE contains(lower(text), 'licensed under')")
+def contains_filter(spark, sf_dir):
+    return clean.contains_filter(adapters.document_line_turns(spark, sf_dir), "Licensed Under").select("provider", "file", "msg_index", "text")
+
+
+@query(rf"""WITH {_LINES}, c AS (SELECT provider, file, msg_index, trim(text) AS t FROM lines)
+SELECT provider, file, msg_index, trim(CASE WHEN t[1:2] IN ('$ ', '> ') THEN t[3:] ELSE regexp_replace(t, '^[^:]*:', '') END) AS command FROM c WHERE t[1:2] IN ('$ ', '> ') OR starts_with(lower(t), 'command:') OR starts_with(lower(t), 'cmd:')""")
+def result_commands(spark, sf_dir):
+    return clean.extract_result_commands(adapters.document_line_turns(spark, sf_dir))
+
+
+@query(rf"""WITH {_LINES} SELECT provider, file, msg_index, 1 AS ordinal, trim(trim(text)[3:]) AS command FROM lines WHERE trim(text)[1:2] IN ('$ ', '> ') AND trim(trim(text)[3:]) <> ''""")
+def inline_commands(spark, sf_dir):
+    return clean.extract_inline_commands(adapters.document_line_turns(spark, sf_dir))
+
+
+_RENDER = "CASE WHEN role = 'assistant' THEN provider ELSE role END || ':' || chr(10) || {} || chr(10)"
+_CUT = "CASE WHEN length(text) > 100 THEN text[1:100] || '…' ELSE text END"
+
+
+@query(f"WITH {_TURNS} SELECT provider, file, string_agg({_RENDER.format(_CUT)}, chr(10) ORDER BY msg_index) AS text FROM turns GROUP BY ALL")
+def render_transcript(spark, sf_dir):
+    return clean.render_transcript(adapters.conversation_turns(spark, sf_dir), 100)
+
+
+@query(rf"""WITH {_TURNS}, c AS (SELECT *, role || '|' || {_ONE.format('text')} AS key FROM turns WHERE contains(lower(text), 'th')),
+u AS (SELECT * FROM c QUALIFY coalesce(lag(key) OVER (PARTITION BY provider, file ORDER BY msg_index) <> key, true))
+SELECT provider, file, string_agg({_RENDER.format('text')}, chr(10) ORDER BY msg_index) AS text FROM u GROUP BY ALL""")
+def clean_report(spark, sf_dir):
+    return plans.clean_report(adapters.conversation_turns(spark, sf_dir), "TH")
+
+
+# --- index and search
+
+
+@query(f"WITH {_INDEX} SELECT term, provider, file, msg_index, count(*)::INT AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM post GROUP BY ALL")
+def index_postings(spark, sf_dir):
+    p = search.build_index(adapters.conversation_turns(spark, sf_dir)).postings
+    return p.select("term", "provider", "file", "msg_index", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query(f"WITH {_INDEX} SELECT provider, file, msg_index, len(tk)::INT AS n_tokens FROM toks")
+def index_turn_stats(spark, sf_dir):
+    return search.build_index(adapters.conversation_turns(spark, sf_dir)).turn_stats
+
+
+@query(rf"""WITH q AS (SELECT doc_id, regexp_extract_all(text[1:200], '("[^"]*"|[^\s"]+|")') AS p FROM documents)
+SELECT doc_id AS query_id, array_to_string(list_filter(list_transform(p, lambda x: CASE WHEN length(x) >= 2 AND starts_with(x, '"') AND ends_with(x, '"') THEN CASE WHEN trim(x[2:-2]) <> '' THEN '"' || trim(x[2:-2]) || '"*' ELSE '' END
+ WHEN upper(x) IN ('AND', 'OR', 'NOT') THEN x WHEN regexp_matches(x, '[*()]') THEN x WHEN regexp_matches(x, '^[A-Za-z0-9_]+$') THEN x || '*' WHEN NOT regexp_matches(x, '[\p{{L}}\p{{N}}]') THEN '' ELSE '"' || replace(x, '"', '""') || '"*' END), lambda x: x <> ''), ' ') AS cooked FROM q""")
+def cook_queries(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select(F.col("doc_id").alias("query_id"), search.cook_query(F.substring("text", 1, 200)).alias("cooked"))
+
+
+@query(f"WITH {_QUERIES} SELECT query_id, clause_id, atom_id::INT AS atom_id, array_to_string(terms, ' ') AS terms, is_prefix, negated FROM atoms")
+def normalise_queries(spark, sf_dir):
+    return search.normalise_queries(raw_queries(spark, sf_dir)).withColumn("terms", F.array_join("terms", " "))
+
+
+@query(f"WITH {_MATCH} SELECT query_id, provider, file, msg_index FROM ok")
+def match_boolean(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    return search.match_boolean(search.match_atoms(index, q), q)
+
+
+@query(f"WITH {_INDEX}, {_QUERIES}, dict AS (SELECT DISTINCT term FROM post) SELECT query_id, atom_id::INT AS atom_id, term FROM atoms JOIN dict ON starts_with(term, terms[1])")
+def prefix_terms(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    return search.prefix_terms(index.postings.select("term").distinct(), q.select("query_id", "atom_id", F.get("terms", F.lit(0)).alias("prefix")))
+
+
+_PHRASES = rf"""{_INDEX}, g AS (SELECT term AS a, lead(term) OVER (PARTITION BY provider, file, msg_index ORDER BY pos) AS b FROM post),
+ph AS (SELECT a, b, row_number() OVER (ORDER BY count(*) DESC, a, b) AS query_id FROM g WHERE b IS NOT NULL GROUP BY a, b QUALIFY query_id <= 30)"""
+
+
+@query(f"WITH {_PHRASES} SELECT query_id::INT AS query_id, p.provider, p.file, p.msg_index, count(*)::BIGINT AS tf FROM ph JOIN post p ON p.term = a JOIN post n ON n.provider = p.provider AND n.file = p.file AND n.msg_index = p.msg_index AND n.pos = p.pos + 1 AND starts_with(n.term, b) GROUP BY ALL")
+def match_phrase(spark, sf_dir):
+    """The 30 most frequent neighbouring word pairs, as phrases with a prefix at the end."""
+    index = search.build_index(adapters.conversation_turns(spark, sf_dir))
+    toks = index.turns.select(search.tokens(F.col("text")).alias("t"))
+    pairs = toks.select(F.explode(F.arrays_zip(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))).alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    top = pairs.orderBy(F.col("n").desc(), "a", "b").limit(30)
+    from pyspark.sql import Window
+
+    q = top.select(F.row_number().over(Window.orderBy(F.col("n").desc(), "a", "b")).alias("query_id"), F.lit(0).alias("clause_id"), F.lit(0).alias("atom_id"), F.array("a", "b").alias("terms"), F.lit(True).alias("is_prefix"), F.lit(False).alias("negated"))
+    return search.match_phrase(index, q).select("query_id", "provider", "file", "msg_index", "tf")
+
+
+@query(f"WITH {_BM25} SELECT query_id, rank::INT AS rank, provider, file, msg_index, round(score, 4) AS score FROM {_ranked(10)}")
+def bm25_topk(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    return search.bm25_topk(index, q, 10).select("query_id", "rank", "provider", "file", "msg_index", _score())
+
+
+@query(f"WITH {_BM25} SELECT query_id, rank::INT AS rank, provider, file, msg_index, round(score, 4) AS score FROM {_ranked(5, 'query_id, provider')}")
+def search_per_provider(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    return search.search_per_provider(index, q, 5).select("query_id", "rank", "provider", "file", "msg_index", _score())
+
+
+@query(f"WITH {_BM25}, s AS (SELECT scored.* FROM scored JOIN turns USING (provider, file, msg_index) WHERE role = 'user' AND provider IN ('codex', 'gemini') AND file::INT % 2 = 0) SELECT query_id, rank::INT AS rank, provider, file, msg_index, round(score, 4) AS score FROM {_ranked(10, source='s')}")
+def filter_hits(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    files = index.turns.select("file").where(F.col("file").cast("int") % 2 == 0)
+    return search.bm25_topk(index, q, 10, role="user", providers=("codex", "gemini"), files=files).select("query_id", "rank", "provider", "file", "msg_index", _score())
+
+
+@query(rf"""WITH {_BM25}, h AS {_ranked(3)}, w AS (SELECT query_id, terms[1] AS t, len(terms) = 1 AND is_prefix AS pre, atom_id FROM atoms WHERE NOT negated),
+x AS (SELECT h.query_id, h.provider, h.file, h.msg_index, h.rank, tk, unnest(range(1, len(tk) + 1)) AS i FROM h JOIN toks USING (provider, file, msg_index)),
+y AS (SELECT x.*, (SELECT count(DISTINCT atom_id) FROM w WHERE w.query_id = x.query_id AND len(list_filter(x.tk[x.i : x.i + 11], lambda t: CASE WHEN w.pre THEN starts_with(t, w.t) ELSE t = w.t END)) > 0) AS n,
+  (SELECT count(*) FROM w WHERE w.query_id = x.query_id AND CASE WHEN w.pre THEN starts_with(x.tk[x.i], w.t) ELSE x.tk[x.i] = w.t END) AS here FROM x),
+z AS (SELECT query_id, provider, file, msg_index, rank, tk, arg_max(i, n * 1000000 - i) FILTER (here > 0) AS best FROM y GROUP BY ALL),
+e AS (SELECT z.*, unnest(range(coalesce(best, 1), least(coalesce(best, 1) + 11, len(tk)) + 1)) AS j FROM z)
+SELECT query_id, rank::INT AS rank, provider, file, msg_index, CASE WHEN coalesce(best, 1) > 1 THEN '…' ELSE '' END || string_agg(CASE WHEN (SELECT count(*) FROM w WHERE w.query_id = e.query_id AND CASE WHEN w.pre THEN starts_with(e.tk[e.j], w.t) ELSE e.tk[e.j] = w.t END) > 0 THEN '[' || tk[j] || ']' ELSE tk[j] END, ' ' ORDER BY j) || CASE WHEN coalesce(best, 1) + 11 < len(tk) THEN '…' ELSE '' END AS snip
+FROM e GROUP BY query_id, provider, file, msg_index, rank, tk, best""")
+def snippets(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    return search.snippets(search.bm25_topk(index, q, 3), index, q, 12).select("query_id", "rank", "provider", "file", "msg_index", "snip")
+
+
+@query(rf"""WITH {_BM25}, h AS (SELECT r.*, role, sec, text FROM {_ranked(20)} r JOIN turns USING (provider, file, msg_index)),
+u AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, provider, role, lower({_ONE.format('text')}) ORDER BY rank, file, msg_index) = 1)
+SELECT query_id, rank::INT AS rank, provider, file, msg_index, role, sec FROM u""")
+def dedupe_hits(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    hits = search.dedupe_hits(search.with_turns(search.bm25_topk(index, q, 20), index.turns))
+    return search.order_hits(hits, "time-desc").select("query_id", "rank", "provider", "file", "msg_index", "role", F.unix_seconds("ts").alias("sec"))
+
+
+@query(f"WITH {_EVENTS} SELECT file, msg_index, role, epoch_us(ts)::BIGINT AS us FROM evs WHERE role = 'purchase' ORDER BY ts DESC, file DESC, msg_index DESC LIMIT 50")
+def tail_turns(spark, sf_dir):
+    return search.tail_turns(adapters.event_turns(spark, sf_dir), 50, "purchase").select("file", "msg_index", "role", F.unix_micros("ts").alias("us"))
+
+
+@query(f"WITH {_EVENTS} SELECT provider, file, msg_index, epoch_us(ts)::BIGINT AS us FROM evs QUALIFY row_number() OVER (PARTITION BY provider ORDER BY ts DESC, file DESC, msg_index DESC) <= 20")
+def tail_turns_per_provider(spark, sf_dir):
+    return search.tail_turns_per_provider(adapters.event_turns(spark, sf_dir), 20).select("provider", "file", "msg_index", F.unix_micros("ts").alias("us"))
+
+
+@query(rf"WITH {_TURNS} SELECT provider, file, msg_index, role, {_ONE.format('text')} AS text FROM turns WHERE file::INT % 3 = 0 AND role = 'assistant'")
+def catch_up(spark, sf_dir):
+    turns = adapters.conversation_turns(spark, sf_dir)
+    return search.catch_up(turns, turns.select("file").where(F.col("file").cast("int") % 3 == 0), "assistant").select("provider", "file", "msg_index", "role", "text")
+
+
+# --- windows
+
+
+_SPANS = """sp AS (SELECT query_id, provider, file, greatest(1, msg_index - 2) AS s, msg_index + 2 AS e FROM h),
+isl AS (SELECT *, sum(new) OVER (PARTITION BY query_id, provider, file ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (
+  SELECT *, (coalesce(s > max(e) OVER (PARTITION BY query_id, provider, file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, true))::INT AS new FROM sp)),
+spans AS (SELECT query_id, provider, file, min(s)::BIGINT AS start, max(e)::BIGINT AS "end" FROM isl GROUP BY query_id, provider, file, g)"""
+_HITS = f"{_BM25}, h AS {_ranked(10, 'query_id, provider')}, {_SPANS}"
+
+
+@query(f'WITH {_HITS} SELECT query_id, provider, file, start, "end" FROM spans')
+def window_spans(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    return windows.window_spans(search.search_per_provider(index, q, 10), 2)
+
+
+@query(f'WITH {_HITS} SELECT query_id, provider, file, start, msg_index, role, text FROM spans JOIN turns USING (provider, file) WHERE msg_index BETWEEN start AND "end"')
+def recall_windows(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    return plans.recall(index, q, k=10, window=2).turns
+
+
+@query(f"WITH {_HITS} SELECT query_id, provider, file, count(*)::BIGINT AS n_hits, min(rank)::INT AS first_rank, sum(count(*)) OVER (PARTITION BY query_id)::BIGINT AS n_total, '' AS project FROM h GROUP BY query_id, provider, file")
+def conversation_hits(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    return plans.recall(index, q, k=10).conversations
+
+
+@query(f"WITH {_HITS} SELECT query_id, rank::INT AS rank, concat_ws(' ', provider, file, msg_index::VARCHAR, role, replace(text[1:200], chr(10), ' ')) AS line FROM h JOIN turns USING (provider, file, msg_index)")
+def compact_hits(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    return windows.compact_hits(search.with_turns(search.search_per_provider(index, q, 10), index.turns), "text")
+
+
+@query(rf"""WITH {_HITS}, w AS (SELECT query_id, provider, file, string_agg({_RENDER.format('text')}, chr(10) ORDER BY msg_index) AS body FROM spans JOIN turns USING (provider, file) WHERE msg_index BETWEEN start AND "end" GROUP BY ALL),
+f AS (SELECT provider, file, max(sec) AS mtime FROM turns GROUP BY ALL)
+SELECT query_id, provider, file, '[Session: ' || strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d %H:%M') || ' | ' || provider || ' | ' || file || ']' || chr(10) || rtrim(body, ' ' || chr(10)) AS text FROM w JOIN f USING (provider, file)""")
+def conversation_digests(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    spans = windows.window_spans(search.search_per_provider(index, q, 10), 2)
+    return summarise.conversation_digests(index.turns, spans, adapters.conversation_files(spark, sf_dir))
+
+
+# --- mentions
+
+
+_HASHES = r"list_distinct(regexp_extract_all(text, '\b[0-9a-f]{7,40}\b'))"
+_CONTEXT = r"regexp_matches(text, '(?i)\b(commit|pushed|merge|sha|hash)\b')"
+_MENTIONS = rf"{_LINES}, men AS (SELECT provider, file, msg_index, role, text, regexp_extract_all(text, '\b[0-9a-f]{{7,40}}\b') AS hs FROM lines WHERE regexp_matches(text, '\b[0-9a-f]{{7,40}}\b'))"
+
+
+@query(rf"WITH d AS (SELECT {_PROVIDER.format('doc_id')} AS provider, doc_id::VARCHAR AS file, regexp_extract_all(text, '\b[0-9a-f]{{7,40}}\b') AS hs, text FROM documents) SELECT provider, file, len(list_distinct(hs))::INT AS n, hs[1] AS first FROM d WHERE len(hs) > 0 AND {_CONTEXT}")
+def commit_mentions(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    turns = d.select(adapters.provider_of(F.col("doc_id")).alias("provider"), F.col("doc_id").cast("string").alias("file"), F.lit(1).cast("long").alias("msg_index"), F.lit("user").alias("role"), "text")
+    return mentions.commit_mentions(turns).select("provider", "file", F.size("hashes").alias("n"), F.get("hashes", F.lit(0)).alias("first"))
+
+
+@query(f"WITH {_MENTIONS}, top AS (SELECT provider, file, max(msg_index) AS top FROM lines GROUP BY ALL) SELECT provider, file, msg_index, hs[1] AS first FROM men JOIN top USING (provider, file) WHERE msg_index > top - 4")
+def scan_commits(spark, sf_dir):
+    found = mentions.scan_commits(adapters.document_line_turns(spark, sf_dir), last=4, need_context=False)
+    return found.select("provider", "file", "msg_index", F.get("hashes", F.lit(0)).alias("first"))
+
+
+def _event_pair(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = adapters.event_turns(spark, sf_dir)
+    return e.where("role = 'error'").select("provider", "file", "msg_index"), e.where("role = 'purchase'").select("provider", "file", "msg_index")
+
+
+def _nearest(how: str) -> str:
+    near = {"forward": "min(p.msg_index) FILTER (p.msg_index BETWEEN h.msg_index AND h.msg_index + 20)", "backward": "max(p.msg_index) FILTER (p.msg_index BETWEEN h.msg_index - 20 AND h.msg_index)"}[how]
+    return f"WITH {_EVENTS} SELECT h.provider, h.file, h.msg_index, {near} AS mention_index FROM evs h LEFT JOIN evs p ON p.provider = h.provider AND p.file = h.file AND p.role = 'purchase' WHERE h.role = 'error' GROUP BY h.provider, h.file, h.msg_index"
+
+
+@query(_nearest("forward"))
+def nearest_mention_forward(spark, sf_dir):
+    return mentions.nearest_mention(*_event_pair(spark, sf_dir), "forward", 20)
+
+
+@query(_nearest("backward"))
+def nearest_mention_backward(spark, sf_dir):
+    return mentions.nearest_mention(*_event_pair(spark, sf_dir), "backward", 20)
+
+
+@query(f"""WITH {_EVENTS}, p AS (SELECT provider, file, msg_index AS m FROM evs WHERE role = 'purchase'), h AS (SELECT provider, file, msg_index FROM evs WHERE role = 'error'),
+a AS (SELECT h.*, max(m) FILTER (m BETWEEN msg_index - 20 AND msg_index - 1) AS previous_index FROM h LEFT JOIN p USING (provider, file) GROUP BY ALL)
+SELECT a.provider, a.file, a.msg_index, previous_index, min(m) FILTER (CASE WHEN previous_index IS NULL THEN m <= 21 ELSE m > previous_index AND m - previous_index - 1 <= 20 END) AS next_index FROM a LEFT JOIN p USING (provider, file) GROUP BY ALL""")
+def between_mention(spark, sf_dir):
+    return mentions.between_mention(*_event_pair(spark, sf_dir), 20)
+
+
+@query(f"WITH {_MENTIONS} SELECT provider, file, msg_index, hs[1] AS first, len(list_distinct(hs))::INT AS n FROM men WHERE role = 'user'")
+def direct_mention(spark, sf_dir):
+    hits = adapters.document_line_turns(spark, sf_dir).where("role = 'user'")
+    return mentions.direct_mention(hits).select("provider", "file", "msg_index", F.get("hashes", F.lit(0)).alias("first"), F.size("hashes").alias("n"))
+
+
+_COMMITS = f"""{_MENTIONS}, each AS (SELECT provider, file, msg_index, unnest(hs) AS hash, unnest(range(len(hs))) AS ix FROM men),
+fst AS (SELECT provider, file, hash, min(msg_index * 100000 + ix) AS seen FROM each GROUP BY ALL),
+com AS (SELECT DISTINCT CASE WHEN length(hash) % 2 = 0 THEN 'even' ELSE 'odd' END AS repo, rpad(hash, 40, '0') AS sha, 'about ' || hash AS summary FROM each),
+res AS (SELECT f.provider, f.file, f.hash, f.seen, c.repo, c.sha, c.summary FROM fst f JOIN (
+  SELECT hash, arg_min(repo, repo) AS repo, arg_min(sha, repo) AS sha, arg_min(summary, repo) AS summary FROM (
+    SELECT w.hash, com.repo, min(sha) AS sha, min(summary) AS summary FROM (SELECT DISTINCT hash FROM fst) w JOIN com ON starts_with(sha, w.hash) GROUP BY ALL HAVING count(DISTINCT sha) = 1) GROUP BY hash) c USING (hash)),
+rnk AS (SELECT provider, file, row_number() OVER (PARTITION BY provider, file ORDER BY min(seen)) AS ordinal, arg_min(hash, seen) AS hash, repo, sha, summary FROM res GROUP BY provider, file, repo, sha, summary QUALIFY ordinal <= 3)"""
+
+
+def _commit_table(turns: DataFrame) -> DataFrame:
+    h = turns.select(F.explode("hashes").alias("hash")).distinct()
+    repo = F.when(F.length("hash") % 2 == 0, "even").otherwise("odd")
+    return h.select(repo.alias("repo"), F.rpad("hash", 40, "0").alias("sha"), F.lit(True).alias("on_branch"), F.concat(F.lit("about "), F.col("hash")).alias("summary"))
+
+
+def _resolved(spark, sf_dir) -> DataFrame:
+    found = mentions.scan_commits(adapters.document_line_turns(spark, sf_dir), need_context=False)
+    return mentions.resolve_commits(found, _commit_table(found))
+
+
+@query(f"WITH {_COMMITS} SELECT provider, file, ordinal::INT AS ordinal, hash, repo, sha, summary FROM rnk")
+def resolve_commits(spark, sf_dir):
+    return _resolved(spark, sf_dir)
+
+
+@query(f"WITH {_COMMITS} SELECT provider, file, 'git:' || chr(10) || string_agg(repo || ' ' || sha || chr(10) || summary, chr(10) ORDER BY ordinal) AS section FROM rnk GROUP BY ALL")
+def commit_section(spark, sf_dir):
+    return mentions.commit_section(_resolved(spark, sf_dir))
+
+
+@query(rf"""WITH {_BM25}, h AS (SELECT r.*, role, text FROM {_ranked(20)} r JOIN turns USING (provider, file, msg_index)),
+u AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, provider, role, lower({_ONE.format('text')}) ORDER BY rank, file, msg_index) = 1),
+c AS (SELECT provider, file, msg_index FROM turns WHERE regexp_matches(text, '\b[0-9a-f]{{7,40}}\b') AND {_CONTEXT})
+SELECT query_id, rank::INT AS rank, provider, file, u.msg_index, min(c.msg_index) FILTER (c.msg_index BETWEEN u.msg_index AND u.msg_index + 200) AS mention_index FROM u LEFT JOIN c USING (provider, file) GROUP BY query_id, rank, provider, file, u.msg_index""")
+def search_with_commits(spark, sf_dir):
+    index, q = _setup(spark, sf_dir)
+    return plans.search_with_commits(index, q, "forward").select("query_id", "rank", "provider", "file", "msg_index", "mention_index")
+
+
+# --- summaries
+
+
+@query(f"""WITH {_TURNS}, t AS (SELECT provider, file, length(string_agg({_RENDER.format('text')}, chr(10) ORDER BY msg_index)) AS n FROM turns GROUP BY ALL),
+mo AS (SELECT * FROM (VALUES ('gemma3:4b-q4', 128000), ('granite4', 128000), ('other', 32768)) v(model, lim))
+SELECT provider, file, model, CASE WHEN n = 0 THEN 0 ELSE greatest(1, n // 4) END::BIGINT AS n_tokens, lim::BIGINT AS context_limit, (4 * greatest(1024, floor(lim * 0.7) - 1024))::BIGINT AS char_budget, ceil(n / (4 * greatest(1024, floor(lim * 0.7) - 1024)))::BIGINT AS n_chunks FROM t, mo""")
+def token_budget(spark, sf_dir):
+    t = clean.render_transcript(adapters.conversation_turns(spark, sf_dir))
+    return summarise.token_budget(t, ["gemma3:4b-q4", "granite4", "other"])
+
+
+@query()
+def chunk_transcripts(spark, sf_dir):
+    return summarise.chunk_transcripts(clean.render_transcript(adapters.conversation_turns(spark, sf_dir)), 2000)
+
+
+@query(f"""WITH {_TURNS}, t AS (SELECT provider, file, string_agg({_RENDER.format('text')}, chr(10) ORDER BY msg_index) AS t FROM turns GROUP BY ALL)
+SELECT provider, file, 'Chunk 1/1 summary:' || chr(10) || ('[1/1] ' || rtrim(t, chr(10)))[1:80] AS summary FROM t""")
+def summarise_chrono(spark, sf_dir):
+    """Whole transcripts as one chunk each, with a summariser that takes the first 80 characters of the prompt."""
+    t = clean.render_transcript(adapters.conversation_turns(spark, sf_dir)).withColumn("text", F.rtrim(F.regexp_replace("text", r"\n+\z", "")))
+    return summarise.map_reduce_summarise(t, lambda s: s.str[:80], 1 << 20, template="[{{chunk_index}}/{{chunk_total}}] {{transcript}} .md")
+
+
+@query(rf"""WITH {_TURNS}, f AS (SELECT provider, file FROM (SELECT provider, file, max(sec) AS mtime FROM turns GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY provider ORDER BY mtime DESC, file) <= 2)
+SELECT provider, file, string_agg({_RENDER.format('text')}, chr(10) ORDER BY msg_index) AS text, NULL::VARCHAR AS section FROM turns JOIN f USING (provider, file) GROUP BY provider, file""")
+def transcript_report(spark, sf_dir):
+    turns = adapters.conversation_turns(spark, sf_dir)
+    found = mentions.scan_commits(adapters.document_line_turns(spark, sf_dir), need_context=False)
+    return plans.transcript_report(turns, adapters.conversation_files(spark, sf_dir), _commit_table(found), 2)

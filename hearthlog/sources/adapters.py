@@ -25,7 +25,7 @@ def document_line_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return e.select(provider_of(F.col("user_id")).alias("provider"), F.col("user_id").cast("string").alias("file"), i.alias("msg_index"), F.col("event_type").alias("role"), "ts", F.coalesce(F.col("props"), F.lit("")).alias("text"))
+    return e.select(provider_of(F.col("user_id")).alias("provider"), F.col("user_id").cast("string").alias("file"), i.alias("msg_index"), F.col("event_type").alias("role"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.col("props"), F.lit("")).alias("text"))
 
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
