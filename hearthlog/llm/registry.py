@@ -52,7 +52,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image_copies.find_copies(image_copies.page_images(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+    return image_copies.find_copies(image_copies.page_features(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 from .common import fresh_path, id_back, id_key, pieces
 
 _NO_CUT = re.compile(r"\s ")
+_PARTS = re.compile(r" ?[^\W_]+| ?[^\w\s]+|\s")
+#: Cuts that parts must not be made of: contractions, underscores, white space runs, special tokens.
+_NO_PARTS = re.compile(r"['_]|\s\s|<\|")
 
 
 class Encoder:
@@ -40,7 +43,7 @@ class Encoder:
     Two generations of cuts are remembered, ``remembered`` at most, the older one dropped as a whole.
     """
 
-    def __init__(self, tokenizer_path: str, end_id: int, remembered: int = 500_000):
+    def __init__(self, tokenizer_path: str, end_id: int, remembered: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -49,10 +52,29 @@ class Encoder:
         self._most = remembered // 2
         self._young: dict = {}
         self._old: dict = {}
+        self._parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_cuts(self, cuts: list[str]) -> list[bytes]:
+        """Ids of new cuts. The pre-tokenizer also starts a piece where letters and digits meet other
+        characters, so words are remembered apart from the marks around them."""
+        if len(self._parts) > self._most:
+            self._parts = {}
+        known, split, new = self._parts, [], {}
+        for cut in cuts:
+            parts = [cut] if _NO_PARTS.search(cut) else _PARTS.findall(cut)
+            if sum(map(len, parts)) != len(cut):
+                parts = [cut]
+            split.append(parts)
+            for part in parts:
+                if part not in known:
+                    new[part] = None
+        if new:
+            known.update(zip(new, self._encode(list(new)), strict=True))
+        return [known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts)) for parts in split]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if len(self._young) > self._most:
             self._old, self._young = self._young, {}
@@ -68,17 +90,19 @@ class Encoder:
             cuts: list = text.split(" ")
             cuts[0] = (cuts[0],)
             ids = list(map(young.get, cuts))
-            if None in ids:
-                for at, value in enumerate(ids):
-                    if value is None:
-                        cut = cuts[at]
-                        if (value := old.get(cut)) is None:
-                            new[cut] = None
-                        else:
-                            young[cut] = ids[at] = value
+            at = -1
+            while True:
+                try:
+                    at = ids.index(None, at + 1)
+                except ValueError:
+                    break
+                if (value := old.get(cuts[at])) is None:
+                    new[cuts[at]] = None
+                else:
+                    young[cuts[at]] = ids[at] = value
             found.append((cuts, ids))
         if new:
-            young.update(zip(new, self._encode([x[0] if isinstance(x, tuple) else " " + x for x in new]), strict=True))
+            young.update(zip(new, self._encode_cuts([x[0] if isinstance(x, tuple) else " " + x for x in new]), strict=True))
             for cuts, ids in found:
                 if None in ids:
                     ids[:] = [young[cuts[at]] if value is None else value for at, value in enumerate(ids)]
