@@ -43,7 +43,7 @@ class Encoder:
     Two generations of cuts are remembered, ``remembered`` at most, the older one dropped as a whole.
     """
 
-    def __init__(self, tokenizer_path: str, end_id: int, remembered: int = 700_000):
+    def __init__(self, tokenizer_path: str, end_id: int, remembered: int = 240_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
