@@ -27,6 +27,6 @@ def append_batch(batch: DataFrame, batch_id: int, out: str) -> None:
 
 def stream_turns(spark: SparkSession, source: str, out: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Ingest all files now in ``source`` and stop. parse: (file, line, value) to (file, line, role, text)."""
-    lines = spark.readStream.text(source).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
-    write = lambda batch, batch_id: append_batch(parse(batch), batch_id, out)
+    lines = spark.readStream.text(source).select(F.col("_metadata.file_path").alias("file"), "value")
+    write = lambda batch, batch_id: append_batch(parse(batch.withColumn("line", F.monotonically_increasing_id())), batch_id, out)
     return lines.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
