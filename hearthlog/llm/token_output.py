@@ -7,8 +7,9 @@ metadata columns (doc_id, part, row, n_tokens) never touch the ids, and a filter
 groups and pages.
 
 Encoding is that of the ``tokenizers`` library over the whole text. Its byte-level pre-tokenizer always
-starts a new piece at a single space between two other characters, so a text is cut there and the
-library's ids of a cut are remembered; texts with white space before a space go to the library whole.
+starts a new piece at a single space between two other characters, so texts are cut there, each
+distinct cut of a few megabytes of text is encoded once, and the ids are gathered with numpy. Texts
+with white space before a space, and all texts of other kinds of tokenizers, go to the library whole.
 
 Defined cases: null text is empty (only the end id); a null doc_id sorts first; rows with the same
 doc_id are ordered by text; an empty table gives an empty one. Only id and text are read.
@@ -16,97 +17,96 @@ doc_id are ordered by text; an empty table gives an empty one. Only id and text
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, id_back, id_key, pieces
 
-_NO_CUT = re.compile(r"\s ")
-_PARTS = re.compile(r" ?[^\W_]+| ?[^\w\s]+|\s")
-#: Cuts that parts must not be made of: contractions, underscores, white space runs, special tokens.
-_NO_PARTS = re.compile(r"['_]|\s\s|<\|")
+#: Cuts that are not lined up with others: with white space inside, or with parts of special tokens.
+_ALONE = re.compile(r"\s|<\|")
+#: Cuts lined up for one call of the library, and bytes of text whose distinct cuts are encoded together.
+_LINE, _CHUNK = 20_000, 16 << 20
 
 
 class Encoder:
-    """Whole texts to ids (little-endian 32-bit), with remembered cuts.
+    """Whole texts to ids. Cuts of the last chunks are remembered: all up to ``remembered``, else those of one chunk."""
 
-    A cut is what stands between spaces; ``None`` marks that it has no space before it (start of a text).
-    Two generations of cuts are remembered, ``remembered`` at most, the older one dropped as a whole.
-    """
-
-    def __init__(self, tokenizer_path: str, end_id: int, remembered: int = 240_000):
+    def __init__(self, tokenizer_path: str, end_id: int, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
-        self._end = array("I", [end_id]).tobytes()
-        self._most = remembered // 2
-        self._young: dict = {}
-        self._old: dict = {}
-        self._parts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._end, self._remembered = end_id, remembered
+        self._known: dict[str, bytes] = {}
+        kind = json.loads(Path(tokenizer_path).read_text())
+        pre, added = kind.get("pre_tokenizer") or {}, kind.get("added_tokens") or []
+        byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
+        plain = all(a["content"].startswith("<|") and " " not in a["content"] and not (a.get("lstrip") or a.get("rstrip") or a.get("single_word")) for a in added)
+        new_line = self._tokenizer.encode("\n", add_special_tokens=False).ids
+        self._break = new_line[0] if byte_level and plain and len(new_line) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_cuts(self, cuts: list[str]) -> list[bytes]:
-        """Ids of new cuts. The pre-tokenizer also starts a piece where letters and digits meet other
-        characters, so words are remembered apart from the marks around them."""
-        if len(self._parts) > self._most:
-            self._parts = {}
-        known, split, new = self._parts, [], {}
-        for cut in cuts:
-            parts = [cut] if _NO_PARTS.search(cut) else _PARTS.findall(cut)
-            if sum(map(len, parts)) != len(cut):
-                parts = [cut]
-            split.append(parts)
-            for part in parts:
-                if part not in known:
-                    new[part] = None
-        if new:
-            known.update(zip(new, self._encode(list(new)), strict=True))
-        return [known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts)) for parts in split]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self._young) > self._most:
-            self._old, self._young = self._young, {}
-        young, old = self._young, self._old
-        whole = [i for i, t in enumerate(texts) if _NO_CUT.search(t)]
-        done = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
-        found: list[tuple[list, list]] = []
-        new: dict = {}
-        for i, text in enumerate(texts):
-            if i in done or not text:
-                found.append(([], []))
-                continue
-            cuts: list = text.split(" ")
-            cuts[0] = (cuts[0],)
-            ids = list(map(young.get, cuts))
-            at = -1
-            while True:
-                try:
-                    at = ids.index(None, at + 1)
-                except ValueError:
-                    break
-                if (value := old.get(cuts[at])) is None:
-                    new[cuts[at]] = None
-                else:
-                    young[cuts[at]] = ids[at] = value
-            found.append((cuts, ids))
-        if new:
-            young.update(zip(new, self._encode_cuts([x[0] if isinstance(x, tuple) else " " + x for x in new]), strict=True))
-            for cuts, ids in found:
-                if None in ids:
-                    ids[:] = [young[cuts[at]] if value is None else value for at, value in enumerate(ids)]
-        return [(done[i] if i in done else b"".join(ids)) + self._end for i, (_, ids) in enumerate(found)]
+        """Ids of distinct cuts, those of the last chunks from memory.
+
+        A line feed between two cuts is always a piece of its own, so cuts are encoded as lines of one text.
+        """
+        known = self._known
+        new = [c for c in cuts if c not in known]
+        single = [c for c in new if c in ("", " ") or _ALONE.search(c, c[:1] == " ")]
+        known.update(zip(single, (ids.tobytes() for ids in self._ids(single)), strict=True))
+        lined = [c for c in new if c not in known]
+        for start in range(0, len(lined), _LINE):
+            part = lined[start : start + _LINE]
+            (flat,) = self._ids(["\n".join(part)])
+            breaks = np.flatnonzero(flat == self._break) * 4
+            data, begins, ends = flat.tobytes(), [0, *(breaks + 4).tolist()], [*breaks.tolist(), len(flat) * 4]
+            known.update(zip(part, map(data.__getitem__, map(slice, begins, ends)), strict=True))
+        found = list(map(known.__getitem__, cuts))
+        if len(known) > self._remembered:
+            self._known = dict(zip(cuts, found, strict=True))
+        return found
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, one after the other, and how many each text has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] ").to_numpy(zero_copy_only=False) if self._break is not None else np.ones(len(texts), bool)
+        split = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        first = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        starts = pc.take(coded.dictionary, pa.array(at[first])).dictionary_encode()
+        whole_at = np.flatnonzero(whole)
+        # the entries: cuts after a space, cuts that start a text, whole texts, the end id
+        cuts, heads = [" " + c for c in coded.dictionary.to_pylist()], starts.dictionary.to_pylist()
+        wholes = [ids.tobytes() for ids in self._ids(texts.take(pa.array(whole_at)).to_pylist())]
+        entries = [*self._encode_cuts(cuts + heads), *wholes, np.int32(self._end).tobytes()]
+        flat = np.frombuffer(b"".join(entries), np.int32)
+        counts = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        begins = np.cumsum(counts) - counts
+        at[first] = len(cuts) + starts.indices.to_numpy()
+        at[first[whole_at]] = len(cuts) + len(heads) + np.arange(len(whole_at))
+        at = np.insert(at, np.append(first[1:], len(at)), len(counts) - 1) if len(first) else at
+        n = counts[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+        out = flat[np.repeat((begins[at] - ends + n).astype(kind), n) + np.arange(total, dtype=kind)]
+        last = ends[np.append(first[1:], len(at) - len(first)) + np.arange(len(first))] if len(first) else ends
+        return out, np.diff(last, prepend=0)
 
 
 @lru_cache(2)
@@ -114,19 +114,39 @@ def _encoder(tokenizer_path: str, end_id: int) -> Encoder:
     return Encoder(tokenizer_path, end_id)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of any size as tables of about ``_CHUNK`` bytes; a longer text is not cut."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in pieces(batches, 1 << 20, _CHUNK // 4):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= _CHUNK:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, part, row, n_tokens, ids: in ascending order of id over parts and rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row = _encoder(tokenizer_path, end_id), 0
-        for batch in pieces(batches, 512, 4 << 20):
-            ids = encoder.encode_all([t or "" for t in batch.column("text").to_pylist()])
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-            yield pa.record_batch([batch.column("id"), batch.column("part"), pa.array(np.arange(row, row + len(ids))), pa.array(n), lists], names=["id", "part", "row", "n_tokens", "ids"])
-            row += len(ids)
+        for chunk in _chunks(batches):
+            ids, n = encoder.encode_all(chunk["text"].combine_chunks())
+            ends = np.cumsum(n)
+            size = len(n)
+            done = 0
+            while done < size:  # pieces whose lists fit 32-bit offsets and little memory
+                base = int(ends[done - 1]) if done else 0
+                upto = max(done + 1, int(np.searchsorted(ends, base + (4 << 20), "right")))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(base, ends[done:upto]).astype(np.int64) - base, pa.int32()), pa.array(ids[base : ends[upto - 1]]))
+                part = chunk.slice(done, upto - done)
+                columns = [part["id"].combine_chunks(), part["part"].combine_chunks(), pa.array(np.arange(row + done, row + upto)), pa.array(n[done:upto]), lists]
+                yield pa.record_batch(columns, names=["id", "part", "row", "n_tokens", "ids"])
+                done = upto
+            row += size
 
     ordered = docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     return ordered.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(run, "id long, part long, row long, n_tokens long, ids array<int>")
