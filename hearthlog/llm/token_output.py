@@ -36,7 +36,7 @@ from .common import fresh_path, id_back, id_key, pieces
 #: Cuts that are not lined up with others: with white space inside, or with parts of special tokens.
 _ALONE = re.compile(r"\s|<\|")
 #: Cuts lined up for one call of the library, and bytes of text whose distinct cuts are encoded together.
-_LINE, _CHUNK = 20_000, 16 << 20
+_LINE, _CHUNK = 20_000, 8 << 20
 
 
 class Encoder:
