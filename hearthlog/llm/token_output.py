@@ -35,14 +35,14 @@ from .common import fresh_path, id_back, id_key, pieces
 
 #: Cuts that are not lined up with others: with white space inside, or with parts of special tokens.
 _ALONE = re.compile(r"\s|<\|")
-#: Cuts lined up for one call of the library, and bytes of text whose distinct cuts are encoded together.
-_LINE, _CHUNK = 20_000, 8 << 20
+#: Cuts lined up for one call of the library.
+_LINE = 20_000
 
 
 class Encoder:
     """Whole texts to ids. Cuts of the last chunks are remembered: all up to ``remembered``, else those of one chunk."""
 
-    def __init__(self, tokenizer_path: str, end_id: int, remembered: int = 400_000):
+    def __init__(self, tokenizer_path: str, end_id: int, remembered: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -110,54 +110,59 @@ class Encoder:
 
 
 @lru_cache(2)
-def _encoder(tokenizer_path: str, end_id: int) -> Encoder:
-    return Encoder(tokenizer_path, end_id)
+def _encoder(tokenizer_path: str, end_id: int, remembered: int) -> Encoder:
+    return Encoder(tokenizer_path, end_id, remembered)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches of any size as tables of about ``_CHUNK`` bytes; a longer text is not cut."""
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.Table]:
+    """Batches of any size as tables of about ``chunk_bytes``; a longer text is not cut."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in pieces(batches, 1 << 20, _CHUNK // 4):
+    for batch in pieces(batches, 1 << 20, chunk_bytes // 4):
         held.append(batch)
         size += batch.nbytes
-        if size >= _CHUNK:
+        if size >= chunk_bytes:
             yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, part, row, n_tokens, ids: in ascending order of id over parts and rows."""
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, remembered: int = 400_000) -> DataFrame:
+    """id, part, row, n_tokens, ids: in ascending order of id over parts and rows.
+
+    chunk_bytes of text are encoded together and about ``remembered`` cuts kept: memory of a task against time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = _encoder(tokenizer_path, end_id), 0
-        for chunk in _chunks(batches):
+        encoder, row = _encoder(tokenizer_path, end_id, remembered), 0
+        for chunk in _chunks(batches, chunk_bytes):
             ids, n = encoder.encode_all(chunk["text"].combine_chunks())
             ends = np.cumsum(n)
             size = len(n)
             done = 0
             while done < size:  # pieces whose lists fit 32-bit offsets and little memory
                 base = int(ends[done - 1]) if done else 0
-                upto = max(done + 1, int(np.searchsorted(ends, base + (4 << 20), "right")))
+                upto = max(done + 1, int(np.searchsorted(ends, base + (1 << 20), "right")))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(base, ends[done:upto]).astype(np.int64) - base, pa.int32()), pa.array(ids[base : ends[upto - 1]]))
                 part = chunk.slice(done, upto - done)
                 columns = [part["id"].combine_chunks(), part["part"].combine_chunks(), pa.array(np.arange(row + done, row + upto)), pa.array(n[done:upto]), lists]
                 yield pa.record_batch(columns, names=["id", "part", "row", "n_tokens", "ids"])
                 done = upto
             row += size
+            del chunk, ids
+            pa.default_memory_pool().release_unused()
 
     ordered = docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     return ordered.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(run, "id long, part long, row long, n_tokens long, ids array<int>")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_rows: int = 2000, compression: str = "zstd", id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_rows: int = 2000, compression: str = "zstd", id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, remembered: int = 400_000) -> None:
     """Write the token table. encoding: ``dictionary`` or ``delta`` (DELTA_BINARY_PACKED)."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
     delta = encoding == "delta"
-    out = encoded(docs, tokenizer_path, end_id, id_col, text_col).write.option("compression", compression)
+    out = encoded(docs, tokenizer_path, end_id, id_col, text_col, chunk_bytes, remembered).write.option("compression", compression)
     out = out.option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows)
     out = out.option("parquet.enable.dictionary", str(not delta).lower()).option("parquet.writer.version", "v2" if delta else "v1")
     out.parquet(path)
