@@ -19,8 +19,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces
@@ -151,6 +152,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, min_
     return found
 
 
+def _leaks(text: Column, block: list[tuple[int, str]], error_rate: float, min_chars: int) -> Column:
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(block, error_rate, min_chars)
+        for batch in batches:
+            yield pd.Series([bool(matcher.match(normal(t))) for t in batch], dtype=bool)
+
+    return run(text.cast("string"))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, min_chars: int = 50, block_bytes: int = 8 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no item."""
+    for block in item_blocks(items, block_bytes, item_col, item_text_col):
+        docs = docs.where(~_leaks(F.col(text_col), block, error_rate, min_chars))
+    return docs
+
+
 def leaked_ids(leaks: DataFrame) -> DataFrame:
     """The distinct doc_ids of ``find_leaks``."""
     return leaks.select("doc_id").distinct()

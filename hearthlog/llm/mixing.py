@@ -62,13 +62,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epoc
     return ranked.select("no_source", "source_key", "source_size", F.least(F.col("w") * level, F.col("most")).alias("target") if total else F.lit(0.0).alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target (of the source), taken (words, repeats counted) of every row."""
-    key = seeded(F.col(id_col), seed)
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target (of the source), taken (words, repeats counted) of every row, and its ``row_col`` if given."""
+    key, row = seeded(F.col(id_col), seed), [row_col] if row_col else []
     rows = materialise(
         docs.select(
             F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).isNull().alias("no_source"),
-            F.coalesce(F.col(source_col), F.lit("")).alias("source_key"), key.alias("u"), F.conv(F.substring(key, 1, 3), 16, 10).cast("int").alias("range"),
+            F.coalesce(F.col(source_col), F.lit("")).alias("source_key"), key.alias("u"), F.conv(F.substring(key, 1, 3), 16, 10).cast("int").alias("range"), *row,
         ),
         "sizes",
     )
@@ -86,17 +86,18 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     cut = inside.where((F.col("sum") >= F.col("left")) & (F.col("sum") - F.col("n") < F.col("left"))).select(*by, F.col("u").alias("edge"), (F.col("left") - F.col("sum") + F.col("n")).alias("part"), F.col("n").alias("of"))
     plan = materialise(aims.join(cut, by, "left"), "mix-plan")
     extra = F.when(F.col("edge").isNull(), 0).when(F.col("u") < F.col("edge"), F.col("size")).when(F.col("u") == F.col("edge"), F.floor(F.col("size") * F.col("part") / F.col("of"))).otherwise(0)
-    return rows.join(plan, by).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+    return rows.join(plan, by).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), *row)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole repetition of a document, and one with the
-    first words (joined by a space) for a repetition in part. Documents with the same id are all repeated."""
-    plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    each = plan.groupBy(F.col("doc_id").alias("__mix_id")).agg(F.first("size").alias("__mix_size"), F.first("taken").alias("__mix_taken"))
+    first words (joined by a space) for a repetition in part. Each row is repeated by its own plan, whatever its id."""
+    rows = materialise(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mix-rows")
+    plan = plan_mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col="__mix_row", **how)
+    each = plan.select("__mix_row", F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
     words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0), 1, F.col("__mix_part").cast("int")), " ")
     times = F.when(F.col("__mix_size") > 0, F.floor(F.col("__mix_taken") / F.col("__mix_size"))).otherwise(0)
     parts = F.concat(F.array_repeat(F.col("__mix_size"), times.cast("int")), F.array_repeat(F.col("__mix_taken") - times * F.col("__mix_size"), ((F.col("__mix_taken") - times * F.col("__mix_size")) > 0).cast("int")))
-    repeated = docs.join(each, docs[id_col].eqNullSafe(each["__mix_id"])).withColumn("__mix_part", F.explode(parts))
+    repeated = rows.join(each, "__mix_row").withColumn("__mix_part", F.explode(parts))
     text = F.when(F.col("__mix_part") < F.col("__mix_size"), words).otherwise(F.col(text_col))
     return repeated.withColumn(text_col, text).select(*docs.columns)

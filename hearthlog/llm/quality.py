@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,3 +167,15 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
             yield pa.record_batch([batch.column("id"), pa.array(scorer.scores(x))], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def score_of(text: Column, scorer: Scorer) -> Column:
+    """The score of a text, on its own row."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows = [statistics(t.encode() if t else b"") for t in batch]
+            yield pd.Series(scorer.scores(np.array(rows, np.float64).reshape(-1, len(FEATURES))))
+
+    return run(text.cast("string"))

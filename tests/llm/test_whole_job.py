@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from hearthlog.llm import shingle_dedup
+from hearthlog.llm import mixing, shingle_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -71,3 +72,29 @@ def test_pipeline_drops_copies_of_similarity_08(spark):
     rows = [(2, " ".join(copy), "en", "a", 0), (1, " ".join(body), "en", "a", 0), (3, "another text of its own with several words", "en", "a", 0)]
     kept = corpus_pipeline.near_copies_stage(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_stages_decide_by_row_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    clean = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) + rng.choice("abcde") for _ in range(80)) + "."
+    junk = lambda: " | ".join(rng.choice("###$$$%%%") + rng.choice("QWE") for _ in range(80))
+    texts = [clean() if i % 4 else junk() for i in range(400)]
+    low, good, item, copy = junk(), clean(), " ".join(f"item{i}" for i in range(20)), clean()
+    some = [(None, low), (5000, low), (5000, good)]
+    df = lambda rows: spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = lambda stage, rows: sorted(r.text for r in stage(spark, df(rows), str(tmp_path)).collect())
+
+    kept = held(corpus_pipeline.quality_stage, [*enumerate(texts), *some])
+    assert low not in kept and good in kept
+    assert held(corpus_pipeline.near_copies_stage, [(None, copy), (7, copy), (7, copy), (9, copy), (None, good), (None, good)]) == sorted([copy, good])
+    assert held(corpus_pipeline.leaks_stage, [(None, f"x {item} y"), (7, f"z {item}"), (7, copy), (None, good)]) == sorted([copy, good])
+
+    rows = df([(None, "a b c d"), (None, "e"), (3, "f g"), (3, "h i j k l m"), (4, None)])
+    plan = mixing.plan_mix(rows, share=2.0)
+    words = mixing.mix(rows, share=2.0).agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
+    assert words == plan.agg(F.sum("taken")).first()[0] == 26
+    assert sorted(r.text for r in mixing.mix(rows, share=2.0).collect()) == sorted(["a b c d", "e", "f g", "h i j k l m"] * 2)
