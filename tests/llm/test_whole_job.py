@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthlog.llm import mixing, shingle_dedup
+from hearthlog.llm import image_copies, mixing, shingle_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -98,3 +99,12 @@ def test_stages_decide_by_row_with_null_and_repeated_ids(spark, tmp_path):
     words = mixing.mix(rows, share=2.0).agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
     assert words == plan.agg(F.sum("taken")).first()[0] == 26
     assert sorted(r.text for r in mixing.mix(rows, share=2.0).collect()) == sorted(["a b c d", "e", "f g", "h i j k l m"] * 2)
+
+
+def test_corner_budget_and_pairs_of_crowded_keys(spark):
+    noise = np.random.default_rng(1).integers(0, 256, (80, 96)).astype(np.uint8)
+    places, _ = image_copies.describe(noise)
+    assert (places[:, 2] == 1).sum() > 80 * 96 // 40
+    held = spark.createDataFrame([(1, 10, 1), (2, 10, 1), (1, 50, 5), (2, 50, 5), (3, 11, 6), (4, 11, 1), (5, 12, 5), (6, 12, 5)], "id long, key long, m long")
+    full = spark.createDataFrame([(50,)], "key long")
+    assert sorted(map(tuple, image_copies._pairs(held, full, 6).collect())) == [(1, 2), (3, 4)]
