@@ -45,13 +45,11 @@ def statistics(text: bytes) -> tuple[float, ...]:
     w, many = max(len(words), 1), max(len(lines), 1)
     share = counts[counts > 0] / n
     upper, symbols = counts[65:91].sum(), counts[_SYMBOLS].sum()
-    sample = words[:: max(1, len(words) // 400)]
-    s = max(len(sample), 1)
     return (
         np.log1p(len(text)), np.log1p(len(words)), np.log1p(len(lines)), upper / n, counts[48:58].sum() / n, symbols / n, counts[124] / n,
         counts[[33, 34, 39, 40, 41, 44, 46, 58, 59, 63]].sum() / n, counts[128:].sum() / n, (counts[:32].sum() - counts[9] - counts[10] - counts[13]) / n, counts[32] / n,
         -float((share * np.log2(share)).sum()) if len(share) else 0.0, len(text) / w, len(set(words)) / w ** 0.8, sum(map(bytes.__eq__, words, words[1:])) / w, len(set(lines)) / many, len(words) / many,
-        sum(map(bytes.istitle, sample)) / s, sum(not x[-1:].isalnum() and x[-1:] not in b".,;:!?" for x in sample if x[-1] < 128) / s,
+        sum(map(bytes.istitle, words)) / w, sum(not x[-1:].isalnum() and x[-1:] not in b".,;:!?" for x in words if x[-1] < 128) / w,
         len(zlib.compress(text, 1)) / n,
     )
 

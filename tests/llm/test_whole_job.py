@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthlog.llm import image_copies, mixing, shingle_dedup
+from hearthlog.llm import image_copies, mixing, quality, shingle_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -108,3 +108,11 @@ def test_corner_budget_and_pairs_of_crowded_keys(spark):
     held = spark.createDataFrame([(1, 10, 1), (2, 10, 1), (1, 50, 5), (2, 50, 5), (3, 11, 6), (4, 11, 1), (5, 12, 5), (6, 12, 5)], "id long, key long, m long")
     full = spark.createDataFrame([(50,)], "key long")
     assert sorted(map(tuple, image_copies._pairs(held, full, 6).collect())) == [(1, 2), (3, 4)]
+
+
+def test_quality_counts_every_word():
+    text = b"plain word# " * 800
+    found = dict(zip(quality.FEATURES, quality.statistics(text), strict=True))
+    assert found["symbol_words"] == 0.5
+    found = dict(zip(quality.FEATURES, quality.statistics(b"plain Word " * 800), strict=True))
+    assert found["capital_words"] == 0.5
