@@ -4,8 +4,9 @@ The page becomes a tree (void and unclosed elements repaired as they come). Elem
 the article (scripts, menus, headers, footers, forms, adverts, notices, comments, hidden parts) are cut
 off by name, role, class or id. Every text block then passes points, one plus its commas plus one for
 each 100 characters, times one minus its link density, to its ancestors: all to the parent, half to
-the next, a third to the one above. The element with the most points is the container; siblings with a
-fifth of its points, and headings before it, are kept with it. All their blocks are returned in page order.
+the next, a third to the one above. The element with the most points, or the article or main around it, or its
+parent if that has parts of text only, is the container; siblings with a fifth of its points, and headings
+before it, are kept with it. All their blocks are returned in page order.
 
 Defined cases: null or empty html, and pages without text, give an empty text; broken markup never
 raises; nesting of any depth is handled without recursion; rows are independent, so repeated rows give repeated results.
@@ -44,12 +45,12 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "points", "text", "linked")
+    __slots__ = ("tag", "attrs", "parent", "children", "points", "text", "linked", "cut")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
-        self.points, self.text, self.linked = 0.0, 0, 0
+        self.points, self.text, self.linked, self.cut = 0.0, 0, 0, False
 
 
 def _attributes(node: Node) -> dict[str, str]:
@@ -121,7 +122,8 @@ def _measure(root: Node) -> list[Node]:
     order, stack = [], [root]
     while stack:
         node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not _boilerplate(c)]
+        kept = [c for c in node.children if isinstance(c, str) or not _boilerplate(c)]
+        node.children, node.cut = kept, len(kept) < len(node.children)
         order.append(node)
         stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
     for node in reversed(order):
@@ -188,6 +190,19 @@ def _blocks(node: Node) -> list[str]:
     return out
 
 
+def _whole(best: Node) -> Node:
+    """The element that holds the whole article: the article or main around the best element, or its parent
+    where that has parts of text only."""
+    up = best
+    while up is not None:
+        if up.tag in ("article", "main"):
+            return up
+        up = up.parent
+    while (up := best.parent) is not None and not up.cut and not any(c.linked >= 0.5 * c.text for c in up.children if not isinstance(c, str) and c.text):
+        best = up
+    return best
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page: blocks joined by a line feed."""
     if not html:
@@ -196,6 +211,7 @@ def main_text(html: str | None) -> str:
     best = max(order, key=lambda n: n.points * (1.25 if n.tag in ("article", "main") else 1.0))
     if best.points <= 0:
         return "\n".join(_blocks(order[0]))
+    best = _whole(best)
     if best.parent is None:
         return "\n".join(_blocks(best))
     out: list[str] = []

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthlog.llm import image_copies, mixing, quality, shingle_dedup
+from hearthlog.llm import html_extract, image_copies, mixing, quality, shingle_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -110,6 +110,16 @@ def test_corner_budget_and_pairs_of_crowded_keys(spark):
     assert sorted(map(tuple, image_copies._pairs(held, full, 6).collect())) == [(1, 2), (3, 4)]
 
 
+@pytest.mark.parametrize("part", ["section", "div"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "{}"])
+def test_uneven_sections_stay(part, around):
+    p = "<p>" + "A sentence of the article, with a comma. " * 5 + "</p>"
+    body = f"<{part}><h2>Long</h2>{p * 10}</{part}>loose words<{part}><h3>Short</h3>{p}</{part}><{part}><p>Last.</p></{part}>"
+    lines = html_extract.main_text(f"<html><body><nav><a href=x>menu</a></nav><div>{around.format(body)}</div><footer>foot</footer></body></html>").split("\n")
+    assert len(lines) == 15 and {"Long", "loose words", "Short", "Last."} <= set(lines)
+    assert "menu" not in lines and "foot" not in lines
+
+
 def test_quality_counts_every_word():
     text = b"plain word# " * 800
     found = dict(zip(quality.FEATURES, quality.statistics(text), strict=True))
