@@ -40,6 +40,15 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _GENERATOR = 0b101011100011
 
 
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        bits = np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, n: int = 3) -> int:
     """SimHash of one text (UTF-8)."""
     words = text.lower().split()
@@ -52,11 +61,7 @@ def fingerprint(text: bytes, n: int = 3) -> int:
     begins = np.concatenate([np.zeros(1, np.int64), ends[:-n]]).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(begins, (ends[n - 1 :] - 1).tolist(), strict=True)), np.uint64, len(words) - n + 1)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        bits = np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority_bits(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthlog.llm import html_extract, image_copies, mixing, quality, shingle_dedup
+from hearthlog.llm import html_extract, image_copies, mixing, near_copies, quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,15 +51,29 @@ def components_by_brute_force(texts, n=5, similarity=0.8):
     return [root(i) for i in range(len(texts))], pairs
 
 
-@pytest.mark.parametrize(("limit", "sample"), [(32, 4000), (2, 40)])
-def test_near_copies_by_brute_force(spark, limit, sample):
+def test_near_copies_by_brute_force(spark):
     texts = near_texts()
     want, pairs = components_by_brute_force(texts)
     assert pairs > 300
     df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3).cache()
-    got = {r.row: r.group for r in shingle_dedup.near_copies(df, bucket_limit=limit, sample=sample).collect()}
+    got = {r.row: r.group for r in near_copies.near_copies(df).collect()}
     assert [got[i] for i in range(len(texts))] == want
-    assert shingle_dedup.near_copies(df.limit(0)).count() == 0
+
+
+def test_near_copies_of_full_buckets(spark):
+    """With one centre a bucket: groups are parts of the brute-force ones, and no two texts that stay are similar."""
+    texts = near_texts()[-160:]
+    want, _ = components_by_brute_force(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3).cache()
+    got = {r.row: r.group for r in near_copies.near_copies(df, plan=((2, 1), (4, 4), (16, 8))).collect()}
+    assert all(want[i] == want[g] for i, g in got.items())
+    stay = sorted({g for g in got.values()})
+    alone, pairs = components_by_brute_force([texts[i] for i in stay])
+    assert pairs == 0 and len(set(want)) <= len(stay) < len(texts)
+
+
+def test_near_copies_of_nothing(spark):
+    assert near_copies.near_copies(spark.createDataFrame([], "row long, text string")).count() == 0
 
 
 def test_pipeline_drops_copies_of_similarity_08(spark):
