@@ -9,7 +9,8 @@ parent if that has parts of text only, is the container; siblings with a fifth o
 before it, are kept with it. All their blocks are returned in page order.
 
 Defined cases: null or empty html, and pages without text, give an empty text; broken markup never
-raises; nesting of any depth is handled without recursion; rows are independent, so repeated rows give repeated results.
+raises, and an unended tag at the end of a page is dropped; pages of any length and nesting of any depth take time in
+proportion to their length, without recursion; rows are independent, so repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -39,18 +40,19 @@ _SECTIONS = frozenset("body article main section div td table".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SCOPES = frozenset("table ul ol dl td th article section div body html blockquote main".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"((?:[^>=]++|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "points", "text", "linked", "cut")
+    __slots__ = ("tag", "attrs", "parent", "children", "points", "text", "linked", "commas", "cut")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
-        self.points, self.text, self.linked, self.cut = 0.0, 0, 0, False
+        self.points, self.text, self.linked, self.commas, self.cut = 0.0, 0, 0, 0, False
 
 
 def _attributes(node: Node) -> dict[str, str]:
@@ -72,49 +74,91 @@ def _boilerplate(node: Node) -> bool:
     return any(n in _CUT_NAMES for a in ("class", "id") for n in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs.get(a, "")).lower()))
 
 
+class _Open:
+    """The open elements, with the depths of each tag and of the scopes, so that no end tag has to look for its start."""
+
+    def __init__(self):
+        self.root = Node("html")
+        self._stack, self._at, self._scopes = [self.root], {}, [0]
+
+    @property
+    def node(self) -> Node:
+        return self._stack[-1]
+
+    def depth(self, tags: tuple[str, ...]) -> int:
+        return max((at[-1] for t in tags if (at := self._at.get(t))), default=0)
+
+    def scope(self) -> int:
+        return self._scopes[-1]
+
+    def push(self, node: Node) -> None:
+        self._at.setdefault(node.tag, []).append(len(self._stack))
+        if node.tag in _SCOPES:
+            self._scopes.append(len(self._stack))
+        self._stack.append(node)
+
+    def close(self, depth: int) -> None:
+        """Ends the element at the depth and all in it."""
+        while len(self._stack) > depth:
+            self._at[self._stack.pop().tag].pop()
+            if self._scopes[-1] == len(self._stack):
+                self._scopes.pop()
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag ends whose name ends at ``at``: at the first ``>`` outside quoted values, or else at the first one; -1 for none."""
+    m = _REST.match(html, at)
+    return m.end() - 1 if m else html.find(">", at)
+
+
+def _raw_end(html: str, tag: str, at: int) -> int:
+    m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+    return m.end() if m else -1
+
+
 def parse(html: str) -> Node:
-    """The tree of a page, without what ``_boilerplate`` and raw-text elements hold."""
-    root = node = Node("html")
-    at = 0
-    while True:
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
+    """The tree of a page, without what raw-text elements hold. Time is in proportion to the length."""
+    open_, at, size, unended = _Open(), 0, len(html), set()
+    while at < size:
+        start = html.find("<", at)
+        m = _START.match(html, start) if start >= 0 else None
+        text = html[at : (start if m else start + 1 if start >= 0 else size)]
         if text:
-            node.children.append(unescape(text) if "&" in text else text)
+            open_.node.children.append(unescape(text) if "&" in text else text)
         if not m:
-            return root
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+            at = start + 1 if start >= 0 else size
             continue
-        if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                if tag in _INLINE and up.tag in _SCOPES:  # a stray end of an inline element ends no block
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+        if m[1] or m[2]:
+            end = html.find("-->", m.end()) + 2 if m[1] else html.find(">", m.end())
+            at = end + 1 if end > 1 else size
+            continue
+        end = _tag_end(html, m.end())
+        if end < 0:  # a tag that never ends holds no text
+            break
+        tag, attrs, at = m[4].lower(), html[m.end() : end], end + 1
+        if m[3]:
+            depth = open_.depth((tag,))
+            if depth and (tag not in _INLINE or open_.scope() <= depth):  # a stray end of an inline element ends no block
+                open_.close(depth)
             continue
         if tag in _RAW:
-            if not m[3].rstrip().endswith("/") or tag in ("script", "style"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = end.end() if end else (len(html) if tag in ("script", "style", "textarea") else at)
+            if not attrs.rstrip().endswith("/") or tag in ("script", "style"):
+                end = -1 if tag in unended else _raw_end(html, tag, at)
+                if end < 0:
+                    unended.add(tag)
+                at = end if end >= 0 else size if tag in ("script", "style", "textarea") else at
             continue
         if tag in ("html", "body"):
             continue
-        up = node
         if tag in _ENDS_P or tag in _CLOSES:
-            ends = _CLOSES.get(tag, ("p",))
-            while up is not root and up.tag not in ends and (up.tag not in _SCOPES or tag in ("tr", "td", "th") and up.tag not in ("table",)):
-                up = up.parent
-            if up is not root and up.tag in ends:
-                node = up.parent
-        child = Node(tag, m[3], node)
-        node.children.append(child)
-        if tag not in _VOID and not (m[3].endswith("/") and tag not in _INLINE and tag not in _SECTIONS):
-            node = child
+            depth = open_.depth(_CLOSES.get(tag, ("p",)))
+            if depth and depth >= (open_.depth(("table",)) if tag in ("tr", "td", "th") else open_.scope()):
+                open_.close(depth)
+        child = Node(tag, attrs, open_.node)
+        open_.node.children.append(child)
+        if tag not in _VOID and not (attrs.endswith("/") and tag not in _INLINE and tag not in _SECTIONS):
+            open_.push(child)
+    return open_.root
 
 
 def _measure(root: Node) -> list[Node]:
@@ -128,6 +172,7 @@ def _measure(root: Node) -> list[Node]:
         stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
     for node in reversed(order):
         own = sum(len(c) - c.isspace() * len(c) for c in node.children if isinstance(c, str))
+        node.commas = sum(c.count(",") if isinstance(c, str) else c.commas for c in node.children)
         node.text = own + sum(c.text for c in node.children if not isinstance(c, str))
         node.linked = node.text if node.tag == "a" else sum(c.linked for c in node.children if not isinstance(c, str))
     for node in order:
@@ -137,7 +182,7 @@ def _measure(root: Node) -> list[Node]:
         length = sum(len(c.strip()) if isinstance(c, str) else c.text for c in run)
         if not length:
             continue
-        commas = sum(c.count(",") if isinstance(c, str) else _commas(c) for c in run)
+        commas = sum(c.count(",") if isinstance(c, str) else c.commas for c in run)
         linked = sum(c.linked for c in run if not isinstance(c, str))
         points = (1 + commas + length / 100) * (1 - linked / max(length, linked))
         up, depth = (node if node.tag in _SECTIONS else node.parent or node), 1
@@ -147,17 +192,6 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _commas(node: Node) -> int:
-    n, stack = 0, [node]
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, str):
-                n += c.count(",")
-            else:
-                stack.append(c)
-    return n
-
-
 def _menu(node: Node) -> bool:
     return node.tag in ("ul", "ol", "dl") and node.text > 0 and node.linked > 0.8 * node.text and sum(not isinstance(c, str) for c in node.children) >= 3
 
