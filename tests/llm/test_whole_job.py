@@ -117,8 +117,11 @@ def test_stages_decide_by_row_with_null_and_repeated_ids(spark, tmp_path):
 
 def test_corner_budget_and_pairs_of_crowded_keys(spark):
     noise = np.random.default_rng(1).integers(0, 256, (80, 96)).astype(np.uint8)
-    places, _ = image_copies.describe(noise)
-    assert (places[:, 2] == 1).sum() > 80 * 96 // 40
+    places, bits = image_copies.describe(noise)
+    assert (places[:, 2] == 1).sum() > 80 * 96 // 30
+    inner, inner_bits = image_copies.describe(noise[10:70, 12:84])  # corners away from the border are those of the whole
+    deep = (inner[:, 2] == 1) & (inner[:, 0] > 12) & (inner[:, 0] < 48) & (inner[:, 1] > 12) & (inner[:, 1] < 60)
+    assert deep.sum() > 20 and {tuple(b) for b in inner_bits[deep]} <= {tuple(b) for b in bits}
     held = spark.createDataFrame([(1, 10, 1), (2, 10, 1), (1, 50, 5), (2, 50, 5), (3, 11, 6), (4, 11, 1), (5, 12, 5), (6, 12, 5)], "id long, key long, m long")
     full = spark.createDataFrame([(50,)], "key long")
     assert sorted(map(tuple, image_copies._pairs(held, full, 6).collect())) == [(1, 2), (3, 4)]
@@ -140,3 +143,62 @@ def test_quality_counts_every_word():
     assert found["symbol_words"] == 0.5
     found = dict(zip(quality.FEATURES, quality.statistics(b"plain Word " * 800), strict=True))
     assert found["capital_words"] == 0.5
+
+
+def image_rows(images):
+    return [(i, *x.shape, bytearray(np.ascontiguousarray(x).astype(np.uint8).tobytes())) for i, x in images]
+
+
+def noise_image(rng, h, w):
+    return image_copies._box(rng.integers(0, 256, (h // 2 + 1, w // 2 + 1)).repeat(2, 0).repeat(2, 1)[:h, :w].astype(float)) / 9
+
+
+def test_crowded_image_keys_by_brute_force(spark):
+    """40 posters and their common crop, a design on a small part of many images, and a mass of edited copies."""
+    rng = np.random.default_rng(5)
+    logo, badge = noise_image(rng, 40, 40), noise_image(rng, 20, 22)
+    images = []
+    for i in range(40):  # posters with the crop inside
+        x = noise_image(rng, 64, 96)
+        x[12:52, 20:60] = logo
+        images.append((i, x))
+    images.append((90, logo[2:38, 2:38]))
+    for i in range(100, 140):  # a common badge, not enough for a copy
+        x = noise_image(rng, 64, 96)
+        x[40:60, 60:82] = badge
+        images.append((i, x))
+    original = noise_image(rng, 64, 80)
+    for i in range(200, 240):
+        x = original.copy()
+        at = rng.integers(0, 40, 2)
+        x[at[0] : at[0] + 14, at[1] : at[1] + 14] = rng.integers(0, 256)
+        images.append((i, x))
+    df = spark.createDataFrame(image_rows(images), "id long, height int, width int, pixels binary")
+    got = {r.id: (r.class_id, r.n_links) for r in image_copies.find_copies(image_copies.image_features(df), bucket_limit=8).collect()}
+
+    described = {i: image_copies.describe(x.astype(np.uint8)) for i, x in images}
+    top = {i: i for i, _ in images}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    links = 0
+    for i, (p, x) in described.items():
+        for j, (q, y) in described.items():
+            if i < j and (n := image_copies.consensus(p, x, q, y)) >= 6 and n >= 0.3 * min(len(x), len(y)):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+                links += 1
+    assert links > 500 and len({root(i) for i in top}) == 42
+    assert {i: c for i, (c, _) in got.items()} == {i: root(i) for i in top}
+    assert got[90][1] == 40
+
+
+def test_rows_of_one_image_id(spark):
+    rng = np.random.default_rng(6)
+    x, y = noise_image(rng, 40, 48), noise_image(rng, 40, 48)
+    df = spark.createDataFrame(image_rows([(1, x), (1, y), (2, x), (3, y)]), "id long, height int, width int, pixels binary")
+    got = sorted((r.id, r.class_id, r.n_links) for r in image_copies.find_copies(image_copies.image_features(df)).collect())
+    assert got == [(1, 1, 0), (1, 1, 0), (2, 1, 0), (3, 1, 0)]
