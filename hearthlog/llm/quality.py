@@ -12,12 +12,14 @@ id from all rows; scoring covers every text whole. No id, label, language or sou
 
 Defined cases: null and empty texts are scored like texts without words; documents with a null doc_id
 are scored and never trained on; labels that are null, or of ids without documents, are ignored; several labels of an
-id count as its least; without any positive in the training fold the scorer raises ``ValueError``.
+id count as its least; with under ``least_rows`` positives or unlabelled documents in the training fold (so with empty
+tables) nothing is learned, a warning is given and every score is 0.5.
 Only the id and text columns of documents are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -139,7 +141,7 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positives: int = 20_000, max_unlabelled: int = 40_000, bins: int = 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, max_positives: int = 20_000, max_unlabelled: int = 40_000, bins: int = 16, least_rows: int = 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Scorer:
     """Fit on the training fold: labelled positives against unlabelled documents of that fold."""
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
     sample = lambda df, n: df.distinct().orderBy(F.xxhash64("id"), "id").limit(n)
@@ -150,8 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = 20_000, max_u
     rows = texts.mapInArrow(_features, "id long, x array<double>").join(F.broadcast(chosen), "id").orderBy("id").collect()
     x = np.array([r.x for r in rows], np.float64).reshape(-1, len(FEATURES))
     p, u = np.array([r.p == 1 for r in rows], bool), np.array([r.u == 0 for r in rows], bool)
-    if not p.any() or not u.any():
-        raise ValueError("no trusted positives in the training fold")
+    if min(p.sum(), u.sum()) < least_rows:
+        warnings.warn(f"{p.sum()} positives and {u.sum()} unlabelled documents in the training fold: nothing is learned", stacklevel=2)
+        return Scorer([np.zeros(0)] * len(FEATURES), np.zeros(len(FEATURES)), 0.0, 0.5)
     edges = _edges(x[u], bins)
     return fit_nnpu(x[p], x[u], estimate_prior(x[p], x[u], edges), edges)
 
