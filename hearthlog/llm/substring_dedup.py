@@ -7,10 +7,12 @@ therefore meets in one bucket, where sorting finds the first one exactly.
 
 Jobs:
 
-1. *hot minimisers*: super-k-mers per minimiser, counted over all texts. A minimiser with a share of
-   more than 1 / (8 * buckets) of all super-k-mers of any batch is reported; those that also have
-   that share overall are fewer than 8 * buckets by construction, so the list is bounded.
-2. *partition*: super-k-mers go to ``minimiser mod buckets``; windows of hot minimisers are cut to
+1. *hot minimisers*: super-k-mers per minimiser, counted over all texts. A batch reports those with half a
+   share of ``hot_share`` = 1 / (8 * buckets) or more; what is hot overall loses less than half of its count
+   to batches that don't report it, so half the share of the reported counts finds all. There are
+   2 / hot_share such minimisers at most, and 2 * ``max_hot`` however large the input.
+2. *partition*: super-k-mers go to ``minimiser mod buckets``, with as many buckets as the octets of all texts
+   need for about ``bucket_bytes`` of packed strings each (that is what a task holds at once); windows of hot minimisers are cut to
    single windows that go to the bucket of their own content hash, so that a line or phrase standing
    in a third of the documents is spread over all buckets. Equal packed strings of a batch are sent once.
 3. *buckets*: sort window hashes, compare the words of equal hashes, keep the first place of each content.
@@ -39,6 +41,8 @@ from .common import id_back, id_key, materialise, pieces
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 _LONGEST_RUN = 64
+#: Words of super-k-mers by words of texts: neighbours share k - 1 words and hold some 9 windows of 20 words.
+_REPEATED = 3
 
 
 class _WordHashes(dict):
@@ -124,8 +128,8 @@ def _documents(batch: pa.RecordBatch):
     return ids[order], [w for x in split for w in x], lengths
 
 
-def _hot_minimisers(docs: DataFrame, k: int, m: int, buckets: int) -> np.ndarray:
-    share, least = 1 / (8 * buckets), 16
+def _hot_minimisers(docs: DataFrame, k: int, m: int, buckets: int, max_hot: int = 2_000_000) -> np.ndarray:
+    share, least = max(1 / (8 * buckets), 1 / max_hot), 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -135,7 +139,7 @@ def _hot_minimisers(docs: DataFrame, k: int, m: int, buckets: int) -> np.ndarray
             _, _, key, whole = _superkmers(words, lengths, hashes, k, m, none)
             pairs = key[np.unique(key * np.uint64(_MULTIPLIERS[0]) + whole, return_index=True)[1]]  # equal texts of a batch count once
             values, counts = np.unique(pairs, return_counts=True)
-            often = counts >= max(least, share * len(pairs))
+            often = counts >= max(least, share / 2 * len(pairs))
             yield pa.record_batch(
                 [pa.array(np.append(values[often], np.uint64(0)).view(np.int64)), pa.array(np.append(counts[often], 0)), pa.array(np.append(np.zeros(often.sum(), np.int64), len(pairs)))],
                 names=["minimiser", "n", "of"],
@@ -143,7 +147,7 @@ def _hot_minimisers(docs: DataFrame, k: int, m: int, buckets: int) -> np.ndarray
 
     counted = materialise(docs.mapInArrow(count, "minimiser long, n long, of long"), "minimiser-counts")
     total = counted.agg(F.sum("of")).first()[0] or 0
-    rows = counted.groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, share * total)).select("minimiser").collect()
+    rows = counted.groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, share / 2 * total)).select("minimiser").collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
@@ -241,16 +245,16 @@ def _buckets_to_first(packed: DataFrame, k: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(firsts, "id long, start long, n long")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 3, buckets: int | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 3, buckets: int | None = None, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, text (kept words joined by one space), n_words, n_removed of every row.
 
     A word goes if a window of ``k`` words over it has the same words as a window that starts earlier
-    (smaller id, or same id and earlier start). ``buckets``: 4 per shuffle partition unless given;
-    one bucket's packed text is what a task holds at once.
+    (smaller id, or same id and earlier start). ``buckets``: from the octets of all texts unless given.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if buckets is None:
+        octets = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = 1 + _REPEATED * octets // bucket_bytes
     hot = _hot_minimisers(pairs, k, m, buckets)
     firsts = _buckets_to_first(_partition(pairs, k, m, buckets, hot), k)
     runs = firsts.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
