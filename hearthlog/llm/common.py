@@ -43,7 +43,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that no plan reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.written_path
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, materialise, pieces
+from .common import id_back, id_key, materialise, pieces, release
 
 #: Low and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -157,6 +157,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("f")), "labels")
+    written = labels
     for _ in range(max_rounds):
         up = labels.select(F.col("node").alias("f"), F.col("f").alias("g"))
         near = both.join(labels.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b").groupBy("a").agg(F.min("fb").alias("m"))
@@ -164,8 +165,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hooked = seen.groupBy("f").agg(F.min("v").alias("h")).select(F.col("f").alias("node"), "h")
         step = seen.join(hooked, "node", "left").select("node", F.least("f", "v", F.coalesce("h", "f")).alias("f"), F.col("f").alias("old"))
         step = materialise(step, "labels")
-        labels = step.select("node", "f")
+        release(seen, written)
+        labels, written = step.select("node", "f"), step
         if step.where("f != old").isEmpty():
+            release(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
