@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: White space as text tools strip it.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space other than a line feed.
+SPACE_IN_LINE = SPACE[:-1] + r"&&[^\n]]"
+WORD = r"[\p{L}\p{N}\p{Co}]+"
 TOKEN_BREAK = r"[^\p{L}\p{N}\p{Co}]+"
 
 
@@ -28,11 +31,11 @@ def split_lines(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(text, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+$", "")
+    return F.regexp_replace(text, rf"(?<!{SPACE}){SPACE}++\z", "")
 
 
 def one_line(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthlog.functions.text import one_line, rstrip, split_lines, strip
+from hearthlog.functions.text import LINE_END, SPACE_IN_LINE, one_line, split_lines, strip
 
 #: Texts that providers put before a user's own words.
 PREAMBLES = {
@@ -21,9 +21,10 @@ BY_FILE = ("provider", "file")
 
 
 def tidy_lines(text: Column) -> Column:
-    """Every line right-trimmed, no blank lines at either end."""
-    joined = F.array_join(F.transform(split_lines(text), rstrip), "\n")
-    return F.regexp_replace(joined, r"\A\n+|\n+\z", "")
+    """Every line right-trimmed, no blank lines at either end. Three passes over the text, each run of blanks seen once."""
+    lines = F.regexp_replace(text, LINE_END, "\n")
+    trimmed = F.regexp_replace(lines, rf"(?<!{SPACE_IN_LINE}){SPACE_IN_LINE}++(?=\n|\z)", "")
+    return F.regexp_replace(trimmed, r"\A\n+|(?<!\n)\n++\z", "")
 
 
 def is_preamble(provider: Column, role: Column, text: Column) -> Column:
@@ -35,14 +36,21 @@ def is_preamble(provider: Column, role: Column, text: Column) -> Column:
 
 
 def strip_artifacts(text: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ARTIFACTS, ""), INSIGHTS, ""), r"\n{3,}", "\n\n"))
+    tags = F.when(text.contains("</"), F.regexp_replace(text, ARTIFACTS, "")).otherwise(text)
+    insights = F.when(text.contains("★ Insight"), F.regexp_replace(tags, INSIGHTS, "")).otherwise(tags)
+    return strip(F.regexp_replace(insights, r"\n{3,}", "\n\n"))
+
+
+def _once(df: DataFrame, text: Column) -> DataFrame:
+    """df with a new text, computed once: filters on it are not pushed below a generator, which would compute it again in each."""
+    return df.withColumn("text", F.explode(F.array(text)))
 
 
 def clean_turns(turns: DataFrame, artifacts: bool = True) -> DataFrame:
     """Tidy lines; drop empty turns and users' preambles; strip artifacts; number the survivors of each file from one."""
-    out = turns.withColumn("text", tidy_lines(F.coalesce("text", F.lit("")))).where("text <> ''").where(~F.coalesce(is_preamble(F.col("provider"), F.col("role"), F.col("text")), F.lit(False)))
+    out = _once(turns, tidy_lines(F.coalesce("text", F.lit("")))).where("text <> ''").where(~F.coalesce(is_preamble(F.col("provider"), F.col("role"), F.col("text")), F.lit(False)))
     if artifacts:
-        out = out.withColumn("text", strip_artifacts(F.col("text"))).where("text <> ''")
+        out = _once(out, strip_artifacts(F.col("text"))).where("text <> ''")
     return out.withColumn("msg_index", F.row_number().over(Window.partitionBy(*BY_FILE).orderBy("msg_index")).cast("long"))
 
 
@@ -93,7 +101,11 @@ def rendered(max_chars: int = 0) -> Column:
     return F.when(F.col("role") == "cmd", F.concat(F.lit("cmd: "), one_line(text))).otherwise(F.concat(label, F.lit(":\n"), text, F.lit("\n")))
 
 
+def render_lines(turns: DataFrame, order: tuple[str, ...], max_chars: int = 0) -> DataFrame:
+    line = turns.select(*BY_FILE, F.struct(*order, rendered(max_chars).alias("t")).alias("x"))
+    return line.groupBy(*BY_FILE).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))
+
+
 def render_transcript(turns: DataFrame, max_chars: int = 0) -> DataFrame:
     """provider, file, text: one transcript per conversation, in order."""
-    line = turns.select(*BY_FILE, F.struct("msg_index", rendered(max_chars).alias("t")).alias("x"))
-    return line.groupBy(*BY_FILE).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))
+    return render_lines(turns, ("msg_index",), max_chars)

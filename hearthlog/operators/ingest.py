@@ -44,3 +44,28 @@ def incremental_ingest(files: DataFrame, state: DataFrame, turns: DataFrame, rea
     vanished = state.select(F.col("file").alias("path")).join(files.select("path"), "path", "left_anti") if purge else None
     after = merge_turns(turns, changed, read(changed), vanished)
     return after, next_state(files, after)
+
+
+def append_ingest(files: DataFrame, state: DataFrame, turns: DataFrame, resume: Callable[[DataFrame], tuple[DataFrame, DataFrame]], purge: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(turns, state) after ingesting append-only logs: a grown file is read on from its stored offset and its turns numbered on,
+    a new or rewritten one is read from its start; only complete lines count, the rest waits for the next run.
+
+    state: file, mtime, size, offset, msg_index. resume: (file, offset, msg_index) of what is to be read, to (turns, ends), as
+    ``sources.logs.resumed_turns`` does it. purge: forget vanished files. The results should be written before the next run.
+    """
+    change = file_changes(files, state).withColumnRenamed("path", "file")
+    known = change.join(state.select("file", "offset", "msg_index"), "file", "left")
+    grown = F.col("change") == "grown"
+    from_ = lambda c: F.when(grown, F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
+    todo = known.where(F.col("change").isin("new", "grown", "rewritten")).select("file", from_("offset"), from_("msg_index"))
+    new, ends = resume(todo)
+    gone = change.where(F.col("change").isin(*["rewritten", *["vanished"] * purge])).select("file")
+    after = turns.join(gone, "file", "left_anti").select(*turns.columns).unionByName(new.select(*turns.columns))
+
+    top = new.groupBy("file").agg(F.max("msg_index").alias("top"))
+    read = todo.join(ends.withColumnRenamed("offset", "end"), "file", "left").join(top, "file", "left")
+    read = read.select("file", F.greatest("offset", F.coalesce("end", F.lit(0))).alias("offset"), F.coalesce("top", "msg_index").alias("msg_index"))
+    now = files.select(F.col("path").alias("file"), "mtime", "size")
+    rest = state.join(todo, "file", "left_anti")
+    rest = rest.join(gone, "file", "left_anti") if purge else rest
+    return after, now.join(read, "file").unionByName(rest.select("file", "mtime", "size", "offset", "msg_index"))

@@ -3,16 +3,20 @@
 queries: query_id, clause_id, atom_id, terms (array), is_prefix, negated. A document satisfies a clause with
 all its positive atoms and none of its negated ones, and a query with any clause. An atom of several
 terms is a phrase; ``is_prefix`` lets its last term be the start of a word.
+
+An index is written once (``write_index``) and read by every batch; what a batch matches is written once too
+(``matched``), so that scores, clauses and frequencies read it instead of expanding the match again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthlog.functions.text import one_line, tokens
+from hearthlog.functions.text import WORD, fold, one_line, tokens
+from hearthlog.sources.written import fresh_path, materialise
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 ATOM, DOC = ("query_id", "atom_id"), ("file", "msg_index")
@@ -34,6 +38,35 @@ def build_index(turns: DataFrame, columns: tuple[str, ...] = ("text",)) -> Index
     return Index(turns, postings, stats)
 
 
+def write_index(index: Index, path: str) -> Index:
+    """The index as written tables below ``path``: postings in ranges of the term, so that a batch's terms skip row groups."""
+    index.turns.write.parquet(f"{path}/turns")
+    index.postings.repartitionByRange("term", "file").sortWithinPartitions("term", "file", "msg_index").write.parquet(f"{path}/postings")
+    index.turn_stats.write.parquet(f"{path}/turn_stats")
+    return read_index(index.turns.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("turns", "postings", "turn_stats")))
+
+
+def written_index(turns: DataFrame, columns: tuple[str, ...] = ("text",)) -> Index:
+    """An index written in the shared folder; the turns are written first and read from there."""
+    kept = materialise(turns, "turns")
+    built = build_index(kept, columns)
+    path = fresh_path(turns.sparkSession, "index")
+    built.postings.repartitionByRange("term", "file").sortWithinPartitions("term", "file", "msg_index").write.parquet(f"{path}/postings")
+    return Index(kept, turns.sparkSession.read.parquet(f"{path}/postings"), materialise(built.turn_stats, "turn-stats"))
+
+
+def update_index(index: Index, changed: DataFrame, turns: DataFrame, columns: tuple[str, ...] = ("text",)) -> Index:
+    """The index after files changed (``file``: new, grown, rewritten or gone) and their turns were read anew: only these are
+    tokenised; all other postings are kept as they are. Write it to a path of its own, then read that one."""
+    gone, new = F.broadcast(changed.select("file").distinct()), build_index(turns, columns)
+    parts = [(getattr(index, t), getattr(new, t)) for t in ("turns", "postings", "turn_stats")]
+    return Index(*(old.join(gone, "file", "left_anti").select(*old.columns).unionByName(more) for old, more in parts))
+
+
 def cook_query(query: Column) -> Column:
     """A raw query as a safe match expression: words become prefixes, punctuated words quoted phrases,
     operators and hand-written syntax pass, quoted phrases stay, what has nothing to index drops out."""
@@ -55,24 +88,43 @@ def cook_query(query: Column) -> Column:
 
 
 def normalise_queries(queries: DataFrame) -> DataFrame:
-    """The clause table of (query_id, query): OR starts a clause, NOT negates the atom after it, all else is joined by AND.
+    """The clause table of (query_id, query), in disjunctive normal form.
 
-    Lower-case operator words are exact terms, as they are for the match syntax.
+    Words side by side bind closest, then NOT, then AND, then OR: ``a NOT b c`` is a without (b and c), so that it has
+    the clauses ``a NOT b`` and ``a NOT c``; ``a NOT b AND c`` is (a NOT b) and c. Lower-case operator words are exact
+    terms. Parentheses and NEAR are not supported and raise.
     """
     parts = F.regexp_extract_all(F.coalesce("query", F.lit("")), F.lit(r'("[^"]*"|[^\s"]+)'), 1)
     each = queries.select("query_id", F.posexplode(parts).alias("at", "p"))
+    bad = ~F.col("p").startswith('"') & (F.col("p").rlike(r"[()]") | (F.col("p") == "NEAR"))
+    each = each.withColumn("p", F.when(bad, F.raise_error(F.concat(F.lit("not supported in a query: "), "p"))).otherwise(F.col("p")))
     order = Window.partitionBy("query_id").orderBy("at")
-    each = each.withColumn("clause_id", F.sum((F.col("p") == "OR").cast("int")).over(order)).withColumn("negated", F.coalesce(F.lag("p").over(order) == "NOT", F.lit(False)))
+    operator = F.when(F.col("p").isin("AND", "OR", "NOT"), F.col("p"))
+    each = each.withColumn("either", F.sum((F.col("p") == "OR").cast("int")).over(order)).withColumn("group", F.count(operator).over(order))
+    each = each.withColumn("negated", F.coalesce(F.last(operator, ignorenulls=True).over(order) == "NOT", F.lit(False)))
     atoms = each.where(~F.col("p").isin("AND", "OR", "NOT")).withColumn("terms", tokens(F.col("p"))).where(F.size("terms") > 0)
-    exact = F.lower("p").isin("and", "or", "not") | F.col("p").rlike(r"[()]")
-    return atoms.select("query_id", F.col("clause_id").cast("int").alias("clause_id"), F.col("at").alias("atom_id"), "terms", (~exact).alias("is_prefix"), "negated")
+    atoms = atoms.select("query_id", "either", "group", "negated", F.struct(F.col("at").alias("atom_id"), "terms", (~F.lower("p").isin("and", "or", "not")).alias("is_prefix")).alias("atom"))
+
+    grouped = atoms.groupBy("query_id", "either", "group", "negated").agg(F.array_sort(F.collect_list("atom")).alias("atoms"))
+    sides = grouped.groupBy("query_id", "either").agg(
+        F.flatten(F.collect_list(F.when(~F.col("negated"), F.col("atoms")))).alias("wanted"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("negated"), F.struct("group", "atoms")))), lambda g: g["atoms"]).alias("barred"),
+    )
+    # one clause for each choice of an atom from every negated group
+    none = F.array(F.slice(F.col("wanted"), 1, 0))
+    choices = F.aggregate("barred", none, lambda done, group: F.flatten(F.transform(done, lambda c: F.transform(group, lambda a: F.concat(c, F.array(a))))))
+    clauses = sides.select("query_id", "either", "wanted", F.posexplode(choices).alias("choice", "unwanted"))
+    clauses = clauses.withColumn("clause_id", (F.row_number().over(Window.partitionBy("query_id").orderBy("either", "choice")) - 1).cast("int"))
+    mark = lambda xs, negated: F.transform(xs, lambda a: F.struct(a.alias("a"), F.lit(negated).alias("negated")))
+    rows = clauses.select("query_id", "clause_id", F.explode(F.concat(mark("wanted", False), mark("unwanted", True))).alias("x"))
+    return rows.select("query_id", "clause_id", "x.a.atom_id", "x.a.terms", "x.a.is_prefix", "x.negated")
 
 
 def prefix_terms(terms: DataFrame, atoms: DataFrame) -> DataFrame:
     """(query_id, atom_id, term): the terms that start with each atom's prefix.
 
     terms: distinct terms; atoms: query_id, atom_id, prefix. An equi-join: every term meets the atoms at
-    its starts of the lengths that prefixes have.
+    its starts of the lengths that prefixes have. A small job finds these lengths while the plan is built.
     """
     lengths = sorted(r[0] for r in atoms.select(F.length("prefix")).distinct().collect())  # as many as query words have lengths
     starts = F.transform(F.filter(F.array(*map(F.lit, lengths or [0])), lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
@@ -97,6 +149,12 @@ def match_atoms(index: Index, queries: DataFrame) -> DataFrame:
     return single.unionByName(phrase)
 
 
+def matched(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written matches of a batch, and its written queries."""
+    queries = materialise(queries, "queries")
+    return materialise(match_atoms(index, queries), "matches"), queries
+
+
 def match_phrase(index: Index, queries: DataFrame) -> DataFrame:
     """The same for phrases alone."""
     return match_atoms(index, queries.where(F.size("terms") > 1))
@@ -115,15 +173,18 @@ def match_boolean(matches: DataFrame, queries: DataFrame) -> DataFrame:
 
 def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, provider, file, msg_index, score) of all documents that satisfy each query. Statistics are those of the whole index."""
-    matches = match_atoms(index, queries)
+    matches, queries = matched(index, queries)
     totals = index.turn_stats.agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("total"))
-    positive = matches.join(queries.where(~F.col("negated")).select(*ATOM).distinct(), list(ATOM))
+    positive = matches.join(queries.where(~F.col("negated")).select(*ATOM).distinct(), list(ATOM), "left_semi")
     df = positive.groupBy(*ATOM).agg(F.count("*").alias("df"))
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.join(F.broadcast(totals)).select(*ATOM, F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"), (F.col("total") / F.col("n_docs")).alias("mean"))
-    found = positive.join(match_boolean(matches, queries), ["query_id", "provider", *DOC]).join(index.turn_stats, ["provider", *DOC]).join(weights, list(ATOM))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
-    return found.groupBy("query_id", "provider", *DOC).agg(F.sum(part).alias("score"))
+    # what each document has of a query comes together before its length is joined
+    held = positive.join(weights, list(ATOM)).groupBy("query_id", "provider", *DOC).agg(F.collect_list(F.struct("idf", "tf", "mean")).alias("parts"))
+    found = held.join(match_boolean(matches, queries), ["query_id", "provider", *DOC], "left_semi").join(index.turn_stats, ["provider", *DOC])
+    part = lambda p: p["idf"] * p["tf"] * (K1 + 1) / (p["tf"] + K1 * (1 - B + B * F.col("n_tokens") / p["mean"]))
+    score = F.aggregate(F.array_sort(F.transform("parts", part)), F.lit(0.0), lambda a, x: a + x)
+    return found.select("query_id", "provider", *DOC, score.alias("score"))
 
 
 def _ranked(scored: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
@@ -156,26 +217,36 @@ def search_per_provider(index: Index, queries: DataFrame, k: int = 20, **restric
 
 
 def snippets(hits: DataFrame, index: Index, queries: DataFrame, n_tokens: int = 250) -> DataFrame:
-    """hits with ``snip``: the window of n tokens with the most distinct atoms (the earliest of equals), matches in
-    brackets, ``…`` where the text is cut. Tokens are joined by one space."""
-    matched = queries.where(~F.col("negated")).select(*ATOM, "terms", "is_prefix").dropDuplicates(list(ATOM))
-    wanted = matched.groupBy("query_id").agg(F.collect_list(F.struct("terms", "is_prefix")).alias("atoms"))
-    toks = hits.join(index.turns.select("provider", *DOC, tokens(F.col("text")).alias("toks")), ["provider", *DOC]).join(wanted, "query_id")
-
-    def first(a: Column) -> Column:
-        return F.element_at(a["terms"], 1)
-
-    def hit(t: Column, a: Column) -> Column:
-        return F.when(a["is_prefix"] & (F.size(a["terms"]) == 1), F.startswith(t, first(a))).otherwise(t == first(a))
-
-    marks = F.transform("toks", lambda t: F.exists("atoms", lambda a: hit(t, a)))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("toks"), F.lit(1))), lambda i: F.element_at("marks", i))
-    distinct = lambda i: F.size(F.filter("atoms", lambda a: F.exists(F.slice("toks", i, F.lit(n_tokens)), lambda t: hit(t, a))))
-    best = F.aggregate("starts", F.struct(F.lit(0).alias("n"), F.lit(1).alias("at")), lambda acc, i: F.when(distinct(i) > acc["n"], F.struct(distinct(i).alias("n"), i.alias("at"))).otherwise(acc))
-    out = toks.where(F.size("toks") > 0).withColumn("marks", marks).withColumn("starts", starts).withColumn("best", best["at"])
-    body = F.array_join(F.transform(F.slice("toks", F.col("best"), F.lit(n_tokens)), lambda t: F.when(F.exists("atoms", lambda a: hit(t, a)), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t)), " ")
-    snip = F.concat(F.when(F.col("best") > 1, "…").otherwise(""), body, F.when(F.col("best") + n_tokens - 1 < F.size("toks"), "…").otherwise(""))
-    return out.withColumn("snip", snip).drop("toks", "marks", "starts", "best", "atoms")
+    """hits with ``snip``: the part of the text of n tokens with the most distinct atoms (the earliest of equals), as it was
+    written, with matches (whole phrases) in brackets and ``…`` where the text is cut. Matches that overlap share brackets."""
+    each = queries.where(~F.col("negated")).select(*ATOM, "terms", "is_prefix").dropDuplicates(list(ATOM))
+    wanted = each.groupBy("query_id").agg(F.collect_list(F.struct("terms", "is_prefix")).alias("atoms"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = index.turns.select("provider", *DOC, F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"), F.split(text, WORD).alias("between"))
+    toks = hits.join(words, ["provider", *DOC]).join(wanted, "query_id").where(F.size("words") > 0).withColumn("toks", F.transform("words", fold))
+
+    def starts(a: Column) -> Column:
+        """Where an atom starts (from one)."""
+        n = F.size(a["terms"])
+        same = lambda i, t, ord_: F.when(a["is_prefix"] & (ord_ == n - 1), F.startswith(F.get("toks", i - 1 + ord_), t)).otherwise(F.get("toks", i - 1 + ord_) == t)
+        places = F.when(F.size("toks") >= n, F.sequence(F.lit(1), F.size("toks") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(places, lambda i: F.forall(F.transform(a["terms"], lambda t, ord_: same(i, t, ord_)), lambda ok: ok))
+
+    out = toks.withColumn("found", F.transform("atoms", lambda a: F.struct(F.size(a["terms"]).alias("n"), starts(a).alias("at"))))
+    out = out.withColumn("heads", F.array_sort(F.array_distinct(F.flatten("found.at"))))
+    distinct = lambda i: F.size(F.filter("found", lambda a: F.exists(a["at"], lambda x: (x >= i) & (x + a["n"] <= i + n_tokens))))
+    best = F.aggregate(F.transform("heads", lambda i: F.struct(distinct(i).alias("n"), (-i).alias("at"))), F.struct(F.lit(-1).alias("n"), F.lit(-1).alias("at")), lambda acc, x: F.greatest(acc, x))
+    out = out.withColumn("from", -best["at"]).withColumn("to", F.least(F.col("from") + n_tokens - 1, F.size("toks")))
+    inside = lambda i: F.exists("found", lambda a: F.exists(a["at"], lambda x: (x <= i) & (i < x + a["n"])))
+    joined = lambda i: F.exists("found", lambda a: F.exists(a["at"], lambda x: (x <= i) & (i + 1 < x + a["n"])))  # noqa: E731  a match over i and i + 1
+    first, last = F.col("from"), F.col("to")
+    shown = lambda i: F.concat(
+        F.when(inside(i) & ((i == first) | ~joined(i - 1)), "[").otherwise(""), F.get("words", i - 1),
+        F.when(inside(i) & ((i == last) | ~joined(i)), "]").otherwise(""), F.when(i < last, F.get("between", i)).otherwise(""),
+    )
+    body = F.array_join(F.transform(F.sequence(first, last), shown), "")
+    snip = F.concat(F.when(first > 1, "…").otherwise(""), body, F.when(last < F.size("toks"), "…").otherwise(""))
+    return out.withColumn("snip", snip).drop("words", "between", "toks", "atoms", "found", "heads", "from", "to")
 
 
 def order_hits(hits: DataFrame, order: str = "score") -> DataFrame:
@@ -192,14 +263,22 @@ def dedupe_hits(hits: DataFrame) -> DataFrame:
     return hits.withColumn("n", n).where("n = 1").drop("n")
 
 
-def tail_turns(turns: DataFrame, n: int, role: str | None = None) -> DataFrame:
+def _restricted(turns: DataFrame, role: str | None, providers: tuple[str, ...] | None, files: DataFrame | None) -> DataFrame:
+    if role is not None:
+        turns = turns.where(F.col("role") == role)
+    if providers is not None:
+        turns = turns.where(F.col("provider").isin(*providers))
+    return turns if files is None else turns.join(files.select("file").distinct(), "file", "left_semi")
+
+
+def tail_turns(turns: DataFrame, n: int, role: str | None = None, providers: tuple[str, ...] | None = None, files: DataFrame | None = None) -> DataFrame:
     """The last n turns by time, shown in ascending order."""
-    kept = turns if role is None else turns.where(F.col("role") == role)
+    kept = _restricted(turns, role, providers, files)
     return kept.orderBy(F.col("ts").desc(), F.col("file").desc(), F.col("msg_index").desc()).limit(n).orderBy("ts", "file", "msg_index")
 
 
-def tail_turns_per_provider(turns: DataFrame, n: int, role: str | None = None) -> DataFrame:
-    kept = turns if role is None else turns.where(F.col("role") == role)
+def tail_turns_per_provider(turns: DataFrame, n: int, role: str | None = None, providers: tuple[str, ...] | None = None, files: DataFrame | None = None) -> DataFrame:
+    kept = _restricted(turns, role, providers, files)
     at = F.row_number().over(Window.partitionBy("provider").orderBy(F.col("ts").desc(), F.col("file").desc(), F.col("msg_index").desc()))
     return kept.withColumn("n", at).where(F.col("n") <= n).drop("n").orderBy("ts", "provider", "file", "msg_index")
 

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlog.functions.text import rstrip
+from hearthlog.sources.written import materialise
 
 from .clean import rendered
 from .windows import fetch_windows, project_of
@@ -70,34 +72,36 @@ def token_budget(transcripts: DataFrame, models: list[str], prompt_chars: int =
     return each.select("provider", "file", "model", token_estimate(size).alias("n_tokens"), context_limit(F.col("model")).cast("long").alias("context_limit"), budget.alias("char_budget"), F.ceil(size / budget).cast("long").alias("n_chunks"))
 
 
-def pack_lines(text: str, max_chars: int) -> list[str]:
-    """Lines packed in order while they fit (each costs its length plus one); longer lines are cut."""
-    packed: list[str] = []
-    held: list[str] = []
-    used = 0
-    for line in text.splitlines():
-        cost = len(line) + 1
-        too_long = cost > max_chars
-        if held and (too_long or used + cost > max_chars):
-            packed.append("\n".join(held))
-            held, used = [], 0
-        if too_long:
-            packed += [line[i : i + max_chars] for i in range(0, len(line), max_chars)]
-        else:
-            held.append(line)
-            used += cost
-    return packed + ["\n".join(held)] if held else packed
+def chunk_bounds(costs: np.ndarray, max_chars: int) -> list[int]:
+    """Where chunks start and the last one ends, as line numbers: each goes on to the last line up to which the sum of the
+    costs fits, and a line that fits nowhere is a chunk of its own."""
+    upto = np.cumsum(costs)
+    wide = np.append(np.flatnonzero(costs > max_chars), len(costs))
+    bounds = [0]
+    while bounds[-1] < len(costs):
+        at = bounds[-1]
+        fits = int(np.searchsorted(upto, upto[at] - costs[at] + max_chars, "right"))
+        bounds.append(max(at + 1, min(fits, int(wide[np.searchsorted(wide, at)]))))
+    return bounds
+
+
+def chunk_text(text: str, max_chars: int) -> list[str]:
+    """Neighbouring lines together up to ``max_chars`` (a line costs its length plus one); a longer line in pieces of that size."""
+    lines = text.splitlines()
+    bounds = chunk_bounds(np.array([len(x) + 1 for x in lines], np.int64), max_chars)
+    chunks = ["\n".join(lines[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [c[i : i + max_chars] for c in chunks for i in range(0, max(len(c), 1), max_chars)]
 
 
 def chunk_transcripts(transcripts: DataFrame, max_chars: int, by: tuple[str, ...] = ("provider", "file")) -> DataFrame:
-    """by, chunk_index (from one), chunk_total, text. Packing is sequential in a text and parallel over texts."""
+    """by, chunk_index (from one), chunk_total, text. Chunks of a text are found one after the other, those of all texts in parallel."""
 
     @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack_lines(t or "", max_chars))
+    def chunk(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: chunk_text(t or "", max_chars))
 
-    packed = transcripts.select(*by, pack("text").alias("c")).select(*by, F.size("c").alias("chunk_total"), F.posexplode("c").alias("i", "text"))
-    return packed.select(*by, (F.col("i") + 1).alias("chunk_index"), "chunk_total", "text")
+    chunks = transcripts.select(*by, chunk("text").alias("c")).select(*by, F.size("c").alias("chunk_total"), F.posexplode("c").alias("i", "text"))
+    return chunks.select(*by, (F.col("i") + 1).alias("chunk_index"), "chunk_total", "text")
 
 
 def render_prompt(text: Column, index: Column | None = None, total: Column | None = None, template: str = DEFAULT_TEMPLATE) -> Column:
@@ -137,23 +141,33 @@ def _joined(summaries: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def map_reduce_summarise(transcripts: DataFrame, summarise: Summariser, max_chars: int, mode: str = "chrono", template: str = DEFAULT_TEMPLATE, by: tuple[str, ...] = ("provider", "file")) -> DataFrame:
     """by, summary. ``chrono``: a labelled summary of every chunk. ``reduce``: while the joined summaries are over
-    ``max_chars``, chunk and summarise them again (at most MAX_PASSES times), then consolidate; what fits at once is one call."""
-    if mode == "reduce":
-        fits = transcripts.where(F.length("text") <= max_chars)
-        large = transcripts.where(F.length("text") > max_chars)
-        once = _summarised(fits, render_prompt(F.col("text"), template=template), summarise, by)
-    else:
-        large = transcripts
+    ``max_chars``, chunk and summarise them again (at most MAX_PASSES times), then consolidate; what fits at once is one call.
+
+    Every pass of ``reduce`` is a written table, so that a model is asked once for a prompt, whatever is lost or read again.
+    """
     prompt = render_prompt(F.col("text"), F.col("chunk_index"), F.col("chunk_total"), template)
     keep = (*by, "chunk_index", "chunk_total")
-    text = _joined(_summarised(chunk_transcripts(large, max_chars, by), prompt, summarise, keep), by)
+
+    def summaries(texts: DataFrame) -> DataFrame:
+        return _summarised(chunk_transcripts(texts, max_chars, by), prompt, summarise, keep)
+
     if mode == "chrono":
-        return text.withColumnRenamed("text", "summary")
-    for _ in range(MAX_PASSES):
-        over = text.where(F.length("text") > max_chars)
-        again = _joined(_summarised(chunk_transcripts(over, max_chars, by), prompt, summarise, keep), by)
-        text = text.where(F.length("text") <= max_chars).unionByName(again)
-    return once.unionByName(_summarised(text, render_prompt(F.col("text"), template=template), summarise, by))
+        return _joined(summaries(transcripts), by).withColumnRenamed("text", "summary")
+    texts = materialise(transcripts.select(*by, "text"), "transcripts")
+    over = texts.where(F.length("text") > max_chars)
+    short = texts.where(F.length("text") <= max_chars)
+    for _ in range(MAX_PASSES + 1):
+        if over.isEmpty():
+            break
+        joined = _joined(materialise(summaries(over), "summaries"), by)
+        over, short = joined.where(F.length("text") > max_chars), short.unionByName(joined.where(F.length("text") <= max_chars))
+    return _summarised(short.unionByName(over), render_prompt(F.col("text"), template=template), summarise, by)
+
+
+def joined_digests(digests: DataFrame) -> DataFrame:
+    """query_id, text: the digests of each query as one text, in the order of provider and file."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("provider", "file", "text"))), lambda x: x["text"])
+    return digests.groupBy("query_id").agg(F.array_join(parts, "\n\n---\n\n").alias("text"))
 
 
 def conversation_digests(turns: DataFrame, spans: DataFrame, files: DataFrame) -> DataFrame:

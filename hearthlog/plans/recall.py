@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlog.operators import clean, mentions, search, windows
+from hearthlog.sources.written import materialise
 
 
 @dataclass
@@ -20,7 +21,7 @@ class Recall:
 
 def recall(index: search.Index, queries: DataFrame, k: int = 20, window: int = 1, n_tokens: int = 250, **restrict) -> Recall:
     """Ranked hits of each provider with snippets, the merged windows around them and the turns inside."""
-    ranked = search.search_per_provider(index, queries, k, **restrict)
+    ranked = materialise(search.search_per_provider(index, queries, k, **restrict), "hits")
     hits = search.with_turns(search.snippets(ranked, index, queries, n_tokens), index.turns)
     spans = windows.window_spans(ranked, window)
     return Recall(hits, spans, windows.fetch_windows(index.turns, spans), windows.conversation_hits(ranked))
@@ -47,9 +48,17 @@ def search_with_commits(index: search.Index, queries: DataFrame, mode: str = "fo
     return mentions.nearest_mention(hits, found, mode, span)
 
 
-def clean_report(turns: DataFrame, query: str | None = None, max_chars: int = 0) -> DataFrame:
-    """Transcripts of cleaned, filtered turns without repeats."""
-    kept = clean.contains_filter(clean.clean_turns(turns), query)
-    if max_chars:
-        kept = kept.withColumn("text", clean.truncated(F.col("text"), max_chars))
-    return clean.render_transcript(clean.collapse_repeats(kept))
+def clean_report(turns: DataFrame, query: str | None = None, max_chars: int = 0, include_inline: bool = False) -> DataFrame:
+    """provider, file, text: transcripts of tidy, filtered turns without repeats. Artifacts stay, as in the turns themselves.
+
+    include_inline: the commands in each turn of a user or assistant that fit the query follow it, also where the
+    turn itself is a repeat or does not fit. Turns are filtered as a whole, commands are taken from what is shown of them.
+    """
+    tidy = clean.clean_turns(turns, artifacts=False)
+    shown = tidy.withColumn("full", F.col("text")).withColumn("text", clean.truncated(F.col("text"), max_chars))
+    fits = F.contains(F.lower("full"), F.lit(query.lower())) if query else F.lit(True)
+    lines = clean.collapse_repeats(shown.where(fits)).select(*clean.BY_FILE, "msg_index", F.lit(0).alias("at"), "role", "text")
+    if include_inline:
+        commands = clean.contains_filter(clean.extract_inline_commands(shown).withColumnRenamed("command", "text"), query)
+        lines = lines.unionByName(commands.select(*clean.BY_FILE, "msg_index", F.col("ordinal").alias("at"), F.lit("cmd").alias("role"), "text"))
+    return clean.render_lines(lines, ("msg_index", "at"))

@@ -72,8 +72,19 @@ def _content(v: str, path: str, include_tools: bool, wide: bool = False) -> Colu
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (a number ascending in each file), v (the JSON of a line)."""
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
-    numbered = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.expr("try_parse_json(value)").alias("v"))
-    return numbered.where(F.expr("schema_of_variant(v) LIKE 'OBJECT%'")).select("file", F.struct("block", "n").alias("line"), "v")
+    return _objects(text.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line"), "value"))
+
+
+def _objects(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("v", F.expr("try_parse_json(value)")).where(F.expr("schema_of_variant(v) LIKE 'OBJECT%'")).select("file", "line", "v")
+
+
+def complete_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, line, value, end: the lines of files that end in a line feed, and the offset after each. One sort per file."""
+    text = spark.read.option("lineSep", "\n").text(paths)
+    at = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line"), "value")
+    end = F.sum(F.octet_length("value") + 1).over(Window.partitionBy("file").orderBy("line"))
+    return at.withColumn("end", end).where(F.col("end") <= F.col("size")).drop("size")
 
 
 def _numbered(rows: DataFrame, provider: str) -> DataFrame:
@@ -93,6 +104,10 @@ def _emit(lines: DataFrame, ts: Column, rows: Column) -> DataFrame:
 
 def read_codex_turns(spark: SparkSession, path: str, include_tools: bool = False, include_cmds: bool = True) -> DataFrame:
     """Messages of both event kinds, and shell commands as ``cmd`` rows."""
+    return _numbered(codex_rows(_lines(spark, path), include_tools, include_cmds), "codex")
+
+
+def codex_rows(lines: DataFrame, include_tools: bool = False, include_cmds: bool = True) -> DataFrame:
     kind, inner = _field("v", "$.type"), _field("v", "$.payload.type")
     command = F.expr("try_variant_get(try_parse_json(try_variant_get(v, '$.payload.arguments', 'string')), '$.command', 'string')")
     item, event = kind == "response_item", kind == "event_msg"
@@ -104,7 +119,7 @@ def read_codex_turns(spark: SparkSession, path: str, include_tools: bool = False
         ),
         lambda r: r["role"].isNotNull() & r["text"].isNotNull(),
     )
-    return _numbered(_emit(_lines(spark, path), _field("v", "$.timestamp"), rows), "codex")
+    return _emit(lines, _field("v", "$.timestamp"), rows)
 
 
 _COMMAND = """coalesce({keys}, CASE WHEN schema_of_variant(try_variant_get({i}, '$.input', 'variant')) = 'STRING' THEN nullif(trim(try_variant_get({i}, '$.input', 'string')), '') END)"""
@@ -119,14 +134,17 @@ def _command(i: str) -> str:
 
 def read_claude_turns(spark: SparkSession, path: str, include_tools: bool = False, include_cmds: bool = True) -> DataFrame:
     """Commands of a message first, then its text if the role is user or assistant."""
-    lines = _lines(spark, path)
+    return _numbered(claude_rows(_lines(spark, path), include_tools, include_cmds), "claude")
+
+
+def claude_rows(lines: DataFrame, include_tools: bool = False, include_cmds: bool = True) -> DataFrame:
     inside = F.coalesce(_is("v", "$.message", "OBJECT"), F.lit(False))
     calls = F.expr(f"filter(transform(try_variant_get(v, '$.message.content', 'array<variant>'), i -> CASE WHEN try_variant_get(i, '$.type', 'string') = 'tool_use' THEN {_command('i')} END), c -> c IS NOT NULL)")
     commands = F.when(inside & F.lit(include_cmds), F.transform(F.coalesce(calls, F.array().cast("array<string>")), lambda c, at: F.struct(at.alias("at"), F.lit("cmd").alias("role"), c.alias("text")))).otherwise(F.array().cast("array<struct<at:int,role:string,text:string>>"))
     role = F.when(inside, _field("v", "$.message.role")).otherwise(_field("v", "$.role"))
     text = F.when(inside, _content("v", "$.message.content", include_tools)).otherwise(_content("v", "$.content", include_tools))
     message = F.when(role.isin("user", "assistant"), F.array(_row(1_000_000, role, text))).otherwise(F.array().cast("array<struct<at:int,role:string,text:string>>"))
-    return _numbered(_emit(lines, _field("v", "$.timestamp"), F.concat(commands, message)), "claude")
+    return _emit(lines, _field("v", "$.timestamp"), F.concat(commands, message))
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
@@ -197,7 +215,11 @@ def read_raw_turns(spark: SparkSession, path: str, provider: str) -> DataFrame:
         m = _documents(spark, path).select("file", F.expr("posexplode(try_variant_get(d, '$.messages', 'array<variant>'))").alias("line", "v"))
         rows = m.select("file", "line", F.to_json("v").alias("message")).mapInPandas(_gemini_raw, "file string, line int, at int, role string, ts_raw string, text string")
         return _numbered(rows, "gemini")
-    lines = _lines(spark, path)
+    return _numbered(raw_rows(_lines(spark, path), provider), provider)
+
+
+def raw_rows(lines: DataFrame, provider: str) -> DataFrame:
+    """Rows of the search flavour from lines (file, line, v) of codex or claude logs."""
     if provider == "codex":
         kind, inner = _field("v", "$.type"), _field("v", "$.payload.type")
         item, event = (kind == "response_item") & (inner == "message"), kind == "event_msg"
@@ -207,13 +229,37 @@ def read_raw_turns(spark: SparkSession, path: str, provider: str) -> DataFrame:
         inside = F.coalesce(_is("v", "$.message", "OBJECT"), F.lit(False))
         role = F.when(inside, F.coalesce(_field("v", "$.message.role"), _field("v", "$.type"))).otherwise(_field("v", "$.role"))
         text = F.when(inside, _content("v", "$.message.content", False, True)).otherwise(_content("v", "$.content", False, True))
-    rows = _emit(lines, _field("v", "$.timestamp"), F.array(_row(0, role, text)))
-    return _numbered(rows.where(F.col("role").isNotNull()), provider)
-
-
-def write_run(df: DataFrame, path: str, run_id: str, manifest: dict | None = None) -> None:
-    """One run's table below ``run_id=...`` by provider where there is one, and its parameters as JSON."""
-    out = df.write.mode("overwrite")
-    (out.partitionBy("provider") if "provider" in df.columns else out).parquet(f"{path}/run_id={run_id}/data")
-    spark = df.sparkSession
-    spark.createDataFrame([(run_id, json.dumps(manifest or {}, sort_keys=True))], "run_id string, parameters string").coalesce(1).write.mode("overwrite").json(f"{path}/run_id={run_id}/manifest")
+    return _emit(lines, _field("v", "$.timestamp"), F.array(_row(0, role, text))).where(F.col("role").isNotNull())
+
+
+def resumed_turns(spark: SparkSession, todo: DataFrame, provider: str, raw: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(turns, ends) of what files hold beyond what is known of them: complete lines after ``offset``, numbered on from ``msg_index``.
+
+    todo: file, offset, msg_index. ends: file, offset of the last complete line. Only the paths of these files come to the driver.
+    """
+    paths = [r.file for r in todo.select("file").distinct().collect()]
+    if not paths:
+        none = spark.createDataFrame([], "file string, offset long")
+        return spark.createDataFrame([], "provider string, file string, msg_index long, role string, ts timestamp, ts_raw string, text string"), none
+    lines = complete_lines(spark, paths)
+    fresh = _objects(lines.join(F.broadcast(todo.select("file", "offset")), "file").where(F.col("end") > F.col("offset")))
+    rows = raw_rows(fresh, provider) if raw else {"codex": codex_rows, "claude": claude_rows}[provider](fresh)
+    turns = _numbered(rows, provider).withColumnRenamed("msg_index", "n").join(F.broadcast(todo.select("file", "msg_index")), "file")
+    turns = turns.withColumn("msg_index", F.col("n") + F.col("msg_index")).select("provider", "file", "msg_index", "role", "ts", "ts_raw", "text")
+    return turns, lines.groupBy("file").agg(F.max("end").alias("offset"))
+
+
+def write_turns(turns: DataFrame, path: str) -> None:
+    """Write turns by provider; providers that ``turns`` does not have keep theirs."""
+    turns.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider").parquet(path)
+
+
+def write_run(artifacts: DataFrame | dict[str, DataFrame], path: str, run_id: str, manifest: dict | None = None) -> None:
+    """One run's tables below ``run_id=...``: each kind (hits, window, chunks, summaries, final, ...) in a folder of its name, by
+    provider where it has one, and the run's parameters with the kinds as one JSON row."""
+    kinds = artifacts if isinstance(artifacts, dict) else {"data": artifacts}
+    for kind, df in kinds.items():
+        out = df.write.mode("overwrite")
+        (out.partitionBy("provider") if "provider" in df.columns else out).parquet(f"{path}/run_id={run_id}/{kind}")
+    spark = next(iter(kinds.values())).sparkSession
+    spark.createDataFrame([(run_id, sorted(kinds), json.dumps(manifest or {}, sort_keys=True))], "run_id string, kinds array<string>, parameters string").coalesce(1).write.mode("overwrite").json(f"{path}/run_id={run_id}/manifest")

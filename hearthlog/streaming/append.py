@@ -1,4 +1,8 @@
-"""Append-only logs as a stream: complete lines become turns, numbered on from what a file already has."""
+"""Logs as a stream: the lines of every new file become turns, each file once.
+
+Spark's file source reads a file when it first sees it and never again, so this is for files that are complete when they
+appear. Logs that grow in place are resumed by ``operators.ingest.append_ingest``, run after run.
+"""
 
 from __future__ import annotations
 
