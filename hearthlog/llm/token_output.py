@@ -47,6 +47,13 @@ _ALONE = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 _LINE = 20_000
 
 
+def _joined(strings: pa.Array) -> str:
+    """All strings of an array (large strings without nulls) as one: what its data buffer holds."""
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int64, len(strings) + 1, strings.offset * 8)
+    return str(memoryview(data)[at[0] : at[-1]], "utf-8") if len(strings) and data is not None else ""
+
+
 def _gather(flat: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The parts of ``flat`` that start at ``begins``, one after the other, and where each ends."""
     ends = np.cumsum(counts)
@@ -84,7 +91,8 @@ class Encoder:
         flats = self._ids(single.to_pylist())
         counts = [np.array([len(x) for x in flats], np.int64)]
         for start in range(0, len(lined), _LINE):
-            (flat,) = self._ids(["\n".join(lined.slice(start, _LINE).to_pylist())])
+            part = pc.binary_join_element_wise(lined.slice(start, _LINE), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+            (flat,) = self._ids([_joined(part)[:-1]])
             breaks = np.flatnonzero(flat == self._break)
             counts.append(np.diff(np.concatenate([[-1], breaks, [len(flat)]])) - 1)
             flats.append(np.delete(flat, breaks))
@@ -113,10 +121,10 @@ class Encoder:
         plain = np.ones(len(cuts), bool)
         plain[odd] = False
         rest = cuts.filter(pa.array(plain))
-        listed = _PIECE.findall("".join(rest.to_pylist()))
+        listed = _PIECE.findall(_joined(rest))
         more = [[c] if "<|" in c else _PIECE.findall(c) for c in cuts.take(pa.array(odd)).to_pylist()]
         coded = pa.array(listed + [p for x in more for p in x], pa.large_string()).dictionary_encode()
-        heads = np.array([x[0] in " \n" for x in coded.dictionary.to_pylist()], bool)
+        heads = pc.or_(pc.starts_with(coded.dictionary, " "), pc.starts_with(coded.dictionary, "\n")).to_numpy(zero_copy_only=False)
         at = coded.indices.to_numpy()
         first = np.flatnonzero(heads[at[: len(listed)]])
         n_pieces = np.zeros(len(cuts), np.int64)
