@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthlog.sources.written import fresh_path, materialise, release, shared_dir
+
+__all__ = ["NULL_ID", "WORD", "fresh_path", "id_back", "id_key", "materialise", "pieces", "release", "shared_dir", "table"]
+
 #: A word is a run of characters other than space, tab, newline, VT, FF and CR.
 #: ``bytes.split()`` without arguments splits UTF-8 text by the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,44 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (local tests) a folder of this machine is chosen once per context.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None)
-    if path is None:
-        path = sc.getCheckpointDir()
-        if path is None:
-            path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-            sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage,
-    survives lost executors, and gives the optimizer real sizes."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete written tables that no plan reads any more."""
-    for df in tables:
-        spark, path = df.sparkSession, df.written_path
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -89,10 +89,14 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     return rows.join(plan, by).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), *row)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", written: bool = False, **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole repetition of a document, and one with the
-    first words (joined by a space) for a repetition in part. Each row is repeated by its own plan, whatever its id."""
-    rows = materialise(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mix-rows")
+    first words (joined by a space) for a repetition in part. Each row is repeated by its own plan, whatever its id.
+
+    written: docs is a written table, whose rows are numbered where they stand; otherwise a copy is written first.
+    """
+    rows = docs.withColumn("__mix_row", F.monotonically_increasing_id())
+    rows = rows if written else materialise(rows, "mix-rows")
     plan = plan_mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col="__mix_row", **how)
     each = plan.select("__mix_row", F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
     words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0), 1, F.col("__mix_part").cast("int")), " ")

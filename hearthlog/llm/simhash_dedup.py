@@ -146,7 +146,9 @@ def links(distinct: DataFrame, bits: int = 2, bucket_limit: int = 48) -> DataFra
     else:
         crowd = points.where(F.col("point") == F.col("fp")).select("fp")
         many = points.join(crowd.select(F.col("fp").alias("point")), "point", "left_semi").select(F.least("fp", "point").alias("a"), F.greatest("fp", "point").alias("b")).where((F.col("a") != F.col("b")) & F.lit(bits == 1)).distinct()
-    return few.unionByName(many).distinct()
+    out = materialise(few.unionByName(many).distinct(), "golay-links")
+    release(keys, crowded)
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -169,6 +171,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels, written = step.select("node", "f"), step
         if step.where("f != old").isEmpty():
             release(both)
+            labels.written_path = step.written_path
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

@@ -61,17 +61,26 @@ def test_near_copies_by_brute_force(spark):
 
 
 def test_near_copies_of_full_buckets(spark):
-    """With one centre a bucket: groups are parts of the brute-force ones, and no two texts that stay are similar."""
+    """Groups of eight texts at most, the rest by centres: groups are parts of the brute-force ones, and no two texts that stay are similar."""
     texts = near_texts()[-160:]
     want, _ = components_by_brute_force(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3).cache()
-    got = {r.row: r.group for r in near_copies.near_copies(df, plan=((2, 1), (4, 4), (16, 8))).collect()}
+    got = {r.row: r.group for r in near_copies.near_copies(df, group_rows=8, centres=8).collect()}
     assert all(want[i] == want[g] for i, g in got.items())
     stay = sorted({g for g in got.values()})
     alone, pairs = components_by_brute_force([texts[i] for i in stay])
     assert pairs == 0 and len(set(want)) <= len(stay) < len(texts)
 
 
+def test_similar_pairs_of_a_group():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(200, 300), False), rng.integers(0, 1 << 62, rng.integers(0, 40)).astype(np.uint64)])) for _ in range(60)]
+    sets += [np.arange(k, dtype=np.uint64) for k in (1, 1, 5000, 4400)]
+    want = {(i, j) for i in range(64) for j in range(i + 1, 64) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    assert len(want) > 20 and set(zip(*map(np.ndarray.tolist, near_copies.similar_pairs(sets, 0.8)), strict=True)) == want
+
+
 def test_near_copies_of_nothing(spark):
     assert near_copies.near_copies(spark.createDataFrame([], "row long, text string")).count() == 0
 
