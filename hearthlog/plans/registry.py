@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hearthlog.operators import clean, ingest, mentions, search, summarise, windows
 from hearthlog.plans import recall as plans
 from hearthlog.sources import adapters, logs
+from hearthlog.sources.written import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,16 +26,22 @@ _LINES = f"lines AS (SELECT {_PROVIDER.format('doc_id')} AS provider, doc_id::VA
 _EVENTS = f"evs AS (SELECT {_PROVIDER.format('user_id')} AS provider, user_id::VARCHAR AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS msg_index, event_type AS role, ts, coalesce(props, '') AS text FROM events)"
 _ONE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _TOK = r"list_filter(regexp_split_to_array(lower(strip_accents({})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
-_RAW_QUERIES = r"""rq AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN w[1] || ' OR ' || w[2] ELSE w[1] || ' NOT ' || w[3] END AS query
+_STRIP = r"regexp_replace({}, '^[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{2028}}\x{{2029}}]+|[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{2028}}\x{{2029}}]+$', '', 'g')"
+#: The queries of a batch by the item's number modulo six, as words w1 to w4 of the item.
+_KINDS = ("{0} {1}", "{0} OR {1}", "{0} NOT {2}", "{0} NOT {1} {2}", "{0} NOT {2} AND {1}", '"{0} {1}" OR {2} {3}')
+_RAW_QUERIES = "rq AS (SELECT item_id AS query_id, CASE item_id % 6 " + " ".join(f"WHEN {i} THEN '" + k.format(*(f"' || w[{j}] || '" for j in range(1, 5))) + "'" for i, k in enumerate(_KINDS)) + r""" END AS query
  FROM (SELECT item_id, regexp_extract_all(text, '[^ \n]+') AS w FROM benchmark))"""
 _QUERIES = rf"""{_RAW_QUERIES},
 qp AS (SELECT query_id, unnest(p) AS p, unnest(range(len(p))) AS ix FROM (SELECT query_id, regexp_extract_all(query, '("[^"]*"|[^ "]+)') AS p FROM rq)),
-qc AS (SELECT *, sum((p = 'OR')::INT) OVER w AS clause_id, coalesce(lag(p) OVER w = 'NOT', false) AS negated FROM qp WINDOW w AS (PARTITION BY query_id ORDER BY ix)),
-atoms AS (SELECT query_id, clause_id::INT AS clause_id, ix AS atom_id, terms, lower(p) NOT IN ('and', 'or', 'not') AS is_prefix, negated FROM (SELECT *, {_TOK.format('p')} AS terms FROM qc WHERE p NOT IN ('AND', 'OR', 'NOT')) WHERE len(terms) > 0)"""
+qc AS (SELECT *, sum((p = 'OR')::INT) OVER w AS alt, arg_max(p, ix) FILTER (p IN ('AND', 'OR', 'NOT')) OVER w AS op FROM qp WINDOW w AS (PARTITION BY query_id ORDER BY ix)),
+qa AS (SELECT query_id, alt, ix AS atom_id, terms, lower(p) NOT IN ('and', 'or', 'not') AS is_prefix, coalesce(op = 'NOT', false) AS negated FROM (SELECT *, {_TOK.format('p')} AS terms FROM qc WHERE p NOT IN ('AND', 'OR', 'NOT')) WHERE len(terms) > 0),
+qn AS (SELECT query_id, alt, coalesce(list(atom_id ORDER BY atom_id) FILTER (negated), [NULL]) AS nots FROM qa GROUP BY ALL),
+ql AS (SELECT query_id, alt, bar, row_number() OVER (PARTITION BY query_id ORDER BY alt, bar) - 1 AS clause_id FROM (SELECT query_id, alt, unnest(nots) AS bar FROM qn)),
+atoms AS (SELECT query_id, clause_id::INT AS clause_id, atom_id, terms, is_prefix, negated FROM qa JOIN ql USING (query_id, alt) WHERE NOT negated OR atom_id = bar)"""
 _INDEX = rf"""{_TURNS}, toks AS (SELECT provider, file, msg_index, role, sec, text, {_TOK.format('text')} AS tk FROM turns),
 post AS (SELECT provider, file, msg_index, unnest(tk) AS term, unnest(range(len(tk))) AS pos FROM toks)"""
 _MATCH = rf"""{_INDEX}, {_QUERIES},
-parts AS (SELECT query_id, atom_id, is_prefix, len(terms) AS n, unnest(terms) AS part, unnest(range(len(terms))) AS ord FROM atoms),
+parts AS (SELECT query_id, atom_id, is_prefix, len(terms) AS n, unnest(terms) AS part, unnest(range(len(terms))) AS ord FROM (SELECT DISTINCT query_id, atom_id, is_prefix, terms FROM atoms)),
 dict AS (SELECT DISTINCT term FROM post),
 exp AS (SELECT query_id, atom_id, n, ord, term FROM parts JOIN dict ON term = part OR (is_prefix AND ord = n - 1 AND starts_with(term, part))),
 m AS (SELECT query_id, atom_id, provider, file, msg_index, count(*)::BIGINT AS tf FROM (SELECT query_id, atom_id, n, provider, file, msg_index, pos - ord AS start FROM exp JOIN post USING (term) GROUP BY ALL HAVING count(DISTINCT ord) = n) GROUP BY ALL),
@@ -65,13 +72,14 @@ def query(sql: str | None = None):
 def raw_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.regexp_extract_all("text", F.lit(r"[^ \n]+"), 0)
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", w.alias("w"))
-    kind = F.col("item_id") % 3
-    text = F.when(kind == 0, F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))).when(kind == 1, F.concat_ws(" OR ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))).otherwise(F.concat_ws(" NOT ", F.get("w", F.lit(0)), F.get("w", F.lit(2))))
-    return b.select(F.col("item_id").alias("query_id"), text.alias("query"))
+    marked = [k.format(*(f"%{j}$s" for j in range(1, 5))) for k in _KINDS]
+    text = F.format_string
+    kinds = F.array(*[text(k, *(F.get("w", F.lit(i)) for i in range(4))) for k in marked])
+    return b.select(F.col("item_id").alias("query_id"), F.get(kinds, (F.col("item_id") % len(_KINDS)).cast("int")).alias("query"))
 
 
-def _setup(spark: SparkSession, sf_dir: str) -> tuple[search.Index, DataFrame]:
-    return search.build_index(adapters.conversation_turns(spark, sf_dir)), search.normalise_queries(raw_queries(spark, sf_dir))
+def _setup(spark: SparkSession, sf_dir: str, turns: Callable[[SparkSession, str], DataFrame] = adapters.conversation_turns) -> tuple[search.Index, DataFrame]:
+    return search.written_index(turns(spark, sf_dir)), search.normalise_queries(raw_queries(spark, sf_dir))
 
 
 def _score() -> Column:
@@ -138,15 +146,26 @@ def contains_filter(spark, sf_dir):
     return clean.contains_filter(adapters.document_line_turns(spark, sf_dir), "Licensed Under").select("provider", "file", "msg_index", "text")
 
 
-@query(rf"""WITH {_LINES}, c AS (SELECT provider, file, msg_index, trim(text) AS t FROM lines)
-SELECT provider, file, msg_index, trim(CASE WHEN t[1:2] IN ('$ ', '> ') THEN t[3:] ELSE regexp_replace(t, '^[^:]*:', '') END) AS command FROM c WHERE t[1:2] IN ('$ ', '> ') OR starts_with(lower(t), 'command:') OR starts_with(lower(t), 'cmd:')""")
+_SPLIT = r"regexp_split_to_array({}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
+_COMMANDS = f"""commands AS (SELECT {_PROVIDER.format('doc_id')} AS provider, doc_id::VARCHAR AS file, n AS msg_index, CASE n WHEN 1 THEN 'user' ELSE 'assistant' END AS role,
+  CASE n WHEN 1 THEN 'intro' || chr(10) || CASE doc_id % 3 WHEN 0 THEN '$ ' WHEN 1 THEN ' Command: ' ELSE 'cmd:' END || text WHEN 2 THEN '```sh' || chr(10) || text || chr(10) || '```' || chr(10) || '> ' || text ELSE '$ ' || replace(text, chr(10), chr(10) || '> ') END AS text
+  FROM documents, (SELECT unnest([1, 2, 3])::BIGINT AS n) WHERE text IS NOT NULL)"""
+_RESULT = f"list_filter(list_transform({_SPLIT.format('text')}, lambda x: {_STRIP.format('x')}), lambda x: x[1:2] IN ('$ ', '> ') OR starts_with(lower(x), 'command:') OR starts_with(lower(x), 'cmd:'))[1]"
+_INLINE = rf"""found AS (SELECT provider, file, msg_index, list_concat(
+  list_transform(list_filter(flatten(list_transform(regexp_extract_all(text, '(?s)```(?:bash|sh|zsh|shell)?\n(.*?)```', 1), lambda f: list_transform({_SPLIT.format('f')}, lambda x: {_STRIP.format('x')}))), lambda x: x <> ''), lambda x: CASE WHEN x[1:2] IN ('$ ', '> ') THEN {_STRIP.format('x[3:]')} ELSE x END),
+  list_transform(list_filter(list_transform({_SPLIT.format('text')}, lambda x: {_STRIP.format('x')}), lambda x: x[1:2] IN ('$ ', '> ')), lambda x: {_STRIP.format('x[3:]')})) AS cs FROM SOURCE),
+each AS (SELECT provider, file, msg_index, unnest(cs) AS command, unnest(range(len(cs))) AS ix FROM found),
+inl AS (SELECT provider, file, msg_index, command, row_number() OVER (PARTITION BY provider, file, msg_index ORDER BY ix) AS ordinal FROM (SELECT provider, file, msg_index, command, min(ix) AS ix FROM each WHERE command <> '' GROUP BY ALL))"""
+
+
+@query(f"WITH {_COMMANDS}, c AS (SELECT provider, file, msg_index, {_RESULT} AS t FROM commands) SELECT provider, file, msg_index, {_STRIP.format("CASE WHEN t[1:2] IN ('$ ', '> ') THEN t[3:] ELSE regexp_replace(t, '^[^:]*:', '') END")} AS command FROM c WHERE t IS NOT NULL")
 def result_commands(spark, sf_dir):
-    return clean.extract_result_commands(adapters.document_line_turns(spark, sf_dir))
+    return clean.extract_result_commands(adapters.command_turns(spark, sf_dir))
 
 
-@query(rf"""WITH {_LINES} SELECT provider, file, msg_index, 1 AS ordinal, trim(trim(text)[3:]) AS command FROM lines WHERE trim(text)[1:2] IN ('$ ', '> ') AND trim(trim(text)[3:]) <> ''""")
+@query(f"WITH {_COMMANDS}, {_INLINE.replace('SOURCE', 'commands')} SELECT provider, file, msg_index, ordinal::INT AS ordinal, command FROM inl")
 def inline_commands(spark, sf_dir):
-    return clean.extract_inline_commands(adapters.document_line_turns(spark, sf_dir))
+    return clean.extract_inline_commands(adapters.command_turns(spark, sf_dir))
 
 
 _RENDER = "CASE WHEN role = 'assistant' THEN provider ELSE role END || ':' || chr(10) || {} || chr(10)"
@@ -158,11 +177,17 @@ def render_transcript(spark, sf_dir):
     return clean.render_transcript(adapters.conversation_turns(spark, sf_dir), 100)
 
 
-@query(rf"""WITH {_TURNS}, c AS (SELECT *, role || '|' || {_ONE.format('text')} AS key FROM turns WHERE contains(lower(text), 'th')),
-u AS (SELECT * FROM c QUALIFY coalesce(lag(key) OVER (PARTITION BY provider, file ORDER BY msg_index) <> key, true))
-SELECT provider, file, string_agg({_RENDER.format('text')}, chr(10) ORDER BY msg_index) AS text FROM u GROUP BY ALL""")
+_TIDY = r"regexp_replace(array_to_string(list_transform({}, lambda x: regexp_replace(x, '[\s\x1f\x{{a0}}]+$', '')), chr(10)), '^\n+|\n+$', '', 'g')"
+
+
+@query(rf"""WITH {_COMMANDS}, tidy AS (SELECT provider, file, msg_index, role, {_TIDY.format(_SPLIT.format('text'))} AS full_text FROM commands),
+shown AS (SELECT provider, file, row_number() OVER (PARTITION BY provider, file ORDER BY msg_index) AS msg_index, role, full_text, CASE WHEN length(full_text) > 300 THEN full_text[1:300] || '…' ELSE full_text END AS text FROM tidy WHERE full_text <> ''),
+c AS (SELECT *, role || '|' || {_ONE.format('text')} AS key FROM shown WHERE contains(lower(full_text), 'th')),
+u AS (SELECT * FROM c QUALIFY coalesce(lag(key) OVER (PARTITION BY provider, file ORDER BY msg_index) <> key, true)), {_INLINE.replace('SOURCE', 'shown')},
+o AS (SELECT provider, file, msg_index, 0 AS place, {_RENDER.format('text')} AS t FROM u UNION ALL SELECT provider, file, msg_index, ordinal, 'cmd: ' || {_ONE.format('command')} FROM inl WHERE contains(lower(command), 'th'))
+SELECT provider, file, string_agg(t, chr(10) ORDER BY msg_index, place) AS text FROM o GROUP BY ALL""")
 def clean_report(spark, sf_dir):
-    return plans.clean_report(adapters.conversation_turns(spark, sf_dir), "TH")
+    return plans.clean_report(adapters.command_turns(spark, sf_dir), "TH", 300, include_inline=True)
 
 
 # --- index and search
@@ -179,12 +204,12 @@ def index_turn_stats(spark, sf_dir):
     return search.build_index(adapters.conversation_turns(spark, sf_dir)).turn_stats
 
 
-@query(rf"""WITH q AS (SELECT doc_id, regexp_extract_all(text[1:200], '("[^"]*"|[^\s"]+|")') AS p FROM documents)
+@query(rf"""WITH q AS (SELECT doc_id, regexp_extract_all(text, '("[^"]*"|[^\s"]+|")') AS p FROM documents)
 SELECT doc_id AS query_id, array_to_string(list_filter(list_transform(p, lambda x: CASE WHEN length(x) >= 2 AND starts_with(x, '"') AND ends_with(x, '"') THEN CASE WHEN trim(x[2:-2]) <> '' THEN '"' || trim(x[2:-2]) || '"*' ELSE '' END
  WHEN upper(x) IN ('AND', 'OR', 'NOT') THEN x WHEN regexp_matches(x, '[*()]') THEN x WHEN regexp_matches(x, '^[A-Za-z0-9_]+$') THEN x || '*' WHEN NOT regexp_matches(x, '[\p{{L}}\p{{N}}]') THEN '' ELSE '"' || replace(x, '"', '""') || '"*' END), lambda x: x <> ''), ' ') AS cooked FROM q""")
 def cook_queries(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select(F.col("doc_id").alias("query_id"), search.cook_query(F.substring("text", 1, 200)).alias("cooked"))
+    return d.select(F.col("doc_id").alias("query_id"), search.cook_query(F.col("text")).alias("cooked"))
 
 
 @query(f"WITH {_QUERIES} SELECT query_id, clause_id, atom_id::INT AS atom_id, array_to_string(terms, ' ') AS terms, is_prefix, negated FROM atoms")
@@ -194,31 +219,26 @@ def normalise_queries(spark, sf_dir):
 
 @query(f"WITH {_MATCH} SELECT query_id, provider, file, msg_index FROM ok")
 def match_boolean(spark, sf_dir):
-    index, q = _setup(spark, sf_dir)
-    return search.match_boolean(search.match_atoms(index, q), q)
+    return search.match_boolean(*search.matched(*_setup(spark, sf_dir)))
 
 
-@query(f"WITH {_INDEX}, {_QUERIES}, dict AS (SELECT DISTINCT term FROM post) SELECT query_id, atom_id::INT AS atom_id, term FROM atoms JOIN dict ON starts_with(term, terms[1])")
+@query(f"WITH {_INDEX}, {_QUERIES}, dict AS (SELECT DISTINCT term FROM post) SELECT DISTINCT query_id, atom_id::INT AS atom_id, term FROM atoms JOIN dict ON starts_with(term, terms[1])")
 def prefix_terms(spark, sf_dir):
     index, q = _setup(spark, sf_dir)
-    return search.prefix_terms(index.postings.select("term").distinct(), q.select("query_id", "atom_id", F.get("terms", F.lit(0)).alias("prefix")))
+    return search.prefix_terms(index.postings.select("term").distinct(), q.select("query_id", "atom_id", F.get("terms", F.lit(0)).alias("prefix")).distinct())
 
 
-_PHRASES = rf"""{_INDEX}, g AS (SELECT term AS a, lead(term) OVER (PARTITION BY provider, file, msg_index ORDER BY pos) AS b FROM post),
-ph AS (SELECT a, b, row_number() OVER (ORDER BY count(*) DESC, a, b) AS query_id FROM g WHERE b IS NOT NULL GROUP BY a, b QUALIFY query_id <= 30)"""
+_PHRASES = rf"""{_INDEX}, ph AS (SELECT query_id, i AS atom_id, t[i + 1] AS a, t[i + 2] AS b FROM (SELECT item_id AS query_id, {_TOK.format('text')} AS t, unnest(range(len(t) - 1)) AS i FROM benchmark))"""
 
 
-@query(f"WITH {_PHRASES} SELECT query_id::INT AS query_id, p.provider, p.file, p.msg_index, count(*)::BIGINT AS tf FROM ph JOIN post p ON p.term = a JOIN post n ON n.provider = p.provider AND n.file = p.file AND n.msg_index = p.msg_index AND n.pos = p.pos + 1 AND starts_with(n.term, b) GROUP BY ALL")
+@query(f"WITH {_PHRASES} SELECT query_id, atom_id::INT AS atom_id, p.provider, p.file, p.msg_index, count(*)::BIGINT AS tf FROM ph JOIN post p ON p.term = a JOIN post n ON n.provider = p.provider AND n.file = p.file AND n.msg_index = p.msg_index AND n.pos = p.pos + 1 AND starts_with(n.term, b) GROUP BY ALL")
 def match_phrase(spark, sf_dir):
-    """The 30 most frequent neighbouring word pairs, as phrases with a prefix at the end."""
-    index = search.build_index(adapters.conversation_turns(spark, sf_dir))
-    toks = index.turns.select(search.tokens(F.col("text")).alias("t"))
-    pairs = toks.select(F.explode(F.arrays_zip(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))).alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    top = pairs.orderBy(F.col("n").desc(), "a", "b").limit(30)
-    from pyspark.sql import Window
-
-    q = top.select(F.row_number().over(Window.orderBy(F.col("n").desc(), "a", "b")).alias("query_id"), F.lit(0).alias("clause_id"), F.lit(0).alias("atom_id"), F.array("a", "b").alias("terms"), F.lit(True).alias("is_prefix"), F.lit(False).alias("negated"))
-    return search.match_phrase(index, q).select("query_id", "provider", "file", "msg_index", "tf")
+    """All pairs of neighbouring words of all benchmark items, as phrases with a prefix at the end."""
+    index = search.written_index(adapters.conversation_turns(spark, sf_dir))
+    t = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), search.tokens(F.col("text")).alias("t"))
+    pairs = F.transform(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), lambda a, i: F.array(a, F.get("t", i + 1)))
+    q = t.select("query_id", F.lit(0).alias("clause_id"), F.posexplode(pairs).alias("atom_id", "terms")).withColumns({"is_prefix": F.lit(True), "negated": F.lit(False)})
+    return search.match_phrase(index, q).select("query_id", "atom_id", "provider", "file", "msg_index", "tf")
 
 
 @query(f"WITH {_BM25} SELECT query_id, rank::INT AS rank, provider, file, msg_index, round(score, 4) AS score FROM {_ranked(10)}")
@@ -240,14 +260,19 @@ def filter_hits(spark, sf_dir):
     return search.bm25_topk(index, q, 10, role="user", providers=("codex", "gemini"), files=files).select("query_id", "rank", "provider", "file", "msg_index", _score())
 
 
-@query(rf"""WITH {_BM25}, h AS {_ranked(3)}, w AS (SELECT query_id, terms[1] AS t, len(terms) = 1 AND is_prefix AS pre, atom_id FROM atoms WHERE NOT negated),
-x AS (SELECT h.query_id, h.provider, h.file, h.msg_index, h.rank, tk, unnest(range(1, len(tk) + 1)) AS i FROM h JOIN toks USING (provider, file, msg_index)),
-y AS (SELECT x.*, (SELECT count(DISTINCT atom_id) FROM w WHERE w.query_id = x.query_id AND len(list_filter(x.tk[x.i : x.i + 11], lambda t: CASE WHEN w.pre THEN starts_with(t, w.t) ELSE t = w.t END)) > 0) AS n,
-  (SELECT count(*) FROM w WHERE w.query_id = x.query_id AND CASE WHEN w.pre THEN starts_with(x.tk[x.i], w.t) ELSE x.tk[x.i] = w.t END) AS here FROM x),
-z AS (SELECT query_id, provider, file, msg_index, rank, tk, arg_max(i, n * 1000000 - i) FILTER (here > 0) AS best FROM y GROUP BY ALL),
-e AS (SELECT z.*, unnest(range(coalesce(best, 1), least(coalesce(best, 1) + 11, len(tk)) + 1)) AS j FROM z)
-SELECT query_id, rank::INT AS rank, provider, file, msg_index, CASE WHEN coalesce(best, 1) > 1 THEN '…' ELSE '' END || string_agg(CASE WHEN (SELECT count(*) FROM w WHERE w.query_id = e.query_id AND CASE WHEN w.pre THEN starts_with(e.tk[e.j], w.t) ELSE e.tk[e.j] = w.t END) > 0 THEN '[' || tk[j] || ']' ELSE tk[j] END, ' ' ORDER BY j) || CASE WHEN coalesce(best, 1) + 11 < len(tk) THEN '…' ELSE '' END AS snip
-FROM e GROUP BY query_id, provider, file, msg_index, rank, tk, best""")
+_WORDS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}\p{{Co}}]+')"
+
+
+@query(rf"""WITH {_BM25}, h AS (SELECT r.query_id, r.rank, r.provider, r.file, r.msg_index, tk, {_WORDS.format('text')} AS wd, regexp_split_to_array(text, '[\p{{L}}\p{{N}}\p{{Co}}]+') AS bt FROM {_ranked(3)} r JOIN toks USING (provider, file, msg_index)),
+w AS (SELECT DISTINCT query_id, atom_id, terms, len(terms) AS n, is_prefix AS pre FROM atoms WHERE NOT negated),
+st AS (SELECT query_id, rank, atom_id, n, unnest(list_filter(range(1, len(tk) - n + 2), lambda i: list_aggregate(list_transform(range(1, n + 1), lambda o: CASE WHEN pre AND o = n THEN starts_with(tk[i + o - 1], terms[o]) ELSE tk[i + o - 1] = terms[o] END), 'bool_and'))) AS pl FROM h JOIN w USING (query_id)),
+hd AS (SELECT query_id, rank, x.pl, count(DISTINCT y.atom_id) AS k FROM (SELECT DISTINCT query_id, rank, pl FROM st) x JOIN st y USING (query_id, rank) WHERE y.pl >= x.pl AND y.pl + y.n <= x.pl + 12 GROUP BY ALL),
+b AS (SELECT query_id, rank, arg_max(pl, k * 1000000 - pl) AS f FROM (SELECT query_id, rank, pl, k FROM hd UNION ALL SELECT query_id, rank, pl, 0 FROM st) GROUP BY ALL),
+j AS (SELECT h.*, f, least(f + 11, len(tk)) AS l, unnest(range(f, least(f + 11, len(tk)) + 1)) AS i FROM h JOIN b USING (query_id, rank)),
+mk AS (SELECT j.*, (SELECT count(*) FROM st WHERE st.query_id = j.query_id AND st.rank = j.rank AND pl <= i AND i < pl + n) > 0 AS here,
+  (SELECT count(*) FROM st WHERE st.query_id = j.query_id AND st.rank = j.rank AND pl <= i AND i + 1 < pl + n) > 0 AS on_, (SELECT count(*) FROM st WHERE st.query_id = j.query_id AND st.rank = j.rank AND pl <= i - 1 AND i < pl + n) > 0 AS off FROM j)
+SELECT query_id, rank::INT AS rank, provider, file, msg_index, CASE WHEN f > 1 THEN '…' ELSE '' END || string_agg(CASE WHEN here AND (i = f OR NOT off) THEN '[' ELSE '' END || wd[i] || CASE WHEN here AND (i = l OR NOT on_) THEN ']' ELSE '' END || CASE WHEN i < l THEN bt[i + 1] ELSE '' END, '' ORDER BY i) || CASE WHEN l < len(tk) THEN '…' ELSE '' END AS snip
+FROM mk GROUP BY query_id, rank, provider, file, msg_index, f, l, tk""")
 def snippets(spark, sf_dir):
     index, q = _setup(spark, sf_dir)
     return search.snippets(search.bm25_topk(index, q, 3), index, q, 12).select("query_id", "rank", "provider", "file", "msg_index", "snip")
@@ -262,14 +287,15 @@ def dedupe_hits(spark, sf_dir):
     return search.order_hits(hits, "time-desc").select("query_id", "rank", "provider", "file", "msg_index", "role", F.unix_seconds("ts").alias("sec"))
 
 
-@query(f"WITH {_EVENTS} SELECT file, msg_index, role, epoch_us(ts)::BIGINT AS us FROM evs WHERE role = 'purchase' ORDER BY ts DESC, file DESC, msg_index DESC LIMIT 50")
+@query(f"WITH {_EVENTS} SELECT file, msg_index, role, epoch_us(ts)::BIGINT AS us FROM evs WHERE role = 'purchase' AND provider IN ('codex', 'gemini') AND file::INT % 2 = 0 ORDER BY ts DESC, file DESC, msg_index DESC LIMIT 50")
 def tail_turns(spark, sf_dir):
-    return search.tail_turns(adapters.event_turns(spark, sf_dir), 50, "purchase").select("file", "msg_index", "role", F.unix_micros("ts").alias("us"))
+    turns = adapters.event_turns(spark, sf_dir)
+    return search.tail_turns(turns, 50, "purchase", ("codex", "gemini"), turns.where(F.col("file").cast("int") % 2 == 0)).select("file", "msg_index", "role", F.unix_micros("ts").alias("us"))
 
 
-@query(f"WITH {_EVENTS} SELECT provider, file, msg_index, epoch_us(ts)::BIGINT AS us FROM evs QUALIFY row_number() OVER (PARTITION BY provider ORDER BY ts DESC, file DESC, msg_index DESC) <= 20")
+@query(f"WITH {_EVENTS} SELECT provider, file, msg_index, epoch_us(ts)::BIGINT AS us FROM evs WHERE provider <> 'claude' QUALIFY row_number() OVER (PARTITION BY provider ORDER BY ts DESC, file DESC, msg_index DESC) <= 20")
 def tail_turns_per_provider(spark, sf_dir):
-    return search.tail_turns_per_provider(adapters.event_turns(spark, sf_dir), 20).select("provider", "file", "msg_index", F.unix_micros("ts").alias("us"))
+    return search.tail_turns_per_provider(adapters.event_turns(spark, sf_dir), 20, providers=("codex", "gemini")).select("provider", "file", "msg_index", F.unix_micros("ts").alias("us"))
 
 
 @query(rf"WITH {_TURNS} SELECT provider, file, msg_index, role, {_ONE.format('text')} AS text FROM turns WHERE file::INT % 3 = 0 AND role = 'assistant'")
@@ -321,6 +347,13 @@ def conversation_digests(spark, sf_dir):
     return summarise.conversation_digests(index.turns, spans, adapters.conversation_files(spark, sf_dir))
 
 
+@query(rf"""WITH {_HITS}, w AS (SELECT query_id, provider, file, string_agg({_RENDER.format('text')}, chr(10) ORDER BY msg_index) AS body FROM spans JOIN turns USING (provider, file) WHERE msg_index BETWEEN start AND "end" GROUP BY ALL),
+f AS (SELECT provider, file, max(sec) AS mtime FROM turns GROUP BY ALL)
+SELECT query_id, string_agg('[Session: ' || strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d %H:%M') || ' | ' || provider || ' | ' || file || ']' || chr(10) || rtrim(body, ' ' || chr(10)), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY provider, file) AS text FROM w JOIN f USING (provider, file) GROUP BY query_id""")
+def joined_digests(spark, sf_dir):
+    return summarise.joined_digests(conversation_digests(spark, sf_dir))
+
+
 # --- mentions
 
 
@@ -405,13 +438,47 @@ def commit_section(spark, sf_dir):
     return mentions.commit_section(_resolved(spark, sf_dir))
 
 
-@query(rf"""WITH {_BM25}, h AS (SELECT r.*, role, text FROM {_ranked(20)} r JOIN turns USING (provider, file, msg_index)),
+#: Conversations in which every third turn tells of a commit.
+_COMMITTED = _TURNS.replace("sec, text FROM", "sec, text || CASE WHEN (turn + 1) % 3 = 0 THEN ' pushed commit ' || left(md5(conv_id::VARCHAR || ':' || (turn + 1)::VARCHAR), 8) ELSE '' END AS text FROM")
+_FOUND = rf"""{_BM25.replace(_TURNS, _COMMITTED)}, h AS (SELECT r.*, role, text FROM {_ranked(20)} r JOIN turns USING (provider, file, msg_index)),
 u AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, provider, role, lower({_ONE.format('text')}) ORDER BY rank, file, msg_index) = 1),
-c AS (SELECT provider, file, msg_index FROM turns WHERE regexp_matches(text, '\b[0-9a-f]{{7,40}}\b') AND {_CONTEXT})
-SELECT query_id, rank::INT AS rank, provider, file, u.msg_index, min(c.msg_index) FILTER (c.msg_index BETWEEN u.msg_index AND u.msg_index + 200) AS mention_index FROM u LEFT JOIN c USING (provider, file) GROUP BY query_id, rank, provider, file, u.msg_index""")
+c AS (SELECT provider, file, msg_index AS m FROM turns WHERE regexp_matches(text, '\b[0-9a-f]{{7,40}}\b') AND {_CONTEXT})"""
+_KEYS = "query_id, rank::INT AS rank, provider, file, u.msg_index"
+
+
+def _by_mode(spark: SparkSession, sf_dir: str, mode: str, *columns: str | Column) -> DataFrame:
+    index, q = _setup(spark, sf_dir, adapters.committed_turns)
+    return plans.search_with_commits(index, q, mode, span=2).select("query_id", "rank", "provider", "file", "msg_index", *columns)
+
+
+@query(f"WITH {_FOUND} SELECT {_KEYS}, min(m) FILTER (m BETWEEN u.msg_index AND u.msg_index + 2) AS mention_index FROM u LEFT JOIN c USING (provider, file) GROUP BY query_id, rank, provider, file, u.msg_index")
 def search_with_commits(spark, sf_dir):
-    index, q = _setup(spark, sf_dir)
-    return plans.search_with_commits(index, q, "forward").select("query_id", "rank", "provider", "file", "msg_index", "mention_index")
+    return _by_mode(spark, sf_dir, "forward", "mention_index")
+
+
+@query(f"WITH {_FOUND} SELECT {_KEYS}, max(m) FILTER (m BETWEEN u.msg_index - 2 AND u.msg_index) AS mention_index FROM u LEFT JOIN c USING (provider, file) GROUP BY query_id, rank, provider, file, u.msg_index")
+def search_with_commits_backward(spark, sf_dir):
+    return _by_mode(spark, sf_dir, "backward", "mention_index")
+
+
+@query(rf"WITH {_FOUND} SELECT {_KEYS}, regexp_extract(text, '\b[0-9a-f]{{7,40}}\b') AS first FROM u WHERE regexp_matches(text, '\b[0-9a-f]{{7,40}}\b')")
+def search_with_commits_direct(spark, sf_dir):
+    return _by_mode(spark, sf_dir, "direct", F.get("hashes", F.lit(0)).alias("first"))
+
+
+def _between(span: int) -> str:
+    return f"""WITH {_FOUND}, p AS (SELECT query_id, rank, provider, file, u.msg_index, max(m) FILTER (m BETWEEN u.msg_index - {span} AND u.msg_index - 1) AS previous_index FROM u LEFT JOIN c USING (provider, file) GROUP BY ALL)
+SELECT query_id, rank::INT AS rank, provider, file, p.msg_index, previous_index, min(m) FILTER (CASE WHEN previous_index IS NULL THEN m <= 1 + {span} ELSE m > previous_index AND m - previous_index - 1 <= {span} END) AS next_index FROM p LEFT JOIN c USING (provider, file) GROUP BY query_id, rank, provider, file, p.msg_index, previous_index"""
+
+
+@query(_between(2))
+def search_with_commits_between(spark, sf_dir):
+    return _by_mode(spark, sf_dir, "between", "previous_index", "next_index")
+
+
+@query(_between(1 << 40))
+def search_with_commits_auto(spark, sf_dir):
+    return _by_mode(spark, sf_dir, "auto", "previous_index", "next_index")
 
 
 # --- summaries
@@ -425,22 +492,125 @@ def token_budget(spark, sf_dir):
     return summarise.token_budget(t, ["gemma3:4b-q4", "granite4", "other"])
 
 
-@query()
+def _chunks_sql(name: str, source: str, most: int) -> str:
+    """name AS chunks (provider, file, i, total, text) of source (provider, file, text): a line joins the open chunk or starts
+    one; the recursion goes over the lines of all texts at once. c: chunks up to this line, u: what the open one has used."""
+    return f"""{name}_l AS (SELECT provider, file, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT provider, file, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM (SELECT provider, file, {_SPLIT.format('text')} AS ls FROM {source}))),
+{name}_n AS (SELECT *, length(line) + 1 AS cost, greatest(1, ceil(length(line) / {most}))::BIGINT AS pieces FROM {name}_l),
+{name}_r AS (SELECT provider, file, 0::BIGINT AS i, 0::BIGINT AS c, 0::BIGINT AS u, 0::BIGINT AS start FROM {source}
+ UNION ALL SELECT n.provider, n.file, n.i, CASE WHEN cost > {most} THEN r.c + pieces WHEN u > 0 AND u + cost <= {most} THEN r.c ELSE r.c + 1 END, CASE WHEN cost > {most} THEN 0 WHEN u > 0 AND u + cost <= {most} THEN u + cost ELSE cost END, CASE WHEN u > 0 AND u + cost <= {most} AND cost <= {most} THEN r.c ELSE r.c + 1 END
+ FROM {name}_r r JOIN {name}_n n ON n.provider = r.provider AND n.file = r.file AND n.i = r.i + 1),
+{name}_p AS (SELECT n.provider, n.file, n.i, r.start + k AS chunk, CASE WHEN cost > {most} THEN line[k * {most} + 1 : (k + 1) * {most}] ELSE line END AS part FROM (SELECT *, unnest(range(CASE WHEN cost > {most} THEN pieces ELSE 1 END)) AS k FROM {name}_n) n JOIN {name}_r r ON n.provider = r.provider AND n.file = r.file AND n.i = r.i),
+{name} AS (SELECT provider, file, chunk AS i, max(chunk) OVER (PARTITION BY provider, file) AS total, string_agg(part, chr(10) ORDER BY i) AS text FROM {name}_p GROUP BY provider, file, chunk)"""
+
+
+_RENDERED = f"tr AS (SELECT provider, file, string_agg({_RENDER.format('text')}, chr(10) ORDER BY msg_index) AS text FROM turns GROUP BY ALL)"
+#: What the summariser of the queries makes of a prompt: its length, its start and its end.
+_SAYS = "(length({0})::VARCHAR || ':' || ({0})[1:40] || '~' || right({0}, 20))"
+_TEMPLATE = "[{{chunk_index}}/{{chunk_total}}] {{transcript}} .md"
+_PROMPT = "('[' || i::VARCHAR || '/' || total::VARCHAR || '] ' || text || ' .md')"
+
+
+def _summaries_sql(name: str, source: str) -> str:
+    return f"{name} AS (SELECT provider, file, string_agg('Chunk ' || i::VARCHAR || '/' || total::VARCHAR || ' summary:' || chr(10) || {_SAYS.format(_PROMPT)}, chr(10) || chr(10) ORDER BY i) AS text FROM {source} GROUP BY ALL)"
+
+
+def says(prompts):
+    return prompts.str.len().astype(str) + ":" + prompts.str[:40] + "~" + prompts.str[-20:]
+
+
+@query(f"WITH RECURSIVE {_TURNS}, {_RENDERED}, {_chunks_sql('ck', 'tr', 500)} SELECT provider, file, i::INT AS chunk_index, total::INT AS chunk_total, text FROM ck")
 def chunk_transcripts(spark, sf_dir):
-    return summarise.chunk_transcripts(clean.render_transcript(adapters.conversation_turns(spark, sf_dir)), 2000)
+    return summarise.chunk_transcripts(clean.render_transcript(adapters.conversation_turns(spark, sf_dir)), 500)
 
 
-@query(f"""WITH {_TURNS}, t AS (SELECT provider, file, string_agg({_RENDER.format('text')}, chr(10) ORDER BY msg_index) AS t FROM turns GROUP BY ALL)
-SELECT provider, file, 'Chunk 1/1 summary:' || chr(10) || ('[1/1] ' || rtrim(t, chr(10)))[1:80] AS summary FROM t""")
+@query(f"WITH RECURSIVE {_TURNS}, {_RENDERED}, {_chunks_sql('ck', 'tr', 400)}, {_summaries_sql('sm', 'ck')} SELECT provider, file, text AS summary FROM sm")
 def summarise_chrono(spark, sf_dir):
-    """Whole transcripts as one chunk each, with a summariser that takes the first 80 characters of the prompt."""
-    t = clean.render_transcript(adapters.conversation_turns(spark, sf_dir)).withColumn("text", F.rtrim(F.regexp_replace("text", r"\n+\z", "")))
-    return summarise.map_reduce_summarise(t, lambda s: s.str[:80], 1 << 20, template="[{{chunk_index}}/{{chunk_total}}] {{transcript}} .md")
+    """Transcripts in chunks of 400 characters, with a summariser that depends on the whole prompt."""
+    t = clean.render_transcript(adapters.conversation_turns(spark, sf_dir))
+    return summarise.map_reduce_summarise(t, says, 400, template=_TEMPLATE)
+
+
+def _reduced_sql(most: int) -> str:
+    steps, source = [], "tr"
+    for k in range(summarise.MAX_PASSES + 1):
+        over = f"o{k} AS (SELECT * FROM {source} WHERE length(text) > {most})"
+        steps += [over, _chunks_sql(f"c{k}", f"o{k}", most), _summaries_sql(f"s{k}", f"c{k}")]
+        source = f"s{k}"
+    last = summarise.MAX_PASSES
+    done = " UNION ALL ".join(f"SELECT * FROM {t} WHERE length(text) <= {most}" for t in ["tr", *(f"s{k}" for k in range(last))]) + f" UNION ALL SELECT * FROM s{last}"
+    whole = "('[/] ' || text || ' .md')"
+    return f"WITH RECURSIVE {_TURNS}, {_RENDERED}, {', '.join(steps)}, done AS ({done}) SELECT provider, file, {_SAYS.format(whole)} AS summary FROM done"
 
 
-@query(rf"""WITH {_TURNS}, f AS (SELECT provider, file FROM (SELECT provider, file, max(sec) AS mtime FROM turns GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY provider ORDER BY mtime DESC, file) <= 2)
-SELECT provider, file, string_agg({_RENDER.format('text')}, chr(10) ORDER BY msg_index) AS text, NULL::VARCHAR AS section FROM turns JOIN f USING (provider, file) GROUP BY provider, file""")
+@query(_reduced_sql(600))
+def summarise_reduce(spark, sf_dir):
+    """The same with 600 characters, reduced in passes until the joined summaries fit."""
+    t = clean.render_transcript(adapters.conversation_turns(spark, sf_dir))
+    return summarise.map_reduce_summarise(t, says, 600, "reduce", _TEMPLATE)
+
+
+@query(rf"""WITH {_LINES}, f AS (SELECT file FROM (SELECT DISTINCT provider, file FROM lines) QUALIFY row_number() OVER (PARTITION BY provider ORDER BY file::INT DESC) <= 150),
+k AS (SELECT provider, file, row_number() OVER (PARTITION BY provider, file ORDER BY msg_index) AS msg_index, role, {_STRIP.format("'pushed ' || text")} AS text FROM lines JOIN f USING (file)),
+each AS (SELECT provider, file, msg_index, unnest(hs) AS hash, unnest(range(len(hs))) AS ix FROM (SELECT provider, file, msg_index, regexp_extract_all(text, '\b[0-9a-f]{{7,40}}\b') AS hs FROM k)),
+fst AS (SELECT provider, file, hash, min(msg_index * 100000 + ix) AS seen FROM each GROUP BY ALL),
+com AS (SELECT DISTINCT CASE WHEN length(hash) % 2 = 0 THEN 'even' ELSE 'odd' END AS repo, rpad(hash, 40, '0') AS sha, 'about ' || hash AS summary FROM (SELECT unnest(regexp_extract_all(text, '\b[0-9a-f]{{7,40}}\b')) AS hash FROM lines)),
+res AS (SELECT f.provider, f.file, f.hash, f.seen, c.repo, c.sha, c.summary FROM fst f JOIN (
+  SELECT hash, arg_min(repo, repo) AS repo, arg_min(sha, repo) AS sha, arg_min(summary, repo) AS summary FROM (
+    SELECT w.hash, com.repo, min(sha) AS sha, min(summary) AS summary FROM (SELECT DISTINCT hash FROM fst) w JOIN com ON starts_with(sha, w.hash) GROUP BY ALL HAVING count(DISTINCT sha) = 1) GROUP BY hash) c USING (hash)),
+rnk AS (SELECT provider, file, row_number() OVER (PARTITION BY provider, file ORDER BY min(seen)) AS ordinal, repo, sha, summary FROM res GROUP BY provider, file, repo, sha, summary QUALIFY ordinal <= 3),
+sec AS (SELECT provider, file, 'git:' || chr(10) || string_agg(repo || ' ' || sha || chr(10) || summary, chr(10) ORDER BY ordinal) AS section FROM rnk GROUP BY ALL)
+SELECT k.provider, k.file, string_agg({_RENDER.replace('provider', 'k.provider').format('text')}, chr(10) ORDER BY msg_index) AS text, any_value(section) AS section FROM k LEFT JOIN sec USING (provider, file) GROUP BY k.provider, k.file""")
 def transcript_report(spark, sf_dir):
-    turns = adapters.conversation_turns(spark, sf_dir)
-    found = mentions.scan_commits(adapters.document_line_turns(spark, sf_dir), need_context=False)
-    return plans.transcript_report(turns, adapters.conversation_files(spark, sf_dir), _commit_table(found), 2)
+    """The newest documents as conversations whose lines tell of commits, with the commits that they name."""
+    lines = adapters.document_line_turns(spark, sf_dir)
+    files = lines.groupBy("provider", F.col("file").alias("path")).agg(F.timestamp_seconds(F.max(F.col("file").cast("long"))).alias("mtime"))
+    known = _commit_table(mentions.scan_commits(lines, need_context=False))
+    return plans.transcript_report(lines.withColumn("text", F.concat(F.lit("pushed "), "text")), files, known, 150)
+
+
+# --- log files: conversations written as logs of each provider, and read back
+
+
+def _log_query(provider: str, raw: bool = False):
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = adapters.write_logs(spark, sf_dir, provider)
+        if raw:
+            turns = logs.read_raw_turns(spark, path, provider, glob="*.txt")
+        else:
+            turns = {"codex": logs.read_codex_turns, "claude": logs.read_claude_turns, "gemini": logs.read_gemini_turns}[provider](spark, path, glob="*.txt")
+        return turns.select("provider", F.regexp_extract("file", "conv_id=([0-9]+)", 1).alias("file"), "msg_index", "role", F.unix_seconds("ts").alias("sec"), "text")
+
+    read.__name__ = f"read_{'raw_' * raw}{provider}"
+    return read
+
+
+def _logged(provider: str, raw: bool) -> str:
+    """Every turn; with a command before or after it (clean flavour) where the turn's number is even."""
+    text = _STRIP.format("text")
+    command = "" if raw else " UNION ALL SELECT conv_id, turn, " + ("1" if provider == "gemini" else "-1") + " AS place, 'cmd', sec, 'run ' || turn::VARCHAR FROM c WHERE turn % 2 = 0"
+    role = "role" if raw and provider != "gemini" else "CASE WHEN role = 'user' THEN 'user' WHEN role = 'assistant' THEN 'assistant' ELSE role END"
+    kept = "role IN ('user', 'assistant')"
+    return f"""WITH c AS (SELECT conv_id, turn, role, conv_id * 1000 + turn AS sec, {text} AS text FROM conversations WHERE {kept}),
+r AS (SELECT conv_id, turn, 0 AS place, {role} AS role, sec, text FROM c WHERE text <> ''{command})
+SELECT '{provider}' AS provider, conv_id::VARCHAR AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn, place) AS msg_index, role, sec, text FROM r"""
+
+
+for _p in adapters.PROVIDERS:
+    query(_logged(_p, False))(_log_query(_p))
+    query(_logged(_p, True))(_log_query(_p, True))
+
+
+@query("SELECT 'gemini' AS provider, conv_id::VARCHAR AS file, true AS filled FROM (SELECT DISTINCT conv_id FROM conversations WHERE role IN ('user', 'assistant'))")
+def session_inventory(spark, sf_dir):
+    files = logs.session_inventory(spark, {"gemini": adapters.write_logs(spark, sf_dir, "gemini"), "codex": f"{sf_dir}/none"}, {"gemini": "*.txt", "codex": "*"})
+    return files.select("provider", F.regexp_extract("path", "conv_id=([0-9]+)", 1).alias("file"), (F.col("size") > 0).alias("filled"))
+
+
+@query(f"WITH {_TURNS} SELECT provider, file, msg_index, role, text FROM turns WHERE provider <> 'gemini' OR msg_index <= 2")
+def write_turns(spark, sf_dir):
+    """All turns written by provider, then one provider's again with fewer turns, and read back."""
+    path, turns = fresh_path(spark, "turns"), adapters.conversation_turns(spark, sf_dir)
+    logs.write_turns(turns, path)
+    logs.write_turns(turns.where("provider = 'gemini' AND msg_index <= 2"), path)
+    return spark.read.parquet(path).select("provider", F.col("file").cast("string").alias("file"), "msg_index", "role", "text")

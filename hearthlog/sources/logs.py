@@ -14,20 +14,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthlog.functions.text import parse_time, strip
+from hearthlog.sources.written import hadoop_path
 
 INVENTORY = "path string, provider string, mtime timestamp, size long"
 _GLOBS = {"codex": "*.jsonl", "claude": "*.jsonl", "gemini": "*.json"}
 _TEXT_TYPES = ("text", "input_text", "output_text")
 
 
-def session_inventory(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+def session_inventory(spark: SparkSession, roots: dict[str, str], globs: dict[str, str] = _GLOBS) -> DataFrame:
     """path, provider, mtime, size of the logs below each provider's root, oldest first; a missing root gives none."""
     out = spark.createDataFrame([], INVENTORY)
     for provider, root in roots.items():
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        path, fs = hadoop_path(spark, root)
+        if not fs.exists(path):
             continue
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _GLOBS[provider]).load(root)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", globs[provider]).load(root)
         files = files.select("path", F.lit(provider).alias("provider"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
         if provider == "gemini" and not root.rstrip("/").endswith("/chats"):
             files = files.where(F.col("path").contains("/chats/"))
@@ -69,9 +70,9 @@ def _content(v: str, path: str, include_tools: bool, wide: bool = False) -> Colu
     return F.coalesce(strip(F.when(_is(v, path, "STRING"), _field(v, path)).when(_is(v, path, "ARRAY"), items)), F.lit(""))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """file, line (a number ascending in each file), v (the JSON of a line)."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
     return _objects(text.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line"), "value"))
 
 
@@ -102,9 +103,9 @@ def _emit(lines: DataFrame, ts: Column, rows: Column) -> DataFrame:
     return lines.select("file", "line", ts.alias("ts_raw"), F.explode(rows).alias("r")).select("file", "line", "ts_raw", "r.*")
 
 
-def read_codex_turns(spark: SparkSession, path: str, include_tools: bool = False, include_cmds: bool = True) -> DataFrame:
+def read_codex_turns(spark: SparkSession, path: str, include_tools: bool = False, include_cmds: bool = True, glob: str = "*.jsonl") -> DataFrame:
     """Messages of both event kinds, and shell commands as ``cmd`` rows."""
-    return _numbered(codex_rows(_lines(spark, path), include_tools, include_cmds), "codex")
+    return _numbered(codex_rows(_lines(spark, path, glob), include_tools, include_cmds), "codex")
 
 
 def codex_rows(lines: DataFrame, include_tools: bool = False, include_cmds: bool = True) -> DataFrame:
@@ -132,9 +133,9 @@ def _command(i: str) -> str:
     return f"CASE WHEN {wanted} OR lower(try_variant_get({i}, '$.name', 'string')) RLIKE 'bash|shell|command|cmd' THEN {_COMMAND.format(keys=keys, i=i)} END"
 
 
-def read_claude_turns(spark: SparkSession, path: str, include_tools: bool = False, include_cmds: bool = True) -> DataFrame:
+def read_claude_turns(spark: SparkSession, path: str, include_tools: bool = False, include_cmds: bool = True, glob: str = "*.jsonl") -> DataFrame:
     """Commands of a message first, then its text if the role is user or assistant."""
-    return _numbered(claude_rows(_lines(spark, path), include_tools, include_cmds), "claude")
+    return _numbered(claude_rows(_lines(spark, path, glob), include_tools, include_cmds), "claude")
 
 
 def claude_rows(lines: DataFrame, include_tools: bool = False, include_cmds: bool = True) -> DataFrame:
@@ -147,14 +148,14 @@ def claude_rows(lines: DataFrame, include_tools: bool = False, include_cmds: boo
     return _emit(lines, _field("v", "$.timestamp"), F.concat(commands, message))
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+def _documents(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     return text.select(F.col("_metadata.file_path").alias("file"), F.expr("try_parse_json(value)").alias("d"))
 
 
-def read_gemini_turns(spark: SparkSession, path: str, include_tools: bool = False, include_cmds: bool = True) -> DataFrame:
+def read_gemini_turns(spark: SparkSession, path: str, include_tools: bool = False, include_cmds: bool = True, glob: str = "*.json") -> DataFrame:
     """Content of each message, then its tool calls' commands, then (with tools) their displayed results."""
-    m = _documents(spark, path).select("file", F.expr("posexplode(try_variant_get(d, '$.messages', 'array<variant>'))").alias("line", "v"))
+    m = _documents(spark, path, glob).select("file", F.expr("posexplode(try_variant_get(d, '$.messages', 'array<variant>'))").alias("line", "v"))
     kind = _field("v", "$.type")
     role = F.when(kind == "user", "user").when(kind.isin("gemini", "assistant", "model"), "assistant")
     empty = F.array().cast("array<struct<at:int,role:string,text:string>>")
@@ -209,13 +210,14 @@ def _gemini_raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["file", "line", "at", "role", "ts_raw", "text"])
 
 
-def read_raw_turns(spark: SparkSession, path: str, provider: str) -> DataFrame:
+def read_raw_turns(spark: SparkSession, path: str, provider: str, glob: str | None = None) -> DataFrame:
     """The search flavour: timestamps kept, no command rows, any item with a text; tool results folded into the turn."""
+    glob = glob or _GLOBS[provider]
     if provider == "gemini":
-        m = _documents(spark, path).select("file", F.expr("posexplode(try_variant_get(d, '$.messages', 'array<variant>'))").alias("line", "v"))
+        m = _documents(spark, path, glob).select("file", F.expr("posexplode(try_variant_get(d, '$.messages', 'array<variant>'))").alias("line", "v"))
         rows = m.select("file", "line", F.to_json("v").alias("message")).mapInPandas(_gemini_raw, "file string, line int, at int, role string, ts_raw string, text string")
         return _numbered(rows, "gemini")
-    return _numbered(raw_rows(_lines(spark, path), provider), provider)
+    return _numbered(raw_rows(_lines(spark, path, glob), provider), provider)
 
 
 def raw_rows(lines: DataFrame, provider: str) -> DataFrame:
