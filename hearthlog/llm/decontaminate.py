@@ -6,8 +6,9 @@ holds the item with k edits at most, one of its pieces stands there unchanged. O
 pieces finds exact hits in a single pass over a text; each hit gives a window, overlapping windows of an
 item are merged, and Myers' bit-parallel algorithm gives the least edit distance in the window.
 
-The items travel to the tasks in blocks of at most ``block_bytes`` of text, each block one pass over the
-documents, so what a task holds doesn't grow with the benchmark.
+The items travel to the tasks in blocks of about ``block_bytes`` of text, each block one pass over the
+documents, so what a task or the driver holds doesn't grow with the benchmark: with several blocks each pass is
+written before the next block is read.
 
 Defined cases: null texts and items match nothing, nor do items without words; items shorter than
 ``min_chars`` must stand unchanged between word boundaries; an item that occurs several times in a text
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import materialise, pieces
 
 
 def normal(text: str | None) -> str:
@@ -125,21 +126,21 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame, block_bytes: int, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_bytes`` of text, dealt by a hash of the text."""
+def item_blocks(items: DataFrame, block_bytes: int, item_col: str, text_col: str) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items in blocks of about ``block_bytes`` of text, dealt by a hash of the text, and whether there are several."""
     items = items.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = int(size // block_bytes) + 1
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b)
-        yield [(r.item, r.text) for r in part.orderBy("item").collect()]
+        yield [(r.item, r.text) for r in part.orderBy("item").collect()], n > 1
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, min_chars: int = 50, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, start, end (in the normalised text): each document with each item it holds."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = None
-    for block in item_blocks(items, block_bytes, item_col, item_text_col):
+    for block, several in item_blocks(items, block_bytes, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, error_rate, min_chars)
@@ -148,6 +149,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, min_
                 yield pa.record_batch([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], names=["doc_id", "item_id", "distance", "start", "end"])
 
         part = chosen.mapInArrow(run, "doc_id long, item_id long, distance long, start long, end long")
+        part = materialise(part, "leaks") if several else part
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -164,8 +166,9 @@ def _leaks(text: Column, block: list[tuple[int, str]], error_rate: float, min_ch
 
 def without_leaks(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, min_chars: int = 50, block_bytes: int = 8 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no item."""
-    for block in item_blocks(items, block_bytes, item_col, item_text_col):
+    for block, several in item_blocks(items, block_bytes, item_col, item_text_col):
         docs = docs.where(~_leaks(F.col(text_col), block, error_rate, min_chars))
+        docs = materialise(docs, "without-leaks") if several else docs
     return docs
 
 
