@@ -39,6 +39,8 @@ def test_claude(spark, tmp_path):
         {"message": {"role": "system", "content": "no"}},
         {"role": "user", "content": "top"},
     )
+    assert (3, "assistant", "first\nBash\nx") in rows(logs.read_claude_turns(spark, str(tmp_path), include_tools=True))
+    assert [r[1:] for r in rows(logs.read_raw_turns(spark, str(tmp_path), "claude"))] == [("assistant", "first"), ("user", "[1,2] text"), ("system", "no"), ("user", "top")]
     assert rows(logs.read_claude_turns(spark, str(tmp_path))) == [(1, "cmd", "a"), (2, "cmd", "b"), (3, "assistant", "first"), (4, "user", "[1,2] text"), (5, "user", "top")]
 
 
