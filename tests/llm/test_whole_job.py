@@ -2,13 +2,14 @@
 
 import random
 import time
+import tracemalloc
 import warnings
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthlog.llm import decontaminate, html_extract, image_copies, mixing, near_copies, quality
+from hearthlog.llm import decontaminate, html_extract, image_copies, mixing, near_copies, quality, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -322,3 +323,37 @@ def test_pipeline_of_empty_tables_and_nulls(spark, tmp_path):
             out.write.parquet(path)
         got = spark.read.parquet(path)
         assert "ids_crc32" in got.columns and got.count() <= want
+
+
+def test_a_bucket_of_substrings_takes_bounded_memory():
+    """The packed strings of one bucket, 8 MB by default, in under 200 MB."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(50_000)}".encode() for _ in range(8 << 17)]
+    strings = [b" ".join(words[i : i + 29]) for i in range(0, len(words) - 29, 29)]
+    text = b" ".join(strings)
+    assert 6 << 20 < len(text) < 10 << 20
+    n = len(strings)
+    tracemalloc.start()
+    ids, starts, sizes = substring_dedup.first_places(np.arange(n), np.zeros(n, np.int64), np.full(n, 10, np.int64), text, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes.sum() == 10 * n and peak < 200 << 20
+
+
+def test_hot_minimisers_of_uneven_batches(spark):
+    """A line in a share of all texts that no batch reports in full is still found, and buckets follow the input's size."""
+    rng = random.Random(13)
+    line = "the one very common line of them all stands here"
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=30)) + (f" {line} " if i % 2 else " ") + " ".join(rng.choices("abcdefgh", k=30))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(6)
+    assert len(substring_dedup._hot_minimisers(df, 20, 3, 4))
+    seen, want = set(), {}
+    for i, text in rows:
+        words, gone = text.split(), set()
+        for s in range(len(words) - 19):
+            w = tuple(words[s : s + 20])
+            gone.update(range(s, s + 20) if w in seen else ())
+            seen.add(w)
+        want[i] = len(gone)
+    got = substring_dedup.dedup_substrings(df.withColumnRenamed("id", "doc_id"), bucket_bytes=1 << 12).collect()
+    assert {r.doc_id: r.n_removed for r in got} == want
