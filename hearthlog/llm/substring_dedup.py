@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -45,22 +46,9 @@ _LONGEST_RUN = 64
 _REPEATED = 3
 
 
-class _WordHashes(dict):
-    """word -> 64-bit hash, remembered; forgotten when too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-class _WordNumbers(dict):
-    """word -> number in order of appearance: exact within one bucket."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Longest part of a word that is hashed eight bytes at a time, all words together.
+_LANES = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,6 +57,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, from begin to end in the bytes."""
+    size = ends - begins
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h, live = size.astype(np.uint64) * np.uint64(_MULTIPLIERS[1]), None
+    for j in range(_LANES):
+        at, rest = (begins, size) if live is None else (begins[live] + 8 * j, size[live] - 8 * j)
+        x = lanes[at]
+        short = rest < 8
+        x[short] &= (np.uint64(1) << (8 * rest[short]).astype(np.uint64)) - np.uint64(1)
+        if live is None:
+            h = _mix((h ^ x) * np.uint64(_MULTIPLIERS[0]))
+            live = np.flatnonzero(rest > 8)
+        else:
+            h[live] = _mix((h[live] ^ x) * np.uint64(_MULTIPLIERS[0]))
+            live = live[rest > 8]
+        if not len(live):
+            return h
+    for i in live:
+        h[i] ^= np.uint64(xxhash.xxh64_intdigest(data[begins[i] + 8 * _LANES : ends[i]]))
+    return h
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     span = 1
     while span * 2 <= width:
@@ -87,19 +98,18 @@ def _window_hashes(values: np.ndarray, k: int) -> np.ndarray:
     return _mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
 
 
-def _superkmers(words: list[bytes], lengths: np.ndarray, hashes: _WordHashes, k: int, m: int, hot: np.ndarray):
+def _superkmers(h: np.ndarray, lengths: np.ndarray, k: int, m: int, hot: np.ndarray):
     """(first word, number of windows, bucket key, hash of the first window) of each super-k-mer.
 
-    words: of some documents, one after the other; lengths: words of each document.
+    h: hashes of the words of some documents, one after the other; lengths: words of each document.
     """
-    n = len(words)
+    n = len(h)
     if n < k:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     grams = sum((h[j : n - m + 1 + j] * np.uint64(_MULTIPLIERS[j]) for j in range(1, m)), h[: n - m + 1] * np.uint64(_MULTIPLIERS[0]))
     key = _sliding_min(_mix(grams), k - m + 1)
-    whole = _window_hashes(_mix(h), k)
+    whole = _window_hashes(h, k)
     ends = np.repeat(np.cumsum(lengths), lengths)[: n - k + 1]
     at = np.flatnonzero(np.arange(k, n + 1) <= ends)
     if not len(at):
@@ -119,24 +129,32 @@ def _superkmers(words: list[bytes], lengths: np.ndarray, hashes: _WordHashes, k:
 
 
 def _documents(batch: pa.RecordBatch):
-    """ids, words of all texts in id order, words of each text."""
+    """ids, bytes of all texts in id order with one space after each word, begin and end of each word, words of each text."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     order = np.argsort(ids, kind="stable")
-    texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-    split = [(texts[i] or b"").split() for i in order]
-    lengths = np.array([len(x) for x in split], np.int64)
-    return ids[order], [w for x in split for w in x], lengths
+    texts = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"").take(pa.array(order))
+    texts = pc.binary_join_element_wise(texts, pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+    _, offsets, buffer = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
+    space = _SPACE[data]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    lengths = np.diff(np.searchsorted(np.flatnonzero(keep & space), offsets - offsets[0], "left"))
+    data, space = data[keep], space[keep]
+    data[space] = 32
+    ends = np.flatnonzero(space)
+    return ids[order], data, np.append(0, ends[:-1] + 1)[: len(ends)], ends, lengths
 
 
 def _hot_minimisers(docs: DataFrame, k: int, m: int, buckets: int, max_hot: int = 2_000_000) -> np.ndarray:
     share, least = max(1 / (8 * buckets), 1 / max_hot), 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
         none = np.zeros(0, np.uint64)
         for batch in pieces(batches, 1 << 14, 6 << 20):
-            _, words, lengths = _documents(batch)
-            _, _, key, whole = _superkmers(words, lengths, hashes, k, m, none)
+            _, data, begins, ends, lengths = _documents(batch)
+            _, _, key, whole = _superkmers(_word_hashes(data, begins, ends), lengths, k, m, none)
             pairs = key[np.unique(key * np.uint64(_MULTIPLIERS[0]) + whole, return_index=True)[1]]  # equal texts of a batch count once
             values, counts = np.unique(pairs, return_counts=True)
             often = counts >= max(least, share / 2 * len(pairs))
@@ -171,17 +189,14 @@ def _partition(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray) -
     """One row per batch and bucket: its packed super-k-mers."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, codec = _WordHashes(), zstandard.ZstdCompressor(level=3)
+        codec = zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches, 1 << 14, 6 << 20):
-            ids, words, lengths = _documents(batch)
-            at, size, key, _ = _superkmers(words, lengths, hashes, k, m, hot)
+            ids, data, begins, ends, lengths = _documents(batch)
+            at, size, key, _ = _superkmers(_word_hashes(data, begins, ends), lengths, k, m, hot)
             if not len(at):
                 continue
-            offsets = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            begin = np.concatenate([np.zeros(1, np.int64), offsets])[at]
-            end = offsets[at + size + k - 2] - 1
-            joined = b" ".join(words)
-            strings = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            joined = data.tobytes()
+            strings = [joined[a:b] for a, b in zip(begins[at].tolist(), ends[at + size + k - 2].tolist(), strict=True)]
             seen: set[bytes] = set()
             once = np.fromiter((s not in seen and not seen.add(s) for s in strings), bool, len(strings))
             doc = np.searchsorted(np.cumsum(lengths), at, side="right")
@@ -199,30 +214,30 @@ def _partition(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray) -
 
 def first_places(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, text: bytes, k: int):
     """Runs (id, start, length) of windows whose content stands at no earlier place, of packed super-k-mers."""
-    numbers = _WordNumbers()
-    words = text.split()
-    values = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    data = np.frombuffer(text, np.uint8)
+    ends = np.append(np.flatnonzero(data == 32), len(data))
+    begins = np.append(0, ends[:-1] + 1)
+    values = _word_hashes(data, begins, ends)
     begin = np.cumsum(sizes + k - 1) - (sizes + k - 1)
     order = np.lexsort((starts, ids))
     ids, starts, sizes, begin = ids[order], starts[order], sizes[order].astype(np.int64), begin[order]
     segment = np.repeat(np.arange(len(ids)), sizes)
     inside = np.arange(len(segment)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = begin[segment] + inside
-    hashes = _window_hashes(_mix(values.astype(np.uint64) * np.uint64(_MULTIPLIERS[0]) + np.uint64(1)), k)[place]
+    hashes = _window_hashes(values, k)[place]
     by_hash = np.argsort(hashes, kind="stable")
     equal = np.flatnonzero(hashes[by_hash[1:]] == hashes[by_hash[:-1]])
     first = np.ones(len(place), bool)
     first[by_hash[equal + 1]] = False
-    views = np.lib.stride_tricks.sliding_window_view(values, k)
-    for some in np.array_split(equal, max(1, len(equal) // 65_536)):
-        a, b = place[by_hash[some]], place[by_hash[some + 1]]
-        clash = some[(views[a] != views[b]).any(axis=1)]
-        for value in np.unique(hashes[by_hash[clash]]):  # different words, one hash: decide by the words
-            seen = set()
-            for i in np.flatnonzero(hashes == value):
-                content = views[place[i]].tobytes()
-                first[i] = content not in seen
-                seen.add(content)
+    left, right = begins[place], ends[place + k - 1]
+    pairs = zip(*(x[by_hash[y]].tolist() for y in (equal, equal + 1) for x in (left, right)), strict=True)
+    clash = equal[np.fromiter((text[a:b] != text[c:d] for a, b, c, d in pairs), bool, len(equal))]
+    for value in np.unique(hashes[by_hash[clash]]):  # different words, one hash: decide by the words
+        seen = set()
+        for i in np.flatnonzero(hashes == value):
+            content = text[left[i] : right[i]]
+            first[i] = content not in seen
+            seen.add(content)
     kept = np.flatnonzero(first)
     if not len(kept):
         return ids[:0], starts[:0], sizes[:0]
