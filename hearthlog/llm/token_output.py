@@ -193,7 +193,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, remembered: int = 400_000) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, remembered: int = 300_000) -> DataFrame:
     """id, part, row, inside (ids of the part's documents before it), n_tokens, ids: in ascending order of id over parts and rows.
 
     chunk_bytes of text are encoded together and about ``remembered`` cuts kept: memory of a task against time.
@@ -224,7 +224,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str =
     return ordered.select("id", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, "id long, part long, row long, inside long, n_tokens long, ids array<int>")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_rows: int = 2000, compression: str = "zstd", id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, remembered: int = 400_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_rows: int = 2000, compression: str = "zstd", id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, remembered: int = 300_000) -> None:
     """Write the token table. encoding: ``dictionary`` or ``delta`` (DELTA_BINARY_PACKED)."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
