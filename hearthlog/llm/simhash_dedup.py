@@ -132,7 +132,7 @@ def links(distinct: DataFrame, bits: int = 2, bucket_limit: int = 48) -> DataFra
         raise ValueError("the key scheme covers up to two differing bits")
     keys = materialise(_keys(distinct), "golay-keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"))
-    crowded = materialise(sizes.where(F.col("n") > bucket_limit).select("key"), "golay-crowded")
+    crowded = materialise(sizes.where(F.col("n") > bucket_limit).select("key"), "golay-crowded", narrow=True)
 
     small = keys.join(crowded, "key", "left_anti").groupBy("key").agg(F.collect_list("fp").alias("fps"))
     within = F.flatten(F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (b > a) & (_differ(a, b) <= bits)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
@@ -146,7 +146,7 @@ def links(distinct: DataFrame, bits: int = 2, bucket_limit: int = 48) -> DataFra
     else:
         crowd = points.where(F.col("point") == F.col("fp")).select("fp")
         many = points.join(crowd.select(F.col("fp").alias("point")), "point", "left_semi").select(F.least("fp", "point").alias("a"), F.greatest("fp", "point").alias("b")).where((F.col("a") != F.col("b")) & F.lit(bits == 1)).distinct()
-    out = materialise(few.unionByName(many).distinct(), "golay-links")
+    out = materialise(few.unionByName(many).distinct(), "golay-links", narrow=True)
     release(keys, crowded)
     return out
 
@@ -157,16 +157,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round hooks labels over the edges and halves the paths; labels only fall, and the loop ends
     when a round changes none. The driver sees one count a round.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("f")), "labels")
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", narrow=True)
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("f")), "labels", narrow=True)
     written = labels
     for _ in range(max_rounds):
         up = labels.select(F.col("node").alias("f"), F.col("f").alias("g"))
         near = both.join(labels.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b").groupBy("a").agg(F.min("fb").alias("m"))
-        seen = materialise(labels.join(up, "f").join(near.withColumnRenamed("a", "node"), "node").select("node", "f", F.least("g", "m").alias("v")), "seen")
+        seen = materialise(labels.join(up, "f").join(near.withColumnRenamed("a", "node"), "node").select("node", "f", F.least("g", "m").alias("v")), "seen", narrow=True)
         hooked = seen.groupBy("f").agg(F.min("v").alias("h")).select(F.col("f").alias("node"), "h")
         step = seen.join(hooked, "node", "left").select("node", F.least("f", "v", F.coalesce("h", "f")).alias("f"), F.col("f").alias("old"))
-        step = materialise(step, "labels")
+        step = materialise(step, "labels", narrow=True)
         release(seen, written)
         labels, written = step.select("node", "f"), step
         if step.where("f != old").isEmpty():
@@ -179,9 +179,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, bits: int = 2, bucket_limit: int = 48) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links) of every row."""
     fps = materialise(fingerprints(docs, id_col, text_col, n), "fingerprints")
-    least = materialise(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    least = materialise(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints", narrow=True)
     labels = components(links(least.select("fp"), bits, bucket_limit))
     grouped = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("f", "fp").alias("f"))
     roots = grouped.groupBy("f").agg(F.min("least").alias("root"))
-    member = materialise(grouped.join(roots, "f").select("fp", "root"), "members")
+    member = materialise(grouped.join(roots, "f").select("fp", "root"), "members", narrow=True)
     return fps.join(member, "fp").select(id_back("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_back("root").alias("component_id"))
