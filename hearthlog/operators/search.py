@@ -62,7 +62,7 @@ def written_index(turns: DataFrame, columns: tuple[str, ...] = ("text",)) -> Ind
 def update_index(index: Index, changed: DataFrame, turns: DataFrame, columns: tuple[str, ...] = ("text",)) -> Index:
     """The index after files changed (``file``: new, grown, rewritten or gone) and their turns were read anew: only these are
     tokenised; all other postings are kept as they are. Write it to a path of its own, then read that one."""
-    gone, new = F.broadcast(changed.select("file").distinct()), build_index(turns, columns)
+    gone, new = changed.select("file").distinct(), build_index(turns, columns)
     parts = [(getattr(index, t), getattr(new, t)) for t in ("turns", "postings", "turn_stats")]
     return Index(*(old.join(gone, "file", "left_anti").select(*old.columns).unionByName(more) for old, more in parts))
 

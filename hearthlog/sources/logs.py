@@ -244,9 +244,9 @@ def resumed_turns(spark: SparkSession, todo: DataFrame, provider: str, raw: bool
         none = spark.createDataFrame([], "file string, offset long")
         return spark.createDataFrame([], "provider string, file string, msg_index long, role string, ts timestamp, ts_raw string, text string"), none
     lines = complete_lines(spark, paths)
-    fresh = _objects(lines.join(F.broadcast(todo.select("file", "offset")), "file").where(F.col("end") > F.col("offset")))
+    fresh = _objects(lines.join(todo.select("file", "offset"), "file").where(F.col("end") > F.col("offset")))
     rows = raw_rows(fresh, provider) if raw else {"codex": codex_rows, "claude": claude_rows}[provider](fresh)
-    turns = _numbered(rows, provider).withColumnRenamed("msg_index", "n").join(F.broadcast(todo.select("file", "msg_index")), "file")
+    turns = _numbered(rows, provider).withColumnRenamed("msg_index", "n").join(todo.select("file", "msg_index"), "file")
     turns = turns.withColumn("msg_index", F.col("n") + F.col("msg_index")).select("provider", "file", "msg_index", "role", "ts", "ts_raw", "text")
     return turns, lines.groupBy("file").agg(F.max("end").alias("offset"))
 
