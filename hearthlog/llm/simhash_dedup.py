@@ -155,7 +155,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable from each node of the edges (a, b).
 
     Each round hooks labels over the edges and halves the paths; labels only fall, and the loop ends
-    when a round changes none. The driver sees one count a round.
+    when a round changes none. The driver sees one count a round. A giant component or the hub of a star puts one key on many rows
+    only on one side of a join whose other side has it once, which a skew join splits; minima are combined before the shuffle.
     """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", narrow=True)
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("f")), "labels", narrow=True)
