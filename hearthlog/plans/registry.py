@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthlog.operators import clean, ingest, mentions, search, summarise, windows
 from hearthlog.plans import recall as plans
 from hearthlog.sources import adapters, logs
-from hearthlog.sources.written import fresh_path
+from hearthlog.sources.written import fresh_path, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -601,6 +601,24 @@ for _p in adapters.PROVIDERS:
     query(_logged(_p, True))(_log_query(_p, True))
 
 
+@query(_logged("codex", True))
+def append_ingest(spark, sf_dir):
+    """Logs of which the state knows the first half of the lines (even conversations) or nothing: after the run all turns stand as in the logs."""
+    path = adapters.write_logs(spark, sf_dir, "codex")
+    files = logs.session_inventory(spark, {"codex": path}, {"codex": "*.txt"}).select("path", "mtime", "size")
+    number = F.regexp_extract("file", "conv_id=([0-9]+)", 1)
+    lines = logs.complete_lines(spark, [r.path for r in files.select("path").collect()]).where(number.cast("long") % 2 == 0)
+    order = Window.partitionBy("file")
+    half = lines.withColumn("at", F.row_number().over(order.orderBy("end"))).withColumn("n", F.count("*").over(order)).where(F.col("at") * 2 <= F.col("n"))
+    told = F.expr("try_variant_get(try_parse_json(value), '$.payload.type', 'string') <> 'function_call'")
+    known = materialise(half.groupBy("file").agg(F.max("end").alias("offset"), F.count_if(told).alias("msg_index")), "known")
+    state = known.select("file", F.timestamp_seconds(F.lit(0)).alias("mtime"), F.col("offset").alias("size"), "offset", "msg_index")
+    all_, _ = logs.resumed_turns(spark, known.select("file", F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("msg_index")), "codex")
+    old = all_.join(known.select("file", F.col("msg_index").alias("top")), "file").where(F.col("msg_index") <= F.col("top")).drop("top")
+    after, _ = ingest.append_ingest(files, state, materialise(old, "old-turns"), lambda todo: logs.resumed_turns(spark, todo, "codex"))
+    return after.select("provider", number.alias("file"), "msg_index", "role", F.unix_seconds("ts").alias("sec"), "text")
+
+
 @query("SELECT 'gemini' AS provider, conv_id::VARCHAR AS file, true AS filled FROM (SELECT DISTINCT conv_id FROM conversations WHERE role IN ('user', 'assistant'))")
 def session_inventory(spark, sf_dir):
     files = logs.session_inventory(spark, {"gemini": adapters.write_logs(spark, sf_dir, "gemini"), "codex": f"{sf_dir}/none"}, {"gemini": "*.txt", "codex": "*"})
