@@ -172,24 +172,36 @@ def _hot_minimisers(docs: DataFrame, k: int, m: int, buckets: int, max_hot: int
 _HEAD = struct.Struct("<qq")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second bytes, and so on: high bytes are mostly alike and compress to little."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
 def _pack(ids, starts, sizes, texts: list[bytes], codec) -> bytes:
+    """ids (ascending, as differences modulo 2**64), starts and sizes in byte planes, then the strings."""
     body = b" ".join(texts)
-    return codec.compress(b"".join([_HEAD.pack(len(ids), len(body)), ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), body]))
+    ids = np.diff(ids.astype("<u8"), prepend=np.uint64(0))
+    return codec.compress(b"".join([_HEAD.pack(len(ids), len(body)), _planes(ids), _planes(starts.astype("<u4")), _planes(sizes.astype("<u1")), body]))
 
 
 def _unpack(blob: bytes, codec):
     raw = codec.decompress(blob)
     n, size = _HEAD.unpack_from(raw)
     at = _HEAD.size
-    ids, starts, sizes = np.frombuffer(raw, "<i8", n, at), np.frombuffer(raw, "<i8", n, at + 8 * n), np.frombuffer(raw, "<i4", n, at + 16 * n)
-    return ids, starts, sizes, raw[at + 20 * n : at + 20 * n + size]
+    ids = np.cumsum(_from_planes(raw, "<u8", n, at), dtype=np.uint64).view(np.int64)
+    return ids, _from_planes(raw, "<u4", n, at + 8 * n).astype(np.int64), _from_planes(raw, "<u1", n, at + 12 * n).astype(np.int64), raw[at + 13 * n : at + 13 * n + size]
 
 
 def _partition(docs: DataFrame, k: int, m: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """One row per batch and bucket: its packed super-k-mers."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = zstandard.ZstdCompressor(level=3)
+        codec = zstandard.ZstdCompressor(level=5)
         for batch in pieces(batches, 1 << 14, 6 << 20):
             ids, data, begins, ends, lengths = _documents(batch)
             at, size, key, _ = _superkmers(_word_hashes(data, begins, ends), lengths, k, m, hot)
