@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: White space as text tools strip it.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: White space other than a line feed.
-SPACE_IN_LINE = SPACE[:-1] + r"&&[^\n]]"
+#: The same as characters, and those of them that are no line ends.
+_IN_LINE = "\t\x1f \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+_SPACES = _IN_LINE + "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 WORD = r"[\p{L}\p{N}\p{Co}]+"
 TOKEN_BREAK = r"[^\p{L}\p{N}\p{Co}]+"
 
@@ -31,11 +32,17 @@ def split_lines(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}++\z", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?<!{SPACE}){SPACE}++\z", "")
+    return F.rtrim(text, F.lit(_SPACES))
+
+
+def tidy_lines(text: Column) -> Column:
+    """Every line right-trimmed, no blank lines at either end."""
+    lines = F.transform(split_lines(text), lambda x: F.rtrim(x, F.lit(_IN_LINE)))
+    return F.btrim(F.array_join(lines, "\n"), F.lit("\n"))
 
 
 def one_line(text: Column) -> Column:

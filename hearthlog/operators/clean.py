@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthlog.functions.text import LINE_END, SPACE_IN_LINE, one_line, split_lines, strip
+from hearthlog.functions.text import one_line, split_lines, strip, tidy_lines
 
 #: Texts that providers put before a user's own words.
 PREAMBLES = {
@@ -20,13 +20,6 @@ INSIGHTS = r"(?s)`★ Insight[^`]*`\n.*?`─+`"
 BY_FILE = ("provider", "file")
 
 
-def tidy_lines(text: Column) -> Column:
-    """Every line right-trimmed, no blank lines at either end. Three passes over the text, each run of blanks seen once."""
-    lines = F.regexp_replace(text, LINE_END, "\n")
-    trimmed = F.regexp_replace(lines, rf"(?<!{SPACE_IN_LINE}){SPACE_IN_LINE}++(?=\n|\z)", "")
-    return F.regexp_replace(trimmed, r"\A\n+|(?<!\n)\n++\z", "")
-
-
 def is_preamble(provider: Column, role: Column, text: Column) -> Column:
     def holds(marks: tuple[str, ...]) -> Column:
         return F.greatest(*[text.contains(m) for m in marks])
@@ -38,7 +31,8 @@ def is_preamble(provider: Column, role: Column, text: Column) -> Column:
 def strip_artifacts(text: Column) -> Column:
     tags = F.when(text.contains("</"), F.regexp_replace(text, ARTIFACTS, "")).otherwise(text)
     insights = F.when(text.contains("★ Insight"), F.regexp_replace(tags, INSIGHTS, "")).otherwise(tags)
-    return strip(F.regexp_replace(insights, r"\n{3,}", "\n\n"))
+    squeezed = F.when(insights.contains("\n\n\n"), F.regexp_replace(insights, r"\n{3,}", "\n\n")).otherwise(insights)
+    return strip(squeezed)
 
 
 def _once(df: DataFrame, text: Column) -> DataFrame:
