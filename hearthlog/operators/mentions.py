@@ -45,14 +45,18 @@ def direct_mention(hits: DataFrame) -> DataFrame:
 def _beside(hits: DataFrame, mentions: DataFrame, low: int, high: int, name: str) -> DataFrame:
     """hits with the index of the first (from low >= 0) or last (to high <= 0) mention at offsets low..high, or null.
 
-    Hits and mentions of a file stand in one sorted stream, each row seeing a frame of it: no join.
+    Hits and mentions of a file stand in one sorted stream, in descending order for what comes after. The nearest mention is the last
+    one seen on the way to a row, whose frame only ever grows, and is compared with the span afterwards: one pass for any span.
     """
     by = ("provider", "file")
     marks = mentions.select(*by, F.col("msg_index").alias("i"), F.col("msg_index").alias("mention"), F.lit(None).cast(hits.select(F.struct("*")).schema[0].dataType).alias("hit"))
     asks = hits.select(*by, F.col("msg_index").alias("i"), F.lit(None).cast("long").alias("mention"), F.struct("*").alias("hit"))
-    frame = Window.partitionBy(*by).orderBy("i").rangeBetween(low, high)
-    pick = F.first("mention", ignorenulls=True) if low >= 0 else F.last("mention", ignorenulls=True)
-    return marks.unionByName(asks).withColumn(name, pick.over(frame)).where(F.col("hit").isNotNull()).select("hit.*", name)
+    after = low >= 0
+    order = Window.partitionBy(*by).orderBy(F.col("i").desc() if after else F.col("i"))
+    seen = F.last("mention", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, -low if after else high))
+    far = F.col("seen") - F.col("i")
+    found = F.when(far.between(low, high), F.col("seen"))
+    return marks.unionByName(asks).withColumn("seen", seen).where(F.col("hit").isNotNull()).select("hit.*", found.alias(name))
 
 
 def nearest_mention(hits: DataFrame, mentions: DataFrame, direction: str = "forward", span: int = SPAN) -> DataFrame:

@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hearthlog.functions.text import parse_time
 from hearthlog.operators import clean, ingest, mentions, search, summarise, windows
 from hearthlog.plans import recall as plans
-from hearthlog.sources import adapters, logs
+from hearthlog.sources import adapters, logs, ranges
+from hearthlog.sources.store import Store
 from hearthlog.sources.written import fresh_path, materialise
+from hearthlog.streaming import grown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -607,18 +610,46 @@ def append_ingest(spark, sf_dir):
     path = adapters.write_logs(spark, sf_dir, "codex")
     files = logs.session_inventory(spark, {"codex": path}, {"codex": "*.txt"}).select("path", "mtime", "size")
     number = F.regexp_extract("file", "conv_id=([0-9]+)", 1)
-    lines = logs.complete_lines(spark, [r.path for r in files.select("path").collect()]).where(number.cast("long") % 2 == 0)
+    whole = files.select(F.col("path").alias("file"), F.lit(0).cast("long").alias("offset"), "size")
+    lines = ranges.range_lines(ranges.plan_ranges(whole)).where(number.cast("long") % 2 == 0)
     order = Window.partitionBy("file")
     half = lines.withColumn("at", F.row_number().over(order.orderBy("end"))).withColumn("n", F.count("*").over(order)).where(F.col("at") * 2 <= F.col("n"))
     told = F.expr("try_variant_get(try_parse_json(value), '$.payload.type', 'string') <> 'function_call'")
     known = materialise(half.groupBy("file").agg(F.max("end").alias("offset"), F.count_if(told).alias("msg_index")), "known")
     state = known.select("file", F.timestamp_seconds(F.lit(0)).alias("mtime"), F.col("offset").alias("size"), "offset", "msg_index")
-    all_, _ = logs.resumed_turns(spark, known.select("file", F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("msg_index")), "codex")
+    zero = F.lit(0).cast("long")
+    all_, _ = logs.resumed_turns(spark, known.select("file", zero.alias("offset"), F.col("offset").alias("size"), zero.alias("msg_index")), "codex")
     old = all_.join(known.select("file", F.col("msg_index").alias("top")), "file").where(F.col("msg_index") <= F.col("top")).drop("top")
     after, _ = ingest.append_ingest(files, state, materialise(old, "old-turns"), lambda todo: logs.resumed_turns(spark, todo, "codex"))
     return after.select("provider", number.alias("file"), "msg_index", "role", F.unix_seconds("ts").alias("sec"), "text")
 
 
+def _in_two_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The inventory of codex logs when they were half as long (ends of lines apart), and as they are."""
+    now = logs.session_inventory(spark, {"codex": adapters.write_logs(spark, sf_dir, "codex")}, {"codex": "*.txt"}).select("path", "mtime", "size")
+    return now.withColumns({"mtime": F.timestamp_seconds(F.lit(0)), "size": F.floor(F.col("size") / 2)}), now
+
+
+@query(_logged("codex", True))
+def ingest_logs(spark, sf_dir):
+    """Logs ingested into a store when they were half as long, and again when they had grown."""
+    store = Store(spark, fresh_path(spark, "store"), buckets=8)
+    for files in _in_two_steps(spark, sf_dir):
+        ingest.ingest_logs(store, files, lambda todo: logs.resumed_turns(spark, todo, "codex", range_bytes=5000))
+    return store.read("turns", ingest.TURNS).select("provider", F.regexp_extract("file", "conv_id=([0-9]+)", 1).alias("file"), "msg_index", "role", F.unix_seconds("ts").alias("sec"), "text")
+
+
+@query(_logged("codex", True))
+def stream_grown_logs(spark, sf_dir):
+    """The same logs as a stream of what is new in them, in two steps."""
+    home, out, checkpoint = (fresh_path(spark, x) for x in ("steps", "streamed", "stream"))
+    for files in _in_two_steps(spark, sf_dir):
+        grown.discover(spark, files, home, range_bytes=5000)
+        grown.stream_grown_logs(spark, home, out, checkpoint, "codex").awaitTermination()
+    turns = grown.last_epochs(spark.read.parquet(out)).withColumn("ts", parse_time(F.col("ts_raw")))
+    return turns.select("provider", F.regexp_extract("file", "conv_id=([0-9]+)", 1).alias("file"), "msg_index", "role", F.unix_seconds("ts").alias("sec"), "text")
+
+
 @query("SELECT 'gemini' AS provider, conv_id::VARCHAR AS file, true AS filled FROM (SELECT DISTINCT conv_id FROM conversations WHERE role IN ('user', 'assistant'))")
 def session_inventory(spark, sf_dir):
     files = logs.session_inventory(spark, {"gemini": adapters.write_logs(spark, sf_dir, "gemini"), "codex": f"{sf_dir}/none"}, {"gemini": "*.txt", "codex": "*"})

@@ -10,11 +10,13 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthlog.functions.text import parse_time, strip
-from hearthlog.sources.written import hadoop_path
+from hearthlog.sources.ranges import RANGE_BYTES, plan_ranges, range_lines, readable
+from hearthlog.sources.written import hadoop_path, materialise
 
 INVENTORY = "path string, provider string, mtime timestamp, size long"
 _GLOBS = {"codex": "*.jsonl", "claude": "*.jsonl", "gemini": "*.json"}
@@ -81,11 +83,12 @@ def _objects(lines: DataFrame) -> DataFrame:
 
 
 def complete_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, line, value, end: the lines of files that end in a line feed, and the offset after each. One sort per file."""
+    """file, start (zero), end, value: the lines of files that end in a line feed, and the offset after each, read by Spark from the
+    start of each file with one sort per file. A byte-order mark, which Spark's reader drops, is not counted in offsets."""
     text = spark.read.option("lineSep", "\n").text(paths)
     at = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line"), "value")
     end = F.sum(F.octet_length("value") + 1).over(Window.partitionBy("file").orderBy("line"))
-    return at.withColumn("end", end).where(F.col("end") <= F.col("size")).drop("size")
+    return at.withColumn("end", end).where(F.col("end") <= F.col("size")).select("file", F.lit(0).cast("long").alias("start"), "end", "value")
 
 
 def _numbered(rows: DataFrame, provider: str) -> DataFrame:
@@ -228,26 +231,41 @@ def raw_rows(lines: DataFrame, provider: str) -> DataFrame:
         role = F.when(item, _field("v", "$.payload.role")).when(event & (inner == "user_message"), "user").when(event & (inner == "agent_message"), "assistant")
         text = F.when(item, _content("v", "$.payload.content", False, True)).otherwise(_field("v", "$.payload.message"))
     else:
-        inside = F.coalesce(_is("v", "$.message", "OBJECT"), F.lit(False))
-        role = F.when(inside, F.coalesce(_field("v", "$.message.role"), _field("v", "$.type"))).otherwise(_field("v", "$.role"))
-        text = F.when(inside, _content("v", "$.message.content", False, True)).otherwise(_content("v", "$.content", False, True))
+        # the message, or where it has no text or role the line itself, which only a user or an assistant speaks by
+        inner, said = F.coalesce(F.nullif(_field("v", "$.message.role"), F.lit("")), _field("v", "$.type")), _content("v", "$.message.content", False, True)
+        inside = F.coalesce(_is("v", "$.message", "OBJECT") & (said != "") & (inner != ""), F.lit(False))
+        top = _field("v", "$.role")
+        role = F.when(inside, inner).when(top.isin("user", "assistant"), top)
+        text = F.when(inside, said).otherwise(_content("v", "$.content", False, True))
     return _emit(lines, _field("v", "$.timestamp"), F.array(_row(0, role, text))).where(F.col("role").isNotNull())
 
 
-def resumed_turns(spark: SparkSession, todo: DataFrame, provider: str, raw: bool = True) -> tuple[DataFrame, DataFrame]:
+def resumed_turns(spark: SparkSession, todo: DataFrame, provider: str, raw: bool = True, range_bytes: int = RANGE_BYTES, counted: Accumulator | None = None) -> tuple[DataFrame, DataFrame]:
     """(turns, ends) of what files hold beyond what is known of them: complete lines after ``offset``, numbered on from ``msg_index``.
 
-    todo: file, offset, msg_index. ends: file, offset of the last complete line. Only the paths of these files come to the driver.
+    todo: file, offset, size, msg_index. ends: file, offset after the last complete line. Only the bytes from ``offset`` to
+    ``size`` are read, in ranges, and turns are numbered by range, so that a long log is no single task; the new lines and
+    their rows are written tables. Where only Spark can open the files, they are read from their start. counted: adds up the bytes read.
     """
-    paths = [r.file for r in todo.select("file").distinct().collect()]
-    if not paths:
+    first = todo.select("file").first()
+    if first is None:
         none = spark.createDataFrame([], "file string, offset long")
         return spark.createDataFrame([], "provider string, file string, msg_index long, role string, ts timestamp, ts_raw string, text string"), none
-    lines = complete_lines(spark, paths)
-    fresh = _objects(lines.join(todo.select("file", "offset"), "file").where(F.col("end") > F.col("offset")))
+    if readable(first.file):
+        lines = range_lines(plan_ranges(todo.select("file", "offset", "size"), range_bytes), counted=counted)
+    else:
+        known = complete_lines(spark, [r.file for r in todo.select("file").distinct().collect()])
+        lines = known.join(todo.select("file", "offset"), "file").where(F.col("end") > F.col("offset")).drop("offset")
+    lines = materialise(lines, "new-lines")
+    fresh = _objects(lines.withColumn("line", F.struct("start", "end")))
     rows = raw_rows(fresh, provider) if raw else {"codex": codex_rows, "claude": claude_rows}[provider](fresh)
-    turns = _numbered(rows, provider).withColumnRenamed("msg_index", "n").join(todo.select("file", "msg_index"), "file")
-    turns = turns.withColumn("msg_index", F.col("n") + F.col("msg_index")).select("provider", "file", "msg_index", "role", "ts", "ts_raw", "text")
+    rows = materialise(rows.where(F.trim("text") != "").withColumn("start", F.col("line.start")), "new-rows")
+    counts = rows.groupBy("file", "start").agg(F.count("*").alias("held"))
+    before = F.sum("held").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select("file", "start", F.coalesce(before, F.lit(0)).alias("before")).join(todo.select("file", "msg_index"), "file")
+    inside = F.row_number().over(Window.partitionBy("file", "start").orderBy("line", "at"))
+    turns = rows.withColumn("inside", inside).join(base, ["file", "start"]).withColumn("msg_index", F.col("msg_index") + F.col("before") + F.col("inside"))
+    turns = turns.select(F.lit(provider).alias("provider"), "file", "msg_index", "role", parse_time(F.col("ts_raw")).alias("ts"), "ts_raw", "text")
     return turns, lines.groupBy("file").agg(F.max("end").alias("offset"))
 
 

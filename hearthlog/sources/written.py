@@ -31,12 +31,12 @@ def materialise(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage,
     survives lost executors, and gives the optimizer real sizes.
 
-    narrow: of a few numbers a row where texts are dealt out in ``spark.sql.shuffle.partitions``, so that a sixteenth of
-    these partitions (eight at least) is enough for the stage that makes it, and for its files.
+    narrow: of a few numbers a row where texts are dealt out in ``spark.sql.shuffle.partitions``. The stage that makes it keeps all
+    partitions; its rows are dealt anew by their size afterwards (adaptive rebalancing), so that the table has few files.
     """
     path = fresh_path(df.sparkSession, tag)
     if narrow:
-        df = df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+        df = df.hint("rebalance")
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path

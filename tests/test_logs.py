@@ -38,9 +38,12 @@ def test_claude(spark, tmp_path):
         {"message": {"role": "user", "content": "[1,2] text"}},
         {"message": {"role": "system", "content": "no"}},
         {"role": "user", "content": "top"},
+        {"role": "system", "content": "not said at the top"},
+        {"message": {"role": "assistant", "content": []}, "role": "user", "content": "beside an empty message"},
+        {"message": {"content": "of the line's type"}, "type": "summary"},
     )
     assert (3, "assistant", "first\nBash\nx") in rows(logs.read_claude_turns(spark, str(tmp_path), include_tools=True))
-    assert [r[1:] for r in rows(logs.read_raw_turns(spark, str(tmp_path), "claude"))] == [("assistant", "first"), ("user", "[1,2] text"), ("system", "no"), ("user", "top")]
+    assert [r[1:] for r in rows(logs.read_raw_turns(spark, str(tmp_path), "claude"))] == [("assistant", "first"), ("user", "[1,2] text"), ("system", "no"), ("user", "top"), ("user", "beside an empty message"), ("summary", "of the line's type")]
     assert rows(logs.read_claude_turns(spark, str(tmp_path))) == [(1, "cmd", "a"), (2, "cmd", "b"), (3, "assistant", "first"), (4, "user", "[1,2] text"), (5, "user", "top")]
 
 
