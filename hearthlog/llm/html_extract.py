@@ -2,11 +2,13 @@
 
 The page becomes a tree (void and unclosed elements repaired as they come). Elements that never hold
 the article (scripts, menus, headers, footers, forms, adverts, notices, comments, hidden parts) are cut
-off by name, role, class or id. Every text block then passes points, one plus its commas plus one for
+off by name, role, class or id (a class counts as a whole, or by its first or last word where the others only say what kind of
+part it is; comments and the like are also cut inside the article). Every text block then passes points, one plus its commas plus one for
 each 100 characters, times one minus its link density, to its ancestors: all to the parent, half to
 the next, a third to the one above. The element with the most points, or the article or main around it, or its
 parent if that has parts of text only, is the container; siblings with a fifth of its points, and headings
-before it, are kept with it. All their blocks are returned in page order.
+before it, are kept with it, and so are other articles beside an article. All their blocks are returned in page order, but for
+lists that are nearly all links; such lists stay inside an article or main that has other text (its references).
 
 Defined cases: null or empty html, and pages without text, give an empty text; broken markup never
 raises, and an unended tag at the end of a page is dropped; pages of any length and nesting of any depth take time in
@@ -35,6 +37,11 @@ _CUT_NAMES = frozenset(
     "footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended comment comments commentlist reply replies respond disqus discussion widget toolbar pagination pager skip".split()
 )
+#: Words that say what kind of part an element is, beside one of the names above.
+_KINDS = frozenset(
+    "area bar block body bottom box button buttons card cards column container content desktop first footer form global group header holder inner item items last layout left link links "
+    "list main mobile module nav outer page panel post posts primary right section secondary site slot static sticky text thread top unit widget widgets wrap wrapper articles stories".split()
+)
 _SECTIONS = frozenset("body article main section div td table".split())
 #: Start tags that end an open element of the given kinds.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -44,6 +51,8 @@ _START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _REST = re.compile(r"((?:[^>=]++|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"([a-z])([A-Z])")
+_COMMENT_END = re.compile(r"--!?>")
 
 
 class Node:
@@ -71,7 +80,12 @@ def _boilerplate(node: Node) -> bool:
         return True
     if node.tag in ("article", "main") or node.tag in _INLINE and node.tag != "span":
         return False
-    return any(n in _CUT_NAMES for a in ("class", "id") for n in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs.get(a, "")).lower()))
+    return any(_cut_name(_NAME.findall(_HUMP.sub(r"\1 \2", name).lower())) for a in ("class", "id") for name in attrs.get(a, "").split())
+
+
+def _cut_name(words: list[str]) -> bool:
+    """Whether the words of one class or id are such a name: one word, or the first or last with only kinds of parts and such names beside it."""
+    return bool(words) and (words[0] in _CUT_NAMES or words[-1] in _CUT_NAMES) and all(w in _CUT_NAMES or w in _KINDS for w in words)
 
 
 class _Open:
@@ -111,6 +125,15 @@ def _tag_end(html: str, at: int) -> int:
     return m.end() - 1 if m else html.find(">", at)
 
 
+def _comment_end(html: str, at: int) -> int:
+    """Where text goes on after a comment whose text starts at ``at``; ``<!-->`` and ``<!--->`` are whole comments."""
+    for whole in (">", "->"):
+        if html.startswith(whole, at):
+            return at + len(whole)
+    m = _COMMENT_END.search(html, at)
+    return m.end() if m else len(html)
+
+
 def _raw_end(html: str, tag: str, at: int) -> int:
     m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
     return m.end() if m else -1
@@ -129,8 +152,7 @@ def parse(html: str) -> Node:
             at = start + 1 if start >= 0 else size
             continue
         if m[1] or m[2]:
-            end = html.find("-->", m.end()) + 2 if m[1] else html.find(">", m.end())
-            at = end + 1 if end > 1 else size
+            at = _comment_end(html, m.end()) if m[1] else html.find(">", m.end()) + 1 or size
             continue
         end = _tag_end(html, m.end())
         if end < 0:  # a tag that never ends holds no text
@@ -193,7 +215,13 @@ def _measure(root: Node) -> list[Node]:
 
 
 def _menu(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "dl") and node.text > 0 and node.linked > 0.8 * node.text and sum(not isinstance(c, str) for c in node.children) >= 3
+    """A list of three links or more that is nearly nothing else, but for one inside an article or main with more other text."""
+    if not (node.tag in ("ul", "ol", "dl") and node.text > 0 and node.linked > 0.8 * node.text and sum(not isinstance(c, str) for c in node.children) >= 3):
+        return False
+    up = node.parent
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    return up is None or up.text - up.linked < node.text
 
 
 def _blocks(node: Node) -> list[str]:
@@ -259,6 +287,8 @@ def main_text(html: str | None) -> str:
             before = False
         elif before and x.tag in ("h1", "h2"):
             out += _blocks(x)
+        elif x.tag == best.tag == "article" and density < 0.2 and x.text >= 80:
+            out += _blocks(x)
         elif x.points >= 0.2 * best.points and density < 0.5 or x.tag in ("p", "blockquote", "pre") and density < 0.3 and x.text >= 80:
             out += _blocks(x)
     return "\n".join(out)

@@ -9,8 +9,8 @@ groups and pages.
 Encoding is that of the ``tokenizers`` library over the whole text. Its byte-level pre-tokenizer always
 starts a new piece at a single space or line feed between two other characters, so texts are cut there,
 the distinct cuts of a few megabytes of text into the pieces of that pre-tokenizer, each distinct piece is
-encoded once by the library, and the ids are gathered with numpy. Texts with other runs of white space, and
-all texts of other kinds of tokenizers, go to the library whole.
+encoded once by the library, and the ids are gathered with numpy. Texts with other runs of white space, texts with white
+space beside an added token (the library cuts at those first), and all texts of other kinds of tokenizers, go to the library whole.
 
 Defined cases: null text is empty (only the end id); a null doc_id sorts first; rows with the same
 doc_id are ordered by a hash of the text, then the text; an empty table gives an empty one. Only id and text are read.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -78,6 +79,8 @@ class Encoder:
         pre, added = kind.get("pre_tokenizer") or {}, kind.get("added_tokens") or []
         byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
         plain = all(a["content"].startswith("<|") and " " not in a["content"] and not (a.get("lstrip") or a.get("rstrip") or a.get("single_word")) for a in added)
+        tokens = "|".join(re.escape(a["content"]) for a in added)
+        self._whole = _RUN + (rf"|[{_NO_BREAK}\n](?:{tokens})|(?:{tokens})[{_NO_BREAK}\n]" if tokens else "")
         new_line = self._tokenizer.encode("\n", add_special_tokens=False).ids
         self._break = new_line[0] if byte_level and plain and len(new_line) == 1 else None
 
@@ -147,7 +150,7 @@ class Encoder:
         if self._break is None:
             ids = self._ids(texts.to_pylist())
             return np.concatenate([np.zeros(0, np.int32), *(np.append(x, np.int32(self._end)) for x in ids)]), np.array([len(x) + 1 for x in ids], np.int64)
-        whole = pc.match_substring_regex(texts, _RUN)
+        whole = pc.match_substring_regex(texts, self._whole)
         split = pc.split_pattern(pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \n"), " ")
         first = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
