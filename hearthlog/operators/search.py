@@ -4,14 +4,18 @@ queries: query_id, clause_id, atom_id, terms (array), is_prefix, negated. A docu
 all its positive atoms and none of its negated ones, and a query with any clause. An atom of several
 terms is a phrase; ``is_prefix`` lets its last term be the start of a word.
 
-An index is written once (``write_index``) and read by every batch; what a batch matches is written once too
-(``matched``), so that scores, clauses and frequencies read it instead of expanding the match again.
+An index is written once (``write_index``, or in generations by ``operators.index_store``) and read by every batch. Its dictionary (``terms``)
+has the terms in order, in blocks; a prefix finds its blocks by their first and last terms, so that no postings are read for
+it. What a batch matches is joined with the postings once and written (``matched``), so that phrases, scores, clauses and
+frequencies read it instead of expanding the match again.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,34 +24,65 @@ from hearthlog.sources.written import fresh_path, materialise
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 ATOM, DOC = ("query_id", "atom_id"), ("file", "msg_index")
+#: Terms in a block of the dictionary; postings of a term from which they are joined in parts, and are that many a part.
+BLOCK_TERMS, PART_POSTINGS = 512, 1_000_000
 
 
 @dataclass
 class Index:
+    """postings(term, provider, file, msg_index, col, tf, positions), turn_stats(provider, file, msg_index, n_tokens) and the dictionary,
+    terms(term, n, lead, block, gen), which is made from the postings where none is given."""
+
     turns: DataFrame
     postings: DataFrame
     turn_stats: DataFrame
+    terms: DataFrame | None = None
+
+    def dictionary(self) -> DataFrame:
+        if self.terms is None:
+            self.terms = materialise(build_terms(self.postings), "terms")
+        return self.terms
 
 
 def build_index(turns: DataFrame, columns: tuple[str, ...] = ("text",)) -> Index:
-    """postings(term, provider, file, msg_index, col, tf, positions) and turn_stats(provider, file, msg_index, n_tokens)."""
+    """The index of turns. The tokens of a turn are grouped inside its row (sorted with their places; a posting begins where the
+    term changes), so that building shuffles nothing."""
     key = ("provider", *DOC)
     listed = turns.select(*key, F.explode(F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c).cast("string")).alias("t")) for c in columns])).alias("c")).select(*key, "c.*")
-    postings = listed.select(*key, "col", F.posexplode("t").alias("pos", "term")).groupBy("term", *key, "col").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    stats = listed.groupBy(*key).agg(F.sum(F.size("t")).cast("int").alias("n_tokens"))
+    placed = listed.where(F.size("t") > 0).select(*key, "col", F.array_sort(F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("pos")))).alias("s"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"]))
+    placed = placed.withColumn("begins", begins)
+    posting = lambda b, k: F.struct(F.get("s", b)["term"].alias("term"), F.slice("s", b + 1, F.coalesce(F.get("begins", k + 1), F.size("s")) - b)["pos"].alias("positions"))
+    postings = placed.select(*key, "col", F.explode(F.transform("begins", posting)).alias("p"))
+    postings = postings.select("p.term", *key, "col", F.size("p.positions").alias("tf"), "p.positions")
+    stats = listed.groupBy(*key).agg(F.sum(F.size("t")).cast("int").alias("n_tokens")) if len(columns) > 1 else listed.select(*key, F.size("t").alias("n_tokens"))
     return Index(turns, postings, stats)
 
 
-def write_index(index: Index, path: str) -> Index:
-    """The index as written tables below ``path``: postings in ranges of the term, so that a batch's terms skip row groups."""
+def build_terms(postings: DataFrame) -> DataFrame:
+    """The dictionary: term, n (its postings), lead (its first character), block, gen (0); terms in order, blocks within a lead."""
+    counted = postings.groupBy("term").agg(F.count("*").alias("n")).repartitionByRange("term").sortWithinPartitions("term")
+    block = (F.monotonically_increasing_id() / BLOCK_TERMS).cast("long")
+    return counted.select("term", "n", F.substring("term", 1, 1).alias("lead"), block.alias("block"), F.lit(0).alias("gen"))
+
+
+def write_tables(index: Index, path: str) -> None:
+    """turns, postings (in ranges of the term, so that a batch's terms skip row groups), turn_stats and terms below ``path``."""
+    spark = index.turns.sparkSession
     index.turns.write.parquet(f"{path}/turns")
     index.postings.repartitionByRange("term", "file").sortWithinPartitions("term", "file", "msg_index").write.parquet(f"{path}/postings")
     index.turn_stats.write.parquet(f"{path}/turn_stats")
+    build_terms(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/terms")
+
+
+def write_index(index: Index, path: str) -> Index:
+    """The index as written tables below ``path``."""
+    write_tables(index, path)
     return read_index(index.turns.sparkSession, path)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("turns", "postings", "turn_stats")))
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("turns", "postings", "turn_stats", "terms")))
 
 
 def written_index(turns: DataFrame, columns: tuple[str, ...] = ("text",)) -> Index:
@@ -56,12 +91,13 @@ def written_index(turns: DataFrame, columns: tuple[str, ...] = ("text",)) -> Ind
     built = build_index(kept, columns)
     path = fresh_path(turns.sparkSession, "index")
     built.postings.repartitionByRange("term", "file").sortWithinPartitions("term", "file", "msg_index").write.parquet(f"{path}/postings")
-    return Index(kept, turns.sparkSession.read.parquet(f"{path}/postings"), materialise(built.turn_stats, "turn-stats"))
+    postings = turns.sparkSession.read.parquet(f"{path}/postings")
+    return Index(kept, postings, materialise(built.turn_stats, "turn-stats"), materialise(build_terms(postings), "terms"))
 
 
 def update_index(index: Index, changed: DataFrame, turns: DataFrame, columns: tuple[str, ...] = ("text",)) -> Index:
-    """The index after files changed (``file``: new, grown, rewritten or gone) and their turns were read anew: only these are
-    tokenised; all other postings are kept as they are. Write it to a path of its own, then read that one."""
+    """The index after files changed (``file``: new, grown, rewritten or gone) and their turns were read anew, as a whole: only these
+    are tokenised, but writing it writes all postings; ``operators.index_store`` writes what changed."""
     gone, new = changed.select("file").distinct(), build_index(turns, columns)
     parts = [(getattr(index, t), getattr(new, t)) for t in ("turns", "postings", "turn_stats")]
     return Index(*(old.join(gone, "file", "left_anti").select(*old.columns).unionByName(more) for old, more in parts))
@@ -121,31 +157,56 @@ def normalise_queries(queries: DataFrame) -> DataFrame:
 
 
 def prefix_terms(terms: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(query_id, atom_id, term): the terms that start with each atom's prefix.
+    """(query_id, atom_id, term, n): the terms of a dictionary that start with each atom's prefix, and their postings.
 
-    terms: distinct terms; atoms: query_id, atom_id, prefix. An equi-join: every term meets the atoms at
-    its starts of the lengths that prefixes have. A small job finds these lengths while the plan is built.
+    atoms: query_id, atom_id, prefix. A prefix is a range of terms. The first and last terms of the blocks of its first character
+    tell the blocks that hold it, and an equi-join with these blocks reads the terms.
     """
-    lengths = sorted(r[0] for r in atoms.select(F.length("prefix")).distinct().collect())  # as many as query words have lengths
-    starts = F.transform(F.filter(F.array(*map(F.lit, lengths or [0])), lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
-    return terms.withColumn("prefix", F.explode(starts)).join(atoms, "prefix").select(*ATOM, "term")
+    fences = terms.groupBy("gen", "lead", "block").agg(F.min("term").alias("first"), F.max("term").alias("last"))
+    wanted = atoms.where(F.col("prefix") != "").withColumn("lead", F.substring("prefix", 1, 1))
+    # a block ends before the range if its last term is smaller than the prefix; it starts behind it if its first is greater and no continuation
+    ranges = wanted.join(fences, "lead").where((F.col("last") >= F.col("prefix")) & ((F.col("first") <= F.col("prefix")) | F.startswith("first", F.col("prefix"))))
+    found = ranges.select(*ATOM, "prefix", "gen", "lead", "block").join(terms, ["gen", "lead", "block"]).where(F.startswith("term", F.col("prefix")))
+    return found.groupBy(*ATOM, "term").agg(F.sum("n").alias("n"))
 
 
-def match_atoms(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, atom_id, provider, file, msg_index, tf): how often each document holds each atom."""
+def _expanded(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, atom_id, ord, term, size, n, rarest): the terms that may stand for each word of each atom, with their postings; rarest: the
+    word of a phrase whose terms have the fewest."""
     atoms = queries.select(*ATOM, "terms", "is_prefix").dropDuplicates(list(ATOM))
-    parts = atoms.select(*ATOM, "is_prefix", F.size("terms").alias("n"), F.posexplode("terms").alias("ord", "part"))
-    open_end = F.col("is_prefix") & (F.col("ord") == F.col("n") - 1)
-    terms = index.postings.select("term").distinct()
-    wide = prefix_terms(terms, parts.where(open_end).select(*ATOM, F.col("part").alias("prefix"))).withColumn("open", F.lit(True))
-    exact = parts.where(~open_end).select(*ATOM, F.col("part").alias("term"), F.lit(False).alias("open"), "ord")
-    last = parts.where(open_end).select(*ATOM, "ord")
-    expanded = exact.unionByName(wide.join(last, list(ATOM)).select(*ATOM, "term", "open", "ord")).join(atoms.select(*ATOM, F.size("terms").alias("n")), list(ATOM))
-    hits = expanded.join(index.postings, "term")
+    parts = atoms.select(*ATOM, "is_prefix", F.size("terms").alias("size"), F.posexplode("terms").alias("ord", "part"))
+    open_end = F.col("is_prefix") & (F.col("ord") == F.col("size") - 1)
+    counts = index.dictionary().groupBy("term").agg(F.sum("n").alias("n"))
+    exact = parts.where(~open_end).select(*ATOM, "ord", "size", F.col("part").alias("term")).join(counts, "term")
+    last = parts.where(open_end)
+    wide = prefix_terms(index.dictionary(), last.select(*ATOM, F.col("part").alias("prefix"))).join(last.select(*ATOM, "ord", "size"), list(ATOM))
+    columns = (*ATOM, "ord", "size", "term", "n")
+    both = exact.select(*columns).unionByName(wide.select(*columns))
+    by = Window.partitionBy(*ATOM)
+    both = both.withColumn("cost", F.sum("n").over(Window.partitionBy(*ATOM, "ord")))
+    return both.withColumn("rarest", F.min(F.struct("cost", "ord")).over(by)["ord"] == F.col("ord")).drop("cost")
+
+
+def match_atoms(index: Index, queries: DataFrame, part_postings: int = PART_POSTINGS) -> DataFrame:
+    """(query_id, atom_id, provider, file, msg_index, tf): how often each document holds each atom.
+
+    The postings are joined once. Those of a term with many are joined in parts by document, and the atoms that want it copied to
+    its parts. Phrases start from the documents of their rarest word: only there are positions of the others looked at.
+    """
+    wanted = materialise(_expanded(index, queries), "wanted-terms")
+    many = wanted.where(F.col("n") > part_postings).select("term", F.ceil(F.col("n") / part_postings).cast("int").alias("parts")).distinct()
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*DOC), "parts")).cast("int")
+    postings = index.postings.join(many, "term", "left").withColumn("part", part).drop("parts")
+    parts = F.when(F.col("n") > part_postings, F.ceil(F.col("n") / part_postings).cast("int")).otherwise(1)
+    asking = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
     key = (*ATOM, "provider", *DOC)
-    single = hits.where("n = 1").groupBy(*key).agg(F.sum("tf").alias("tf"))
-    places = hits.where("n > 1").select(*key, "n", "col", "ord", F.explode("positions").alias("pos")).withColumn("start", F.col("pos") - F.col("ord"))
-    phrase = places.groupBy(*key, "n", "col", "start").agg(F.count_distinct("ord").alias("m")).where("m = n").groupBy(*key).agg(F.count("*").alias("tf"))
+    hits = asking.join(postings, ["term", "part"]).select(*key, "ord", "size", "rarest", "col", "tf", F.when(F.col("size") > 1, F.col("positions")).alias("positions"))
+    hits = materialise(hits, "postings-met")
+    single = hits.where("size = 1").groupBy(*key).agg(F.sum("tf").alias("tf"))
+    rare = hits.where("size > 1 AND rarest")
+    others = hits.where("size > 1 AND NOT rarest").join(rare.select(*key).distinct(), list(key), "left_semi")
+    places = rare.unionByName(others).select(*key, "size", "col", "ord", F.explode("positions").alias("pos")).withColumn("start", F.col("pos") - F.col("ord"))
+    phrase = places.groupBy(*key, "size", "col", "start").agg(F.count_distinct("ord").alias("m")).where("m = size").groupBy(*key).agg(F.count("*").alias("tf"))
     return single.unionByName(phrase)
 
 
@@ -216,37 +277,79 @@ def search_per_provider(index: Index, queries: DataFrame, k: int = 20, **restric
     return _ranked(filter_hits(bm25_scores(index, queries), index.turns, **restrict), k, ("query_id", "provider"))
 
 
+def best_window(toks: list[str], atoms: list[tuple[list[str], bool]], n_tokens: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """(first, last, brackets) of the window of tokens, counted from one, with the most distinct atoms (the earliest of equals).
+
+    Time is in proportion to tokens and matches: places by term, one sweep with two ends over the matches in order.
+    """
+    places: dict[str, list[int]] = {}
+    for i, t in enumerate(toks, 1):
+        places.setdefault(t, []).append(i)
+    known = sorted(places)
+    found: list[tuple[int, int, int]] = []  # start, end behind it, atom
+    for number, (terms, is_prefix) in enumerate(atoms):
+        n = len(terms)
+        last = known[bisect_left(known, terms[-1]) : bisect_left(known, terms[-1] + chr(0x10FFFF))] if is_prefix else [terms[-1]]
+        ends = {i for t in last for i in places.get(t, ())}
+        starts = {i - n + 1 for i in ends}
+        for at, t in enumerate(terms[:-1]):
+            here = places.get(t, ())
+            starts &= {i - at for i in here}
+        found += [(i, i + n, number) for i in starts if i > 0]
+    found.sort()
+    fit = [f for f in found if f[1] - f[0] <= n_tokens]
+    by_end, held, added, removed = sorted(fit, key=lambda f: f[1]), [0] * len(atoms), 0, 0
+    count, most, first = 0, -1, 1
+    for start in dict.fromkeys(f[0] for f in found):
+        while added < len(by_end) and by_end[added][1] <= start + n_tokens:
+            held[by_end[added][2]] += 1
+            count += held[by_end[added][2]] == 1
+            added += 1
+        while removed < len(fit) and fit[removed][0] < start:
+            held[fit[removed][2]] -= 1
+            count -= held[fit[removed][2]] == 0
+            removed += 1
+        if count > most:
+            most, first = count, start
+    last = min(first + n_tokens - 1, len(toks))
+    brackets: list[tuple[int, int]] = []
+    for a, b, _ in found:
+        a, b = max(a, first), min(b - 1, last)
+        if a > b:
+            continue
+        if brackets and a <= brackets[-1][1]:
+            brackets[-1] = (brackets[-1][0], max(brackets[-1][1], b))
+        else:
+            brackets.append((a, b))
+    return first, last, brackets
+
+
 def snippets(hits: DataFrame, index: Index, queries: DataFrame, n_tokens: int = 250) -> DataFrame:
     """hits with ``snip``: the part of the text of n tokens with the most distinct atoms (the earliest of equals), as it was
-    written, with matches (whole phrases) in brackets and ``…`` where the text is cut. Matches that overlap share brackets."""
+    written, with matches (whole phrases) in brackets and ``…`` where the text is cut. Matches that overlap share brackets.
+
+    The hits' own texts are read, not their postings: a batch has few hits, and postings lie by term, so that those of a hit are everywhere.
+    """
     each = queries.where(~F.col("negated")).select(*ATOM, "terms", "is_prefix").dropDuplicates(list(ATOM))
     wanted = each.groupBy("query_id").agg(F.collect_list(F.struct("terms", "is_prefix")).alias("atoms"))
     text = F.coalesce(F.col("text"), F.lit(""))
     words = index.turns.select("provider", *DOC, F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"), F.split(text, WORD).alias("between"))
     toks = hits.join(words, ["provider", *DOC]).join(wanted, "query_id").where(F.size("words") > 0).withColumn("toks", F.transform("words", fold))
 
-    def starts(a: Column) -> Column:
-        """Where an atom starts (from one)."""
-        n = F.size(a["terms"])
-        same = lambda i, t, ord_: F.when(a["is_prefix"] & (ord_ == n - 1), F.startswith(F.get("toks", i - 1 + ord_), t)).otherwise(F.get("toks", i - 1 + ord_) == t)
-        places = F.when(F.size("toks") >= n, F.sequence(F.lit(1), F.size("toks") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.filter(places, lambda i: F.forall(F.transform(a["terms"], lambda t, ord_: same(i, t, ord_)), lambda ok: ok))
-
-    out = toks.withColumn("found", F.transform("atoms", lambda a: F.struct(F.size(a["terms"]).alias("n"), starts(a).alias("at"))))
-    out = out.withColumn("heads", F.array_sort(F.array_distinct(F.flatten("found.at"))))
-    distinct = lambda i: F.size(F.filter("found", lambda a: F.exists(a["at"], lambda x: (x >= i) & (x + a["n"] <= i + n_tokens))))
-    best = F.aggregate(F.transform("heads", lambda i: F.struct(distinct(i).alias("n"), (-i).alias("at"))), F.struct(F.lit(-1).alias("n"), F.lit(-1).alias("at")), lambda acc, x: F.greatest(acc, x))
-    out = out.withColumn("from", -best["at"]).withColumn("to", F.least(F.col("from") + n_tokens - 1, F.size("toks")))
-    inside = lambda i: F.exists("found", lambda a: F.exists(a["at"], lambda x: (x <= i) & (i < x + a["n"])))
-    joined = lambda i: F.exists("found", lambda a: F.exists(a["at"], lambda x: (x <= i) & (i + 1 < x + a["n"])))  # noqa: E731  a match over i and i + 1
-    first, last = F.col("from"), F.col("to")
+    @F.pandas_udf("from int, to int, brackets array<struct<a: int, b: int>>")
+    def window(toks: pd.Series, atoms: pd.Series) -> pd.DataFrame:
+        rows = [best_window(list(t), [(list(a["terms"]), a["is_prefix"]) for a in each], n_tokens) for t, each in zip(toks, atoms, strict=True)]
+        return pd.DataFrame({"from": [r[0] for r in rows], "to": [r[1] for r in rows], "brackets": [[{"a": a, "b": b} for a, b in r[2]] for r in rows]})
+
+    out = toks.withColumn("w", window("toks", "atoms"))
+    first, last, inside = F.col("w.from"), F.col("w.to"), F.col("w.brackets")
     shown = lambda i: F.concat(
-        F.when(inside(i) & ((i == first) | ~joined(i - 1)), "[").otherwise(""), F.get("words", i - 1),
-        F.when(inside(i) & ((i == last) | ~joined(i)), "]").otherwise(""), F.when(i < last, F.get("between", i)).otherwise(""),
+        F.when(F.exists(inside, lambda x: x["a"] == i), "[").otherwise(""), F.get("words", i - 1),
+        F.when(F.exists(inside, lambda x: x["b"] == i), "]").otherwise(""), F.when(i < last, F.get("between", i)).otherwise(""),
     )
     body = F.array_join(F.transform(F.sequence(first, last), shown), "")
     snip = F.concat(F.when(first > 1, "…").otherwise(""), body, F.when(last < F.size("toks"), "…").otherwise(""))
-    return out.withColumn("snip", snip).drop("words", "between", "toks", "atoms", "found", "heads", "from", "to")
+    return out.withColumn("snip", snip).drop("words", "between", "toks", "atoms", "w")
 
 
 def order_hits(hits: DataFrame, order: str = "score") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthlog.functions.text import parse_time
-from hearthlog.operators import clean, ingest, mentions, search, summarise, windows
+from hearthlog.operators import clean, index_store, ingest, mentions, search, summarise, windows
 from hearthlog.plans import recall as plans
 from hearthlog.sources import adapters, logs, ranges
 from hearthlog.sources.store import Store
@@ -202,6 +202,37 @@ def index_postings(spark, sf_dir):
     return p.select("term", "provider", "file", "msg_index", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
+_COLUMNS = ("text", "role", "file", "ts")
+_WIDE = "cols AS (" + " UNION ALL ".join(f"SELECT provider, file, msg_index, '{c}' AS col, {_TOK.format(x)} AS tk FROM turns" for c, x in zip(_COLUMNS, ("text", "role", "file", "strftime(make_timestamp(sec * 1000000), '%Y-%m-%d %H:%M:%S')"), strict=True)) + ")"
+
+
+@query(f"WITH {_TURNS}, {_WIDE}, each AS (SELECT provider, file, msg_index, col, unnest(tk) AS term, unnest(range(len(tk))) AS pos FROM cols) SELECT term, provider, file, msg_index, col, count(*)::INT AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM each GROUP BY ALL")
+def index_postings_columns(spark, sf_dir):
+    """The index over text, role, file and time."""
+    p = search.build_index(adapters.conversation_turns(spark, sf_dir), _COLUMNS).postings
+    return p.select("term", "provider", "file", "msg_index", "col", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query(f"WITH {_BM25.replace(_TURNS, _TURNS + ', ' + _WIDE).replace('toks AS (SELECT provider, file, msg_index, role, sec, text, ' + _TOK.format('text') + ' AS tk FROM turns)', 'toks AS (SELECT provider, file, msg_index, flatten(list(tk)) AS tk FROM cols GROUP BY ALL)').replace('post AS (SELECT provider, file, msg_index, unnest(tk) AS term, unnest(range(len(tk))) AS pos FROM toks)', 'post AS (SELECT provider, file, msg_index, col, unnest(tk) AS term, unnest(range(len(tk))) AS pos FROM cols)').replace('provider, file, msg_index, pos - ord AS start', 'provider, file, msg_index, col, pos - ord AS start')} SELECT query_id, rank::INT AS rank, provider, file, msg_index, round(score, 4) AS score FROM {_ranked(10)}")
+def bm25_topk_columns(spark, sf_dir):
+    """Search over text, role, file and time, as logs are searched by default."""
+    index = search.written_index(adapters.conversation_turns(spark, sf_dir), _COLUMNS)
+    hits = search.bm25_topk(index, search.normalise_queries(raw_queries(spark, sf_dir)), 10)
+    return hits.select("query_id", "rank", "provider", "file", "msg_index", _score())
+
+
+@query(f"WITH {_BM25} SELECT query_id, rank::INT AS rank, provider, file, msg_index, round(score, 4) AS score FROM {_ranked(10)}")
+def index_generations(spark, sf_dir):
+    """An index of older turns, then two generations that replace files: search is that of a full index."""
+    turns = adapters.conversation_turns(spark, sf_dir)
+    number, store = F.col("file").cast("long") % 5, index_store.IndexStore(spark, fresh_path(spark, "index"))
+    store.update(turns.where("msg_index <= 2").unionByName(turns.where(number == 2).withColumns({"file": F.concat(F.lit("gone"), "file")})))
+    store.update(turns.where(number < 3), turns.where(number < 3).select("file").unionByName(turns.where(number == 2).select(F.concat(F.lit("gone"), "file").alias("file"))))
+    store.update(turns.where(number >= 3))
+    hits = search.bm25_topk(store.read(), search.normalise_queries(raw_queries(spark, sf_dir)), 10)
+    return hits.select("query_id", "rank", "provider", "file", "msg_index", _score())
+
+
 @query(f"WITH {_INDEX} SELECT provider, file, msg_index, len(tk)::INT AS n_tokens FROM toks")
 def index_turn_stats(spark, sf_dir):
     return search.build_index(adapters.conversation_turns(spark, sf_dir)).turn_stats
@@ -225,10 +256,12 @@ def match_boolean(spark, sf_dir):
     return search.match_boolean(*search.matched(*_setup(spark, sf_dir)))
 
 
-@query(f"WITH {_INDEX}, {_QUERIES}, dict AS (SELECT DISTINCT term FROM post) SELECT DISTINCT query_id, atom_id::INT AS atom_id, term FROM atoms JOIN dict ON starts_with(term, terms[1])")
+@query(f"WITH {_INDEX}, {_QUERIES}, dict AS (SELECT term, count(DISTINCT (file, msg_index))::BIGINT AS n FROM post GROUP BY term), each AS (SELECT query_id, atom_id, unnest(terms) AS t, unnest(range(len(terms))) AS i FROM atoms) SELECT DISTINCT query_id, (atom_id * 100 + i)::INT AS atom_id, term, n FROM each JOIN dict ON starts_with(term, t)")
 def prefix_terms(spark, sf_dir):
+    """All words of all atoms as prefixes."""
     index, q = _setup(spark, sf_dir)
-    return search.prefix_terms(index.postings.select("term").distinct(), q.select("query_id", "atom_id", F.get("terms", F.lit(0)).alias("prefix")).distinct())
+    words = q.select("query_id", "atom_id", F.posexplode("terms").alias("i", "prefix"))
+    return search.prefix_terms(index.dictionary(), words.select("query_id", (F.col("atom_id") * 100 + F.col("i")).alias("atom_id"), "prefix").distinct())
 
 
 _PHRASES = rf"""{_INDEX}, ph AS (SELECT query_id, i AS atom_id, t[i + 1] AS a, t[i + 2] AS b FROM (SELECT item_id AS query_id, {_TOK.format('text')} AS t, unnest(range(len(t) - 1)) AS i FROM benchmark))"""

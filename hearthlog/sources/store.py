@@ -28,21 +28,47 @@ class Commit:
     tables: dict[str, Buckets]
 
 
+def _commit_path(path: str, number: int) -> str:
+    return f"{path}/commits/{number:020d}.json"
+
+
+def last_number(spark: SparkSession, path: str) -> int:
+    """The number of the last commit below a path; zero before the first one."""
+    folder, fs = hadoop_path(spark, f"{path}/commits")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_"))), default=0)
+
+
+def load(spark: SparkSession, path: str, number: int) -> dict:
+    return json.loads(spark.read.text(_commit_path(path, number), wholetext=True).first().value)
+
+
+def publish(spark: SparkSession, path: str, number: int, row: dict) -> None:
+    """Make a commit appear: written aside, then renamed, which fails if the number is taken."""
+    jvm = spark.sparkContext._jvm
+    target, fs = hadoop_path(spark, _commit_path(path, number))
+    made, _ = hadoop_path(spark, f"{path}/commits/.{number}-{uuid.uuid4().hex}")
+    out = fs.create(made, True)
+    out.write(bytearray(json.dumps(row | {"number": number}, sort_keys=True).encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    context.rename(fs.makeQualified(made), fs.makeQualified(target), options)
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, key: str = "file", most_generations: int = 8):
         self.spark, self.path, self.buckets, self.key, self.most = spark, path.rstrip("/"), buckets, key, most_generations
 
     def latest(self) -> Commit:
         """The last commit; number zero and no tables before the first one."""
-        folder, fs = hadoop_path(self.spark, f"{self.path}/commits")
-        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_"))]
-        if not numbers:
+        number = last_number(self.spark, self.path)
+        if not number:
             return Commit(0, {})
-        row = json.loads(self.spark.read.text(self._commit_path(max(numbers)), wholetext=True).first().value)
+        row = load(self.spark, self.path, number)
         if row["buckets"] != self.buckets:
             raise ValueError(f"{self.path} has {row['buckets']} buckets, not {self.buckets}")
-        return Commit(row["number"], row["tables"])
+        return Commit(number, row["tables"])
 
     def read(self, table: str, schema: str, commit: Commit | None = None) -> DataFrame:
         """The rows of a table as of a commit (the last one)."""
@@ -66,7 +92,7 @@ class Store:
                 kept[b] = [*kept.get(b, []), generation]
             tables[table] = kept
         commit = Commit(base.number + 1, tables)
-        self._publish(commit)
+        publish(self.spark, self.path, commit.number, {"buckets": self.buckets, "tables": tables})
         return commit
 
     def vacuum(self) -> int:
@@ -85,9 +111,6 @@ class Store:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
 
-    def _commit_path(self, number: int) -> str:
-        return f"{self.path}/commits/{number:020d}.json"
-
     def _rows(self, table: str, schema: str, held: Buckets) -> DataFrame:
         paths = [f"{self.path}/{table}/generation={g}/bucket={b}" for b, generations in sorted(held.items()) for g in generations]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -98,14 +121,3 @@ class Store:
         rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
         folder, fs = hadoop_path(self.spark, path)
         return [n.removeprefix("bucket=") for s in fs.listStatus(folder) if (n := s.getPath().getName()).startswith("bucket=")]
-
-    def _publish(self, commit: Commit) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target, fs = hadoop_path(self.spark, self._commit_path(commit.number))
-        made, _ = hadoop_path(self.spark, f"{self.path}/commits/.{commit.number}-{uuid.uuid4().hex}")
-        out = fs.create(made, True)
-        out.write(bytearray(json.dumps({"number": commit.number, "buckets": self.buckets, "tables": commit.tables}, sort_keys=True).encode()))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        context.rename(fs.makeQualified(made), fs.makeQualified(target), options)

@@ -99,7 +99,7 @@ def test_ingest_into_a_store(spark, tmp_path, monkeypatch):
     (root / "c.jsonl").unlink()
     want = sorted([w for w in want if w[0] not in ("b.jsonl", "c.jsonl")] + [("a.jsonl", 3, "three"), ("b.jsonl", 1, "other")])
     with monkeypatch.context() as m:  # a run that dies between write and commit
-        m.setattr(Store, "_publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        m.setattr("hearthlog.sources.store.publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
         with pytest.raises(KeyboardInterrupt):
             run(True)
     assert store.latest() == before and len(held(store)) == 16
