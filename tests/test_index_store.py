@@ -111,4 +111,4 @@ def test_snippet_of_a_long_turn(spark):
     index = search.Index(df, None, None)
     start = time.time()
     snip = search.snippets(hits, index, q, 50).first().snip
-    assert time.time() - start < 30 and snip.startswith("[alpha] [beta] w1 w2")
+    assert time.time() - start < 30 and snip.startswith("…") and "[alpha] [beta]" in snip and snip.endswith("[w199999]")
