@@ -66,11 +66,17 @@ def build_terms(postings: DataFrame) -> DataFrame:
     return counted.select("term", "n", F.substring("term", 1, 1).alias("lead"), block.alias("block"), F.lit(0).alias("gen"))
 
 
+def _in_order(postings: DataFrame) -> DataFrame:
+    """Postings dealt by term (one of many postings is split by size) and sorted in each file, so that a batch's terms skip row groups.
+    Ranges of the term would need a sample of the postings, for which all turns are tokenised twice."""
+    return postings.hint("rebalance", "term").sortWithinPartitions("term", "file", "msg_index")
+
+
 def write_tables(index: Index, path: str) -> None:
-    """turns, postings (in ranges of the term, so that a batch's terms skip row groups), turn_stats and terms below ``path``."""
+    """turns, postings, turn_stats and terms below ``path``."""
     spark = index.turns.sparkSession
     index.turns.write.parquet(f"{path}/turns")
-    index.postings.repartitionByRange("term", "file").sortWithinPartitions("term", "file", "msg_index").write.parquet(f"{path}/postings")
+    _in_order(index.postings).write.parquet(f"{path}/postings")
     index.turn_stats.write.parquet(f"{path}/turn_stats")
     build_terms(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/terms")
 
@@ -90,7 +96,7 @@ def written_index(turns: DataFrame, columns: tuple[str, ...] = ("text",)) -> Ind
     kept = materialise(turns, "turns")
     built = build_index(kept, columns)
     path = fresh_path(turns.sparkSession, "index")
-    built.postings.repartitionByRange("term", "file").sortWithinPartitions("term", "file", "msg_index").write.parquet(f"{path}/postings")
+    _in_order(built.postings).write.parquet(f"{path}/postings")
     postings = turns.sparkSession.read.parquet(f"{path}/postings")
     return Index(kept, postings, materialise(built.turn_stats, "turn-stats"), materialise(build_terms(postings), "terms"))
 
@@ -182,9 +188,9 @@ def _expanded(index: Index, queries: DataFrame) -> DataFrame:
     wide = prefix_terms(index.dictionary(), last.select(*ATOM, F.col("part").alias("prefix"))).join(last.select(*ATOM, "ord", "size"), list(ATOM))
     columns = (*ATOM, "ord", "size", "term", "n")
     both = exact.select(*columns).unionByName(wide.select(*columns))
-    by = Window.partitionBy(*ATOM)
-    both = both.withColumn("cost", F.sum("n").over(Window.partitionBy(*ATOM, "ord")))
-    return both.withColumn("rarest", F.min(F.struct("cost", "ord")).over(by)["ord"] == F.col("ord")).drop("cost")
+    words = both.where("size > 1").groupBy(*ATOM, "ord").agg(F.sum("n").alias("cost"))
+    rarest = words.groupBy(*ATOM).agg(F.min_by("ord", F.struct("cost", "ord")).alias("rarest"))
+    return both.join(rarest, list(ATOM), "left").withColumn("rarest", F.col("rarest") == F.col("ord"))
 
 
 def match_atoms(index: Index, queries: DataFrame, part_postings: int = PART_POSTINGS) -> DataFrame:
