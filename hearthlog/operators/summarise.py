@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlog.functions.text import rstrip
-from hearthlog.sources.written import materialise
+from hearthlog.sources.written import hadoop_path, materialise
 
 from .clean import rendered
 from .windows import fetch_windows, project_of
@@ -133,23 +133,52 @@ def _summarised(df: DataFrame, prompt: Column, summarise: Summariser, keep: tupl
     return chosen.mapInPandas(run, schema)
 
 
+_ANSWERS = "digest string, summary string"
+
+
+def _answered(df: DataFrame, prompt: Column, summarise: Summariser, keep: tuple[str, ...], answers: str, prompts_per_task: int) -> DataFrame:
+    """The same by way of a table of answers, keyed by a digest of the prompt (template and text): only prompts without one are asked.
+
+    A task asks few prompts and its answers stay as soon as it ends, also if the job fails later (Hadoop's committer of version 2).
+    """
+    spark = df.sparkSession
+    asked = materialise(df.select(*keep, prompt.alias("prompt")).withColumn("digest", F.sha2("prompt", 256)), "prompts")
+    path, fs = hadoop_path(spark, answers)
+    known = spark.read.schema(_ANSWERS).parquet(answers) if fs.exists(path) else spark.createDataFrame([], _ANSWERS)
+    new = asked.select("digest", "prompt").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
+    new = materialise(new, "new-prompts")
+    if n := new.count():
+        dealt = _summarised(new.repartition(-(-n // prompts_per_task)), F.col("prompt"), summarise, ("digest",))
+        dealt.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(answers)
+        known = spark.read.schema(_ANSWERS).parquet(answers)
+    return asked.join(known.groupBy("digest").agg(F.min("summary").alias("summary")), "digest").select(*keep, "summary")
+
+
 def _joined(summaries: DataFrame, by: tuple[str, ...]) -> DataFrame:
     part = F.concat(F.lit("Chunk "), F.col("chunk_index").cast("string"), F.lit("/"), F.col("chunk_total").cast("string"), F.lit(" summary:\n"), F.col("summary"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", part.alias("t")))), lambda x: x["t"])
     return summaries.groupBy(*by).agg(F.array_join(ordered, "\n\n").alias("text"))
 
 
-def map_reduce_summarise(transcripts: DataFrame, summarise: Summariser, max_chars: int, mode: str = "chrono", template: str = DEFAULT_TEMPLATE, by: tuple[str, ...] = ("provider", "file")) -> DataFrame:
+def map_reduce_summarise(transcripts: DataFrame, summarise: Summariser, max_chars: int, mode: str = "chrono", template: str = DEFAULT_TEMPLATE, by: tuple[str, ...] = ("provider", "file"), answers: str | None = None, prompts_per_task: int = 16) -> DataFrame:
     """by, summary. ``chrono``: a labelled summary of every chunk. ``reduce``: while the joined summaries are over
     ``max_chars``, chunk and summarise them again (at most MAX_PASSES times), then consolidate; what fits at once is one call.
 
     Every pass of ``reduce`` is a written table, so that a model is asked once for a prompt, whatever is lost or read again.
+    answers: a folder, one for each model (a run's, say), in which answers are kept as they come. A run that failed half-way goes on from there: it asks
+    no prompt again but those of the ``prompts_per_task`` of the tasks that failed.
+
+    The numbers are filled into the template before the transcript, so that placeholders inside a transcript stay text.
     """
+
+    def ask(df: DataFrame, prompt: Column, keep: tuple[str, ...]) -> DataFrame:
+        return _summarised(df, prompt, summarise, keep) if answers is None else _answered(df, prompt, summarise, keep, answers, prompts_per_task)
+
     prompt = render_prompt(F.col("text"), F.col("chunk_index"), F.col("chunk_total"), template)
     keep = (*by, "chunk_index", "chunk_total")
 
     def summaries(texts: DataFrame) -> DataFrame:
-        return _summarised(chunk_transcripts(texts, max_chars, by), prompt, summarise, keep)
+        return ask(chunk_transcripts(texts, max_chars, by), prompt, keep)
 
     if mode == "chrono":
         return _joined(summaries(transcripts), by).withColumnRenamed("text", "summary")
@@ -161,7 +190,7 @@ def map_reduce_summarise(transcripts: DataFrame, summarise: Summariser, max_char
             break
         joined = _joined(materialise(summaries(over), "summaries"), by)
         over, short = joined.where(F.length("text") > max_chars), short.unionByName(joined.where(F.length("text") <= max_chars))
-    return _summarised(short.unionByName(over), render_prompt(F.col("text"), template=template), summarise, by)
+    return ask(short.unionByName(over), render_prompt(F.col("text"), template=template), by)
 
 
 def joined_digests(digests: DataFrame) -> DataFrame:

@@ -156,6 +156,34 @@ def test_reduce_asks_once(spark, tmp_path):
     assert len(calls) == len(set(calls))
 
 
+@pytest.mark.parametrize("mode", ["chrono", "reduce"])
+def test_a_failed_run_goes_on(spark, tmp_path, mode):
+    asked, broken = tmp_path / "asked", tmp_path / "broken"
+
+    def model(prompts):
+        for p in prompts:
+            if "line 150" in p and broken.exists():
+                raise RuntimeError("the model is gone")
+            with asked.open("a") as f:
+                f.write(json.dumps(p) + "\n")
+        return prompts.str.len().astype(str) + ":" + prompts.str[:30]
+
+    df = spark.createDataFrame([("p", c, "\n".join(f"{c} line {i}" for i in range(200))) for c in "ab"], "provider string, file string, text string")
+    run = lambda **k: sorted(map(tuple, summarise.map_reduce_summarise(df, model, 120, mode, "{{chunk_index}}{{transcript}} .md", **k).collect()))
+    want = run()
+    asked.unlink()
+    broken.touch()
+    with pytest.raises(Exception, match="the model is gone"):
+        run(answers=str(tmp_path / "answers"), prompts_per_task=1)
+    before = asked.read_text().splitlines()
+    assert len(before) > 5
+    broken.unlink()
+    assert run(answers=str(tmp_path / "answers"), prompts_per_task=1) == want
+    calls = asked.read_text().splitlines()
+    assert len(calls) == len(set(calls)) > len(before)
+    assert run(answers=str(tmp_path / "answers")) == want and asked.read_text().splitlines() == calls
+
+
 def test_report_with_inline_commands(spark):
     data = [(1, "user", "x\n```sh\n$ ls\nls\n```\n> make it"), (2, "user", "x\n```sh\n$ ls\nls\n```\n> make it"), (3, "assistant", "done <system-reminder>y</system-reminder>"), (4, "cmd", "$ no")]
     df = spark.createDataFrame([("codex", "f", i, r, t) for i, r, t in data], TURNS)
