@@ -133,25 +133,37 @@ def _summarised(df: DataFrame, prompt: Column, summarise: Summariser, keep: tupl
     return chosen.mapInPandas(run, schema)
 
 
-_ANSWERS = "digest string, summary string"
+_ANSWERS = "digest string, summary string, error string"
 
 
 def _answered(df: DataFrame, prompt: Column, summarise: Summariser, keep: tuple[str, ...], answers: str, prompts_per_task: int) -> DataFrame:
     """The same by way of a table of answers, keyed by a digest of the prompt (template and text): only prompts without one are asked.
 
-    A task asks few prompts and its answers stay as soon as it ends, also if the job fails later (Hadoop's committer of version 2).
+    A task asks few prompts. If asking fails, the error is kept as a row and raised when all tasks have ended, so that no other answer is
+    lost; what a task wrote stays also if the job dies (Hadoop's committer of version 2).
     """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                yield pd.DataFrame({"digest": batch["digest"], "summary": summarise(batch["prompt"]).astype(str).to_numpy(), "error": None})
+            except Exception as e:  # noqa: BLE001  whatever the user's model raises is raised again below
+                yield pd.DataFrame({"digest": batch["digest"], "summary": None, "error": repr(e)})
+
     spark = df.sparkSession
     asked = materialise(df.select(*keep, prompt.alias("prompt")).withColumn("digest", F.sha2("prompt", 256)), "prompts")
     path, fs = hadoop_path(spark, answers)
-    known = spark.read.schema(_ANSWERS).parquet(answers) if fs.exists(path) else spark.createDataFrame([], _ANSWERS)
-    new = asked.select("digest", "prompt").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
+    read = lambda: spark.read.schema(_ANSWERS).parquet(answers) if fs.exists(path) else spark.createDataFrame([], _ANSWERS)
+    new = asked.select("digest", "prompt").dropDuplicates(["digest"]).join(read().where("error IS NULL"), "digest", "left_anti")
     new = materialise(new, "new-prompts")
     if n := new.count():
-        dealt = _summarised(new.repartition(-(-n // prompts_per_task)), F.col("prompt"), summarise, ("digest",))
+        dealt = new.repartition(-(-n // prompts_per_task)).mapInPandas(run, _ANSWERS)
         dealt.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(answers)
-        known = spark.read.schema(_ANSWERS).parquet(answers)
-    return asked.join(known.groupBy("digest").agg(F.min("summary").alias("summary")), "digest").select(*keep, "summary")
+    known = read().where("error IS NULL").groupBy("digest").agg(F.min("summary").alias("summary"))
+    failed = new.join(known, "digest", "left_anti").join(read().where("error IS NOT NULL"), "digest").select("error").first()
+    if failed is not None:
+        raise RuntimeError(f"prompts stay without an answer; one of the errors: {failed.error}")
+    return asked.join(known, "digest").select(*keep, "summary")
 
 
 def _joined(summaries: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -165,8 +177,8 @@ def map_reduce_summarise(transcripts: DataFrame, summarise: Summariser, max_char
     ``max_chars``, chunk and summarise them again (at most MAX_PASSES times), then consolidate; what fits at once is one call.
 
     Every pass of ``reduce`` is a written table, so that a model is asked once for a prompt, whatever is lost or read again.
-    answers: a folder, one for each model (a run's, say), in which answers are kept as they come. A run that failed half-way goes on from there: it asks
-    no prompt again but those of the ``prompts_per_task`` of the tasks that failed.
+    answers: a folder, one for each model (a run's, say), in which answers are kept as they come. A run that failed half-way goes on from there and asks no
+    answered prompt again (prompts of one task, ``prompts_per_task`` at most, fail together).
 
     The numbers are filled into the template before the transcript, so that placeholders inside a transcript stay text.
     """
