@@ -637,6 +637,15 @@ for _p in adapters.PROVIDERS:
     query(_logged(_p, True))(_log_query(_p, True))
 
 
+@query(f"""WITH d AS (SELECT doc_id, doc_id // 20 AS file, {_STRIP.format("concat_ws(chr(10), nullif(source, ''), 'shown ' || doc_id, nullif(text, ''), nullif(lang, ''))")} AS text FROM documents)
+SELECT 'gemini' AS provider, file::BIGINT::VARCHAR AS file, row_number() OVER (PARTITION BY file ORDER BY doc_id) AS msg_index, ['user', 'assistant', 'info'][doc_id % 3 + 1] AS role, text FROM d""")
+def raw_tool_results(spark, sf_dir):
+    """Documents as results of tool calls, deep inside them and with keys in no order, read back as turns of any role."""
+    path = adapters.write_tool_results(spark, sf_dir)
+    turns = logs.read_raw_turns(spark, path, "gemini", glob="*.txt")
+    return turns.select("provider", F.regexp_extract("file", "part=([0-9]+)", 1).alias("file"), "msg_index", "role", "text")
+
+
 @query(_logged("codex", True))
 def append_ingest(spark, sf_dir):
     """Logs of which the state knows the first half of the lines (even conversations) or nothing: after the run all turns stand as in the logs."""

@@ -74,3 +74,16 @@ def write_logs(spark: SparkSession, sf_dir: str, provider: str) -> str:
     lines = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "at")
     lines.select("conv_id", "value").write.partitionBy("conv_id").text(path)
     return path
+
+
+def write_tool_results(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as messages of JSON logs, twenty a file below a fresh shared folder: the source said, and a tool call whose nested result holds text and language."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    result = F.array(F.struct(F.struct(F.array(F.struct(F.col("text").alias("output"), F.lit(1).alias("content"))).alias("y")).alias("z"), F.struct(F.col("lang").alias("text")).alias("a")))
+    call = F.array(F.struct(result.alias("result"), F.concat(F.lit("shown "), "doc_id").alias("resultDisplay")))
+    kind = F.element_at(F.array(*map(F.lit, ("user", "gemini", "info"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    message = F.struct("doc_id", kind.alias("type"), F.col("source").alias("content"), call.alias("toolCalls"))
+    path = f"{fresh_path(spark, 'tool-results')}/chats"
+    each = d.select(F.floor(F.col("doc_id") / 20).alias("part"), message.alias("m")).groupBy("part").agg(F.to_json(F.struct(F.array_sort(F.collect_list("m")).alias("messages"))).alias("value"))
+    each.write.partitionBy("part").text(path)
+    return path

@@ -7,13 +7,12 @@ carry the JSON, so new fields need no schema.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hearthlog.functions.json import member, members, strings_within
 from hearthlog.functions.text import parse_time, strip
 from hearthlog.sources.ranges import RANGE_BYTES, plan_ranges, range_lines, readable
 from hearthlog.sources.written import hadoop_path, materialise
@@ -172,54 +171,32 @@ def read_gemini_turns(spark: SparkSession, path: str, include_tools: bool = Fals
     return _numbered(_emit(m.where(role.isNotNull()), _field("v", "$.timestamp"), rows), "gemini")
 
 
-def _strings(value) -> list[str]:
-    """All ``output``, ``text`` and ``content`` strings at any depth, in document order."""
-    out, stack = [], [value]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, dict):
-            todo = []
-            for k, v in x.items():
-                todo.append(("s", v) if k in ("output", "text", "content") and isinstance(v, str) else ("w", v))
-            stack.extend(reversed(todo))
-        elif isinstance(x, tuple):
-            if x[0] == "s":
-                out.append(x[1])
-            else:
-                stack.append(x[1])
-        elif isinstance(x, list):
-            stack.extend(("w", v) for v in reversed(x))
-    return out
-
-
-def _gemini_raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for file, line, raw in zip(batch["file"], batch["line"], batch["message"], strict=True):
-            m = json.loads(raw)
-            if not isinstance(m, dict):
-                continue
-            kind = m.get("type") or ""
-            role = "assistant" if kind in ("gemini", "assistant", "model") else kind
-            content = m.get("content")
-            if isinstance(content, list):
-                content = "\n".join(i["text"] for i in content if isinstance(i, dict) and isinstance(i.get("text"), str) and i["text"])
-            parts = [content] if isinstance(content, str) and content.strip() else []
-            for call in m.get("toolCalls") or []:
-                if isinstance(call, dict):
-                    parts += [call["resultDisplay"]] if isinstance(call.get("resultDisplay"), str) else []
-                    parts += _strings(call.get("result"))
-            rows.append((file, line, 0, role, str(m.get("timestamp") or ""), "\n".join(p for p in parts if p).strip()))
-        yield pd.DataFrame(rows, columns=["file", "line", "at", "role", "ts_raw", "text"])
+def _gemini_raw(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Rows of the search flavour: content, then each tool call's displayed result and all strings inside its result, in the order of the text."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    whole = text.select(F.col("_metadata.file_path").alias("file"), "value").where(F.expr("schema_of_variant(try_parse_json(value)) LIKE 'OBJECT%'"))
+    said = whole.select("file", member(members(F.col("value"), "OBJECT"), "messages").alias("m"))
+    said = said.select("file", F.posexplode(members(F.col("m.json"), F.col("m.kind"))).alias("line", "m")).where("m.kind = 'OBJECT'")
+    said = said.select("file", "line", F.try_parse_json("m.json").alias("v"), member(members(F.col("m.json"), "OBJECT"), "toolCalls").alias("calls"))
+    none = F.array().cast("array<string>")
+
+    def told(call: Column) -> Column:
+        inner = members(call["json"], call["kind"])
+        shown, result = member(inner, "resultDisplay"), member(inner, "result")
+        return F.concat(F.when(shown["kind"] == "STRING", F.array(shown["json"])).otherwise(none), strings_within(result["json"], result["kind"], ("output", "text", "content")))
+
+    kind, text = F.coalesce(_field("v", "$.type"), F.lit("")), F.when(_is("v", "$.content", "STRING"), _field("v", "$.content"))
+    content = F.when(strip(text) != "", text).when(_is("v", "$.content", "ARRAY"), _content("v", "$.content", False, True))
+    parts = F.concat(F.array(content), F.flatten(F.transform(members(F.col("calls.json"), F.col("calls.kind")), told)))
+    role = F.when(kind.isin("gemini", "assistant", "model"), "assistant").otherwise(kind)
+    return _emit(said, F.coalesce(_field("v", "$.timestamp"), F.lit("")), F.array(_row(0, role, strip(F.array_join(F.filter(parts, lambda p: p != ""), "\n")))))
 
 
 def read_raw_turns(spark: SparkSession, path: str, provider: str, glob: str | None = None) -> DataFrame:
     """The search flavour: timestamps kept, no command rows, any item with a text; tool results folded into the turn."""
     glob = glob or _GLOBS[provider]
     if provider == "gemini":
-        m = _documents(spark, path, glob).select("file", F.expr("posexplode(try_variant_get(d, '$.messages', 'array<variant>'))").alias("line", "v"))
-        rows = m.select("file", "line", F.to_json("v").alias("message")).mapInPandas(_gemini_raw, "file string, line int, at int, role string, ts_raw string, text string")
-        return _numbered(rows, "gemini")
+        return _numbered(_gemini_raw(spark, path, glob), "gemini")
     return _numbered(raw_rows(_lines(spark, path, glob), provider), provider)
 
 

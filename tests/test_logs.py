@@ -99,3 +99,27 @@ def test_stream_equals_batch(spark, tmp_path):
         stream_turns(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), parse).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("msg_index", "text").collect()
     assert sorted(map(tuple, got)) == [(1, "one"), (1, "three"), (2, "two")]
+
+
+def test_raw_gemini_results(spark, tmp_path):
+    """Strings at any depth, in the order of the text and not of their keys, without Python workers."""
+    deep = {"text": "bottom"}
+    for i in range(120):
+        deep = {"x": [deep, {"output": str(i)}]}
+    mixed = {"z": {"output": "first"}, "a": [{"content": "second [\"{", "output": None}, "loose", {"text": {"output": "third\\"}}], "text": "last", "content": 7}
+    said = [
+        {"type": "model", "content": " kept \n", "toolCalls": [{"result": mixed, "resultDisplay": "shown"}, {"resultDisplay": {"no": "string"}}, 5, None]},
+        {"content": [{"type": "text", "text": "one"}, {"text": "two"}, 3], "toolCalls": [{"result": "{\"text\": \"a string, no object\"}"}]},
+        {"type": "user", "content": "", "toolCalls": {"result": mixed}},
+        {"type": "tool", "toolCalls": [{"result": deep}]},
+        "text",
+        None,
+    ]
+    put(tmp_path / "chats/s.json", {"x": 1, "messages": said})
+    put(tmp_path / "chats/none.json", {"messages": None})
+    (tmp_path / "chats/broken.json").write_text('{"messages": [{"type": "user", "content": "x"}')
+    (tmp_path / "chats/empty.json").write_text("")
+    got = logs.read_raw_turns(spark, str(tmp_path), "gemini")
+    deepest = "\n".join(["bottom", *map(str, range(120))])
+    assert rows(got) == [(1, "assistant", "kept \n\nshown\nfirst\nsecond [\"{\nthird\\\nlast"), (2, "", "one\ntwo"), (3, "tool", deepest)]
+    assert "Python" not in got._jdf.queryExecution().toString() and "InPandas" not in got._jdf.queryExecution().toString()
