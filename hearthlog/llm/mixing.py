@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, free_name, materialise
 
 
 def word_count(text: Column) -> Column:
@@ -95,13 +95,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     written: docs is a written table, whose rows are numbered where they stand; otherwise a copy is written first.
     """
-    rows = docs.withColumn("__mix_row", F.monotonically_increasing_id())
+    mark = free_name(docs, "__mix")
+    row, size, taken, part = (f"{mark}{x}" for x in ("row", "size", "taken", "part"))
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
     rows = rows if written else materialise(rows, "mix-rows")
-    plan = plan_mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col="__mix_row", **how)
-    each = plan.select("__mix_row", F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0), 1, F.col("__mix_part").cast("int")), " ")
-    times = F.when(F.col("__mix_size") > 0, F.floor(F.col("__mix_taken") / F.col("__mix_size"))).otherwise(0)
-    parts = F.concat(F.array_repeat(F.col("__mix_size"), times.cast("int")), F.array_repeat(F.col("__mix_taken") - times * F.col("__mix_size"), ((F.col("__mix_taken") - times * F.col("__mix_size")) > 0).cast("int")))
-    repeated = rows.join(each, "__mix_row").withColumn("__mix_part", F.explode(parts))
-    text = F.when(F.col("__mix_part") < F.col("__mix_size"), words).otherwise(F.col(text_col))
+    plan = plan_mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col=row, **how)
+    each = plan.select(row, F.col("size").alias(size), F.col("taken").alias(taken))
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0), 1, F.col(part).cast("int")), " ")
+    times = F.when(F.col(size) > 0, F.floor(F.col(taken) / F.col(size))).otherwise(0)
+    rest = F.col(taken) - times * F.col(size)
+    parts = F.concat(F.array_repeat(F.col(size), times.cast("int")), F.array_repeat(rest, (rest > 0).cast("int")))
+    repeated = rows.join(each, row).withColumn(part, F.explode(parts))
+    text = F.when(F.col(part) < F.col(size), words).otherwise(F.col(text_col))
     return repeated.withColumn(text_col, text).select(*docs.columns)

@@ -17,10 +17,11 @@ there are texts that are alike but not similar enough, mostly: of each bucket th
 shingles are counted for all pairs by a matrix product, as long as the bucket has up to ``group_rows`` texts and
 ``group_bytes`` of sets. Fuller ones go on in rounds, in which each text meets ``centres`` others (the least row of
 each of so many hash classes). So any two texts that share a key have been compared, unless one was found to be a
-near copy of a smaller row before. Components of near copies are the groups.
+near copy of a smaller row before. Such pairs matter only where they join two components: those that meet in a full bucket
+are compared in the end (``_chained``). Components of near copies are the groups.
 
 Defined cases: null and empty texts are one group; repeated rows and ties are near copies; an empty table gives an
-empty result; only the named columns are read and the row number has a name of its own, so others cannot clash.
+empty result; only the named columns are read and the row number takes a name that no column has, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces, release
+from .common import free_name, materialise, pieces, release
 from .simhash_dedup import components, links, majority_bits
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -135,8 +136,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) ->
     return out
 
 
-def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs i < j of similar sets of a group: common members counted for all pairs, some columns at a time."""
+def common_members(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each pair of sets has in common: a matrix product, some columns at a time."""
     sizes = np.array([len(x) for x in sets], np.int64)
     values, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     who = np.repeat(np.arange(len(sets)), sizes)
@@ -150,8 +151,14 @@ def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray
         block = np.zeros((len(sets), 2048), np.float32)
         block[who[part], column[part] - at] = 1
         common += block @ block.T
+    return common
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs i < j of similar sets of a group; similarity: one for all pairs, or a matrix."""
+    sizes = np.array([len(x) for x in sets], np.int64)
     least = np.ceil(similarity / (1 + similarity) * (sizes[:, None] + sizes[None, :]) - 1e-9)
-    return np.nonzero(np.triu(common >= least, 1))
+    return np.nonzero(np.triu(common_members(sets) >= least, 1))
 
 
 def _grouped(members: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -170,6 +177,51 @@ def _grouped(members: DataFrame, texts: DataFrame, n: int, similarity: float) ->
     return out
 
 
+def _compared(members: DataFrame, texts: DataFrame, n: int, similarity: float, group_rows: int, group_bytes: int) -> DataFrame:
+    """(key, a, b): pairs of a group of members (key, row, part, slack, size) in different parts that are similar, or could be but for
+    their slack: each step of slack stands for a distance of 1 - ``similarity``. A group over the limits is compared block by block."""
+    sets = materialise(_sets(texts.join(members.select("row").distinct(), "row", "left_semi"), n), "shingle-sets")
+    load = members.groupBy("key").agg(F.count("*").alias("rows"), (8 * F.sum("size")).alias("bytes"))
+    fits = (F.col("rows") <= group_rows) & (F.col("bytes") <= group_bytes)
+    blocks = F.when(fits, 1).otherwise(F.ceil(F.greatest(2 * F.col("rows") / group_rows, 2 * F.col("bytes") / group_bytes))).cast("int")
+    dealt = members.join(load.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "row", "part", "slack").join(sets, "row")
+
+    def compare(group: pa.Table) -> pa.Table:
+        rows, part, slack = (group.column(c).to_numpy() for c in ("row", "part", "slack"))
+        least = np.maximum(1 - (1 - similarity) * (1 + slack[:, None] + slack[None, :]), 0.0)
+        i, j = similar_pairs([np.frombuffer(x, "<u8") for x in group.column("set").to_pylist()], least)
+        apart = part[i] != part[j]
+        i, j = i[apart], j[apart]
+        return pa.table({"key": np.repeat(group.column("key").to_numpy()[:1], len(i)), "a": np.minimum(rows[i], rows[j]), "b": np.maximum(rows[i], rows[j])})
+
+    out = materialise(dealt.groupBy("key", "i", "j").applyInArrow(compare, "key long, a long, b long").distinct(), "near-compared")
+    release(sets)
+    return out
+
+
+def _chained(crowd: DataFrame, gone: DataFrame, labels: DataFrame, texts: DataFrame, n: int, similarity: float, group_rows: int, group_bytes: int) -> DataFrame:
+    """(a, b): the similar pairs of two components in one bucket that the rounds didn't compare, since one row had left as a near copy.
+
+    crowd: (key, row, size) of full buckets; gone: links (a, b) by which b left. A row stands for those that left over it: by the
+    triangle inequality of the Jaccard distance, rows whose stand-ins differ too much can't be similar. So stand-ins of a bucket that
+    lie in different components are compared first, and the rows only of pairs that are near enough.
+    """
+    over = gone.groupBy(F.col("b").alias("row")).agg(F.min("a").alias("over"))
+    held = crowd.select("key", "row", "size").join(over, "row", "left").join(labels.select(F.col("node").alias("row"), "f"), "row", "left")
+    held = held.select("key", "row", "size", F.coalesce("f", "row").alias("part"), F.coalesce("over", "row").alias("over"), F.col("over").isNotNull().cast("int").alias("left"))
+    mixed = held.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.max("left").alias("left")).where("x <> y AND left = 1")
+    held = materialise(held.join(mixed.select("key"), "key", "left_semi"), "near-mixed")
+    standing = held.groupBy("key", F.col("over").alias("row")).agg(F.min("part").alias("part"), F.max("left").alias("slack"), F.max("size").alias("size"))
+    close = _compared(standing, texts, n, similarity, group_rows, group_bytes)
+    pairs = close.select("key", F.xxhash64("key", "a", "b").alias("pair"), F.explode(F.array("a", "b")).alias("over"))
+    rows = materialise(pairs.join(held, ["key", "over"]).select(F.col("pair").alias("key"), "row", "part", F.lit(0).alias("slack"), "size"), "near-apart")
+    out = _compared(rows, texts, n, similarity, group_rows, group_bytes)
+    release(held, close, rows)
+    return out
+
+
 def _ordered(x: str, y: str) -> tuple:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -213,10 +265,10 @@ def near_copies(texts: DataFrame, n: int = 5, similarity: float = 0.8, bands: in
     full = materialise(counts.where(F.col("n") > _SMALL).select("key", F.col("a").alias("centre")), "near-full", narrow=True)
     crowd = materialise(keys.join(full, "key"), "near-crowds")
     star, centre = crowd.where("row <> centre").select(*_ordered("row", "centre")), full.withColumnRenamed("centre", "row")
-    written = [crowd, full]
+    buckets, written = crowd, []
     golay = _golay_pairs(reps.select("row", "fp"))
     new = _verified(golay.unionByName(_small_pairs(counts)).unionByName(star).distinct(), texts, n, similarity)
-    found, done = [new], [sketches, reps]
+    found, gone, done = [new], [new], [sketches, reps, crowd, full]
     release(counts, golay)
     while True:
         rest = crowd.select("key", "row", "size").join(centre, ["key", "row"], "left_anti").join(new.select(F.col("b").alias("row")).distinct(), "row", "left_anti")
@@ -232,8 +284,14 @@ def near_copies(texts: DataFrame, n: int = 5, similarity: float = 0.8, bands: in
         star, centre = _star(crowd, centres)
         new, written = _verified(star.distinct(), texts, n, similarity), [left, load, centre]
         found.append(new)
+        gone.append(new)
 
     labels = components(reduce(DataFrame.unionByName, found))
+    chains = _chained(buckets, reduce(DataFrame.unionByName, gone), labels, texts, n, similarity, group_rows, group_bytes)
+    found.append(chains)
+    if not chains.isEmpty():
+        release(labels)
+        labels = components(reduce(DataFrame.unionByName, [f.select("a", "b") for f in found]))
     member = reps.select("digest", "row").join(labels.select(F.col("node").alias("row"), F.col("f").alias("group")), "row", "left")
     member = materialise(member.select("digest", F.coalesce("group", "row").alias("group")), "near-groups", narrow=True)
     out = materialise(sketches.select("row", "digest").join(member, "digest").select("row", "group"), "near-copies")
@@ -246,11 +304,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wr
 
     written: docs is a written table, whose rows are numbered where they stand; otherwise a copy is written first.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    mark = free_name(docs, "__row")
+    numbered = docs.withColumn(mark, F.monotonically_increasing_id())
     numbered = numbered if written else materialise(numbered, "rows")
-    groups = near_copies(numbered.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), **how)
-    ids = numbered.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id")).join(groups, "row")
+    groups = near_copies(numbered.select(F.col(mark).alias("row"), F.col(text_col).alias("text")), **how)
+    ids = numbered.select(F.col(mark).alias("row"), F.col(id_col).cast("long").alias("id")).join(groups, "row")
     first = ids.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
-    kept = materialise(first.select(F.col("first.row").alias("__row")), "kept-rows", narrow=True)
+    kept = materialise(first.select(F.col("first.row").alias(mark)), "kept-rows", narrow=True)
     release(groups)
-    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+    return numbered.join(kept, mark, "left_semi").select(*docs.columns)
