@@ -194,6 +194,9 @@ def _compared(members: DataFrame, texts: DataFrame, n: int, similarity: float, g
         i, j = similar_pairs([np.frombuffer(x, "<u8") for x in group.column("set").to_pylist()], least)
         apart = part[i] != part[j]
         i, j = i[apart], j[apart]
+        if not slack.any():  # these are similar, so one link unites two parts
+            one = np.unique(np.sort(np.stack([part[i], part[j]], axis=1), axis=1), axis=0, return_index=True)[1]
+            i, j = i[one], j[one]
         return pa.table({"key": np.repeat(group.column("key").to_numpy()[:1], len(i)), "a": np.minimum(rows[i], rows[j]), "b": np.maximum(rows[i], rows[j])})
 
     out = materialise(dealt.groupBy("key", "i", "j").applyInArrow(compare, "key long, a long, b long").distinct(), "near-compared")
@@ -201,25 +204,34 @@ def _compared(members: DataFrame, texts: DataFrame, n: int, similarity: float, g
     return out
 
 
-def _chained(crowd: DataFrame, gone: DataFrame, labels: DataFrame, texts: DataFrame, n: int, similarity: float, group_rows: int, group_bytes: int) -> DataFrame:
-    """(a, b): the similar pairs of two components in one bucket that the rounds didn't compare, since one row had left as a near copy.
+def _chained(crowd: DataFrame, gone: DataFrame, labels: DataFrame, texts: DataFrame, n: int, similarity: float, group_rows: int, group_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b) and its tables: similar pairs of two components in one bucket that the rounds didn't compare, since one row had left as a near copy.
 
-    crowd: (key, row, size) of full buckets; gone: links (a, b) by which b left. A row stands for those that left over it: by the
+    crowd: (key, row, size) of full buckets; gone: links (a, b) by which b left. A bucket within the limits is compared as a whole, each
+    set once. In a larger one a row stands for those that left over it: by the
     triangle inequality of the Jaccard distance, rows whose stand-ins differ too much can't be similar. So stand-ins of a bucket that
     lie in different components are compared first, and the rows only of pairs that are near enough.
     """
     over = gone.groupBy(F.col("b").alias("row")).agg(F.min("a").alias("over"))
     held = crowd.select("key", "row", "size").join(over, "row", "left").join(labels.select(F.col("node").alias("row"), "f"), "row", "left")
     held = held.select("key", "row", "size", F.coalesce("f", "row").alias("part"), F.coalesce("over", "row").alias("over"), F.col("over").isNotNull().cast("int").alias("left"))
-    mixed = held.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.max("left").alias("left")).where("x <> y AND left = 1")
-    held = materialise(held.join(mixed.select("key"), "key", "left_semi"), "near-mixed")
-    standing = held.groupBy("key", F.col("over").alias("row")).agg(F.min("part").alias("part"), F.max("left").alias("slack"), F.max("size").alias("size"))
+    members = [F.count("*").alias("rows"), (8 * F.sum("size")).alias("bytes"), F.bit_xor(F.xxhash64("row")).alias("h"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("g")]
+    mixed = held.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.max("left").alias("left"), *members).where("x <> y AND left = 1")
+    once = mixed.groupBy("rows", "bytes", "h", "g").agg(F.min("key").alias("key"))  # buckets of the same rows count once
+    whole = (F.col("rows") <= group_rows) & (F.col("bytes") <= group_bytes)
+    held = materialise(held.join(once.select("key", whole.alias("whole")), "key"), "near-mixed")
+    found = _compared(held.where("whole").select("key", "row", "part", F.lit(0).alias("slack"), "size"), texts, n, similarity, group_rows, group_bytes)
+    crowded = held.where("NOT whole")
+    if crowded.isEmpty():
+        release(held)
+        return found, [found]
+    standing = crowded.groupBy("key", F.col("over").alias("row")).agg(F.min("part").alias("part"), F.max("left").alias("slack"), F.max("size").alias("size"))
     close = _compared(standing, texts, n, similarity, group_rows, group_bytes)
     pairs = close.select("key", F.xxhash64("key", "a", "b").alias("pair"), F.explode(F.array("a", "b")).alias("over"))
-    rows = materialise(pairs.join(held, ["key", "over"]).select(F.col("pair").alias("key"), "row", "part", F.lit(0).alias("slack"), "size"), "near-apart")
-    out = _compared(rows, texts, n, similarity, group_rows, group_bytes)
+    rows = materialise(pairs.join(crowded, ["key", "over"]).select(F.col("pair").alias("key"), "row", "part", F.lit(0).alias("slack"), "size"), "near-apart")
+    apart = _compared(rows, texts, n, similarity, group_rows, group_bytes)
     release(held, close, rows)
-    return out
+    return found.unionByName(apart), [found, apart]
 
 
 def _ordered(x: str, y: str) -> tuple:
@@ -287,15 +299,14 @@ def near_copies(texts: DataFrame, n: int = 5, similarity: float = 0.8, bands: in
         gone.append(new)
 
     labels = components(reduce(DataFrame.unionByName, found))
-    chains = _chained(buckets, reduce(DataFrame.unionByName, gone), labels, texts, n, similarity, group_rows, group_bytes)
-    found.append(chains)
+    chains, tables = _chained(buckets, reduce(DataFrame.unionByName, gone), labels, texts, n, similarity, group_rows, group_bytes)
     if not chains.isEmpty():
         release(labels)
-        labels = components(reduce(DataFrame.unionByName, [f.select("a", "b") for f in found]))
+        labels = components(reduce(DataFrame.unionByName, [*found, chains.select("a", "b")]))
     member = reps.select("digest", "row").join(labels.select(F.col("node").alias("row"), F.col("f").alias("group")), "row", "left")
     member = materialise(member.select("digest", F.coalesce("group", "row").alias("group")), "near-groups", narrow=True)
     out = materialise(sketches.select("row", "digest").join(member, "digest").select("row", "group"), "near-copies")
-    release(*done, *found, labels, member)
+    release(*done, *found, *tables, labels, member)
     return out
 
 
