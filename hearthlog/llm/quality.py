@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = 20_000, max_u
     chosen = sample(trusted, max_positives).withColumn("p", F.lit(1)).unionByName(sample(ids, max_unlabelled).withColumn("p", F.lit(0)))
     chosen = chosen.groupBy("id").agg(F.max("p").alias("p"), F.min("p").alias("u"))  # at most max_positives + max_unlabelled rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen.select("id")), "id", "left_semi")
-    rows = texts.mapInArrow(_features, "id long, x array<double>").join(F.broadcast(chosen), "id").orderBy("id").collect()
+    each = texts.mapInArrow(_features, "id long, x array<double>").groupBy("id").agg(F.min("x").alias("x"))  # rows of one id: one of them, whatever their order
+    rows = each.join(F.broadcast(chosen), "id").orderBy("id").collect()
     x = np.array([r.x for r in rows], np.float64).reshape(-1, len(FEATURES))
     p, u = np.array([r.p == 1 for r in rows], bool), np.array([r.u == 0 for r in rows], bool)
     if min(p.sum(), u.sum()) < least_rows:
