@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (local tests) a folder of this machine is chosen once per context.
+    Where the setting is absent, a local session gets a folder of this machine, once per context; on a cluster that raises.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if path is None:
         path = sc.getCheckpointDir()
         if path is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
             sc.setCheckpointDir(path)
     return path.rstrip("/")
