@@ -13,13 +13,14 @@ from hearthlog.llm import decontaminate, mixing, near_copies, quality, token_out
 from hearthlog.llm.common import fresh_path, materialise, table
 from hearthlog.llm.registry import tokenizer_path
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _modest_batches(spark: SparkSession) -> None:
     """Texts go to Python by the thousand, so that executors that run all stages hold little outside the heap."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    if int(spark.conf.get(_BATCH_ROWS)) > 1000:
+        spark.conf.set(_BATCH_ROWS, 1000)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(_BATCH_ROWS)
+    try:
+        for name, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)  # the caller's session stays as it was
+    return docs

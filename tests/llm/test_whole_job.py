@@ -383,3 +383,13 @@ def test_hot_minimisers_of_uneven_batches(spark):
         want[i] = len(gone)
     got = substring_dedup.dedup_substrings(df.withColumnRenamed("id", "doc_id"), bucket_bytes=1 << 12).collect()
     assert {r.doc_id: r.n_removed for r in got} == want
+
+
+def test_fit_takes_one_row_of_an_id(spark):
+    """Many rows of one id count once, whatever their order."""
+    rows = [(i, " ".join(f"w{i}x{j % (i % 7 + 2)}" for j in range(40))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 3 // 2) for i in range(400)], "doc_id long, quality int")
+    again = rows + [(7, f"other text {i}") for i in range(50)]
+    one = [quality.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((again, 2), (again[::-1], 5))]
+    assert np.array_equal(one[0].scores(np.ones((3, len(quality.FEATURES)))), one[1].scores(np.ones((3, len(quality.FEATURES)))))
+    assert one[0].prior == one[1].prior
