@@ -646,11 +646,16 @@ def raw_tool_results(spark, sf_dir):
     return turns.select("provider", F.regexp_extract("file", "part=([0-9]+)", 1).alias("file"), "msg_index", "role", "text")
 
 
+def _codex_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written inventory of conversations as codex logs, which runs read several times."""
+    found = logs.session_inventory(spark, {"codex": adapters.write_logs(spark, sf_dir, "codex")}, {"codex": "*.txt"})
+    return materialise(found.select("path", "mtime", "size"), "inventory")
+
+
 @query(_logged("codex", True))
 def append_ingest(spark, sf_dir):
     """Logs of which the state knows the first half of the lines (even conversations) or nothing: after the run all turns stand as in the logs."""
-    path = adapters.write_logs(spark, sf_dir, "codex")
-    files = logs.session_inventory(spark, {"codex": path}, {"codex": "*.txt"}).select("path", "mtime", "size")
+    files = _codex_inventory(spark, sf_dir)
     number = F.regexp_extract("file", "conv_id=([0-9]+)", 1)
     whole = files.select(F.col("path").alias("file"), F.lit(0).cast("long").alias("offset"), "size")
     lines = ranges.range_lines(ranges.plan_ranges(whole)).where(number.cast("long") % 2 == 0)
@@ -668,7 +673,7 @@ def append_ingest(spark, sf_dir):
 
 def _in_two_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The inventory of codex logs when they were half as long (ends of lines apart), and as they are."""
-    now = logs.session_inventory(spark, {"codex": adapters.write_logs(spark, sf_dir, "codex")}, {"codex": "*.txt"}).select("path", "mtime", "size")
+    now = _codex_inventory(spark, sf_dir)
     return now.withColumns({"mtime": F.timestamp_seconds(F.lit(0)), "size": F.floor(F.col("size") / 2)}), now
 
 

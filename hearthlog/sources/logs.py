@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hearthlog.functions.json import member, members, strings_within
 from hearthlog.functions.text import parse_time, strip
 from hearthlog.sources.ranges import RANGE_BYTES, plan_ranges, range_lines, readable
-from hearthlog.sources.written import hadoop_path, materialise
+from hearthlog.sources.written import hadoop_path, listed_in_few_tasks, materialise
 
 INVENTORY = "path string, provider string, mtime timestamp, size long"
 _GLOBS = {"codex": "*.jsonl", "claude": "*.jsonl", "gemini": "*.json"}
@@ -29,7 +29,8 @@ def session_inventory(spark: SparkSession, roots: dict[str, str], globs: dict[st
         path, fs = hadoop_path(spark, root)
         if not fs.exists(path):
             continue
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", globs[provider]).load(root)
+        with listed_in_few_tasks(spark):
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", globs[provider]).load(root)
         files = files.select("path", F.lit(provider).alias("provider"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
         if provider == "gemini" and not root.rstrip("/").endswith("/chats"):
             files = files.where(F.col("path").contains("/chats/"))
@@ -71,9 +72,15 @@ def _content(v: str, path: str, include_tools: bool, wide: bool = False) -> Colu
     return F.coalesce(strip(F.when(_is(v, path, "STRING"), _field(v, path)).when(_is(v, path, "ARRAY"), items)), F.lit(""))
 
 
+def _texts(spark: SparkSession, path: str, glob: str, whole: bool = False) -> DataFrame:
+    """value: the lines of all files below a path, or their whole texts."""
+    with listed_in_few_tasks(spark):
+        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=whole)
+
+
 def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """file, line (a number ascending in each file), v (the JSON of a line)."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    text = _texts(spark, path, glob)
     return _objects(text.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line"), "value"))
 
 
@@ -151,7 +158,7 @@ def claude_rows(lines: DataFrame, include_tools: bool = False, include_cmds: boo
 
 
 def _documents(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    text = _texts(spark, path, glob, True)
     return text.select(F.col("_metadata.file_path").alias("file"), F.expr("try_parse_json(value)").alias("d"))
 
 
@@ -173,7 +180,7 @@ def read_gemini_turns(spark: SparkSession, path: str, include_tools: bool = Fals
 
 def _gemini_raw(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """Rows of the search flavour: content, then each tool call's displayed result and all strings inside its result, in the order of the text."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    text = _texts(spark, path, glob, True)
     whole = text.select(F.col("_metadata.file_path").alias("file"), "value").where(F.expr("schema_of_variant(try_parse_json(value)) LIKE 'OBJECT%'"))
     said = whole.select("file", member(members(F.col("value"), "OBJECT"), "messages").alias("m"))
     said = said.select("file", F.posexplode(members(F.col("m.json"), F.col("m.kind"))).alias("line", "m")).where("m.kind = 'OBJECT'")

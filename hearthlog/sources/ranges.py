@@ -130,30 +130,30 @@ def range_lines(ranges: DataFrame, partitions: int | None = None, counted: Accum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                path, start, stop = (batch.column(c)[row].as_py() for c in ("file", "start", "stop"))
-                ends: list[int] = []
-                values: list[str] = []
-                held = 0
-
-                def out(row: int = row, path: str = path, start: int = start) -> pa.RecordBatch:
-                    n = len(ends)
-                    columns = [pa.array([path] * n, pa.string()), pa.array([start] * n, pa.int64()), pa.array(ends, pa.int64()), pa.array(values, pa.string())]  # noqa: B023
-                    columns += [pa.array([batch.column(c)[row].as_py()] * n, batch.column(c).type) for c in more]  # noqa: B023
-                    return pa.record_batch(columns, names=["file", "start", "end", "value", *more])
+            rows: list[int] = []  # of the range of each line
+            ends: list[int] = []
+            values: list[str] = []
+            held = 0
 
+            def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                told = batch.select(["file", "start", *more]).take(pa.array(rows, pa.int64()))  # noqa: B023
+                columns = [told.column(0), told.column(1), pa.array(ends, pa.int64()), pa.array(values, pa.string()), *(told.column(i) for i in range(2, told.num_columns))]  # noqa: B023
+                return pa.record_batch(columns, names=["file", "start", "end", "value", *more])
+
+            for row, (path, start, stop) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("file", "start", "stop")), strict=True)):
                 with open_file(path) as opened:
                     file = _Counted(opened)
                     for end, line in lines_of(file, start, stop):
+                        rows.append(row)
                         ends.append(end)
                         values.append(line.decode("utf-8", "replace"))
-                        held += len(line)
-                        if held > _BATCH:
+                        held += len(line) + 64
+                        if held > _BATCH:  # lines of many short ranges go together
                             yield out()
-                            ends, values, held = [], [], 0
+                            rows, ends, values, held = [], [], [], 0
                     if counted is not None:
                         counted.add(file.count)
-                yield out()
+            yield out()
 
     schema = "file string, start long, end long, value string" + "".join(f", `{c}` {fields[c].dataType.simpleString()}" for c in more)
     return ranges.repartition(partitions, "file", "start").mapInArrow(run, schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,18 @@ def materialise(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
     return out
 
 
+@contextmanager
+def listed_in_few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders below a path are listed by some tasks a core: Spark's own setting has up to 10,000, mostly one for each folder of a log."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), max(16, 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hadoop_path(spark: SparkSession, path: str) -> tuple:
     """The Hadoop path and its file system."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

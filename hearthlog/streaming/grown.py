@@ -16,6 +16,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,11 +72,14 @@ class _Numbering(StatefulProcessor):
         self._last = handle.getValueState("last", "epoch int, msg_index long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["epoch", "end", "at"], kind="stable")
-        epoch, index = self._last.get() if self._last.exists() else (-1, 0)
-        within = new.groupby("epoch").cumcount() + 1
-        new["msg_index"] = within.where(new["epoch"] != epoch, within + index).astype("int64")
-        self._last.update((int(new["epoch"].iloc[-1]), int(new["msg_index"].iloc[-1])))
+        parts = list(rows)  # most files have few rows: numpy's part of a call is small
+        new = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        new = new.iloc[np.lexsort((new["at"].to_numpy(), new["end"].to_numpy(), new["epoch"].to_numpy()))]
+        epoch, index = self._last.get() or (-1, 0)
+        epochs = new["epoch"].to_numpy()
+        number = np.arange(1, len(epochs) + 1) - np.searchsorted(epochs, epochs, "left")
+        new = new.assign(msg_index=np.where(epochs == epoch, number + index, number).astype("int64"))
+        self._last.update((int(epochs[-1]), int(new["msg_index"].iloc[-1])))
         yield new[["provider", "file", "epoch", "msg_index", "role", "ts_raw", "text"]]
 
     def close(self) -> None:

@@ -164,3 +164,24 @@ def test_nearest_mention_is_linear(spark):
     both = mentions.between_mention(hits, marks, auto=True)
     assert {(r.previous_index, r.next_index): r["count"] for r in both.groupBy("previous_index", "next_index").count().collect()} == {(None, 1): 1, (1, n): n - 1}
     assert time.time() - start < 30
+
+
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    """One log a folder: listing takes some tasks a core, not one a folder; the setting comes back."""
+    for i in range(120):
+        (tmp_path / f"conv={i}").mkdir()
+        (tmp_path / f"conv={i}" / "a.jsonl").write_text('{"a": 1}\n')
+    name, sc = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    before = spark.conf.get(name)
+    sc.setJobGroup("listing", "")
+    try:
+        files = logs.session_inventory(spark, {"codex": str(tmp_path)})
+        tracker = sc.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing")]
+        tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= max(16, 4 * sc.defaultParallelism) and spark.conf.get(name) == before
+    assert files.count() == 120
+    short = ranges.plan_ranges(files.select(files.path.alias("file"), (files.size * 0).alias("offset"), "size"), 4)
+    assert ranges.range_lines(short, 2).selectExpr("sum(end)", "count(*)", "count(DISTINCT file)").first()[:] == (120 * 9, 120, 120)
