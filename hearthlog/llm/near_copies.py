@@ -210,7 +210,8 @@ def _chained(crowd: DataFrame, gone: DataFrame, labels: DataFrame, texts: DataFr
     crowd: (key, row, size) of full buckets; gone: links (a, b) by which b left. A bucket within the limits is compared as a whole, each
     set once. In a larger one a row stands for those that left over it: by the
     triangle inequality of the Jaccard distance, rows whose stand-ins differ too much can't be similar. So stand-ins of a bucket that
-    lie in different components are compared first, and the rows only of pairs that are near enough.
+    lie in different components are compared first, and the rows only of those that are near enough: these make groups (components
+    within the bucket), which are compared block by block, so that a row comes once a block and not once for each stand-in near its own.
     """
     over = gone.groupBy(F.col("b").alias("row")).agg(F.min("a").alias("over"))
     held = crowd.select("key", "row", "size").join(over, "row", "left").join(labels.select(F.col("node").alias("row"), "f"), "row", "left")
@@ -227,10 +228,12 @@ def _chained(crowd: DataFrame, gone: DataFrame, labels: DataFrame, texts: DataFr
         return found, [found]
     standing = crowded.groupBy("key", F.col("over").alias("row")).agg(F.min("part").alias("part"), F.max("left").alias("slack"), F.max("size").alias("size"))
     close = _compared(standing, texts, n, similarity, group_rows, group_bytes)
-    pairs = close.select("key", F.xxhash64("key", "a", "b").alias("pair"), F.explode(F.array("a", "b")).alias("over"))
-    rows = materialise(pairs.join(crowded, ["key", "over"]).select(F.col("pair").alias("key"), "row", "part", F.lit(0).alias("slack"), "size"), "near-apart")
+    node = lambda row: F.xxhash64("key", row)  # noqa: E731  a chance collision compares more, never less
+    linked = components(close.select(node("a").alias("a"), node("b").alias("b")))
+    near = close.select("key", F.explode(F.array("a", "b")).alias("over")).distinct().withColumn("node", node("over")).join(linked, "node")
+    rows = materialise(near.select("key", "over", "f").join(crowded, ["key", "over"]).select(F.col("f").alias("key"), "row", "part", F.lit(0).alias("slack"), "size"), "near-apart")
     apart = _compared(rows, texts, n, similarity, group_rows, group_bytes)
-    release(held, close, rows)
+    release(held, close, linked, rows)
     return found.unionByName(apart), [found, apart]
 
 

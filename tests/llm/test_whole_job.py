@@ -93,6 +93,29 @@ def test_near_copies_of_chains(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_stand_ins_bring_a_row_once(spark, monkeypatch):
+    """In full buckets rows near to many others are compared in blocks: they are not copied for each stand-in near their own."""
+    seen, real = {"near-mixed": 0, "near-apart": 0}, near_copies.materialise
+
+    def counted(df, tag, *more, **how):
+        out = real(df, tag, *more, **how)
+        if tag in seen:
+            seen[tag] += out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    body = " ".join(f"w{i}" for i in range(60))
+    texts = [f"{body} " + " ".join(f"t{i}x{j}" for j in range(10)) + end for end in ("", " more") for i in range(20)]
+    texts[39] = texts[0] + " again"  # it left over 19, but is near 0
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    crowd = rows.selectExpr("7L AS key", "row", "70 AS size")
+    gone = spark.createDataFrame([(i, i + 20) for i in range(20)], "a long, b long")
+    labels = crowd.selectExpr("row AS node", "row % 20 AS f")
+    found, _ = near_copies._chained(crowd, gone, labels, rows, 5, 0.8, 8, 16 << 20)
+    assert (19, 0) in {(r.b % 20, r.a % 20) for r in found.collect()} | {(r.a % 20, r.b % 20) for r in found.collect()}
+    assert 0 < seen["near-apart"] <= seen["near-mixed"] == 40
+
+
 def test_own_columns_never_clash(spark):
     rows = [(1, "a b c", "s", 5, 6, 7), (2, "a b c", None, 5, 6, 7), (None, None, "s", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __row long, __mixrow long, __MIX_size long")
