@@ -14,8 +14,9 @@ fuller keys (patches that a mass of copies or a common design has):
   keys are rarest. A design on under that share of the descriptors is thus never probed, and nothing is lost.
 * Each probing image is compared with all images of the key while few probe it. Where many do, some of them (the least
   id of each of some hash classes) are compared with all; what is verified as a copy of a smaller id then probes no
-  more (it is still compared by others), and so on until none is left. So every pair of which one image is no copy of
-  a smaller id is compared, without all pairs inside a mass of copies.
+  more (it is still compared by others), and so on until none is left.
+* What was not compared since the image that probes for it had left matters only where it joins two components: in the end all such pairs of
+  two components are compared (``_across``), without all pairs inside a mass of copies.
 
 A candidate is a copy if ``min_inliers`` descriptor matches agree on one similarity transform (rotation, scale and
 shift) and are ``min_share`` of the smaller image's descriptors. Components of copies are the classes.
@@ -244,7 +245,7 @@ def _probes(features: DataFrame, crowd: DataFrame, min_inliers: int, min_share:
 
 
 def _verified(candidates: DataFrame, features: DataFrame, min_inliers: int, min_share: float) -> DataFrame:
-    """The candidates (a, b) that are copies."""
+    """The candidates (a, b), a written table, that are copies."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -256,22 +257,33 @@ def _verified(candidates: DataFrame, features: DataFrame, min_inliers: int, min_
                     found.append((r["a"], r["b"]))
             yield pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    candidates = materialise(candidates, "image-candidates", narrow=True)
     wanted = materialise(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "image-wanted", narrow=True)
     chosen = materialise(features.join(wanted, "id", "left_semi").select("id", "places", "bits"), "image-chosen")
     half = materialise(candidates.join(chosen.select(F.col("id").alias("b"), F.col("places").alias("pb"), F.col("bits").alias("bb")), "b"), "image-half")
     whole = half.join(chosen.select(F.col("id").alias("a"), F.col("places").alias("pa"), F.col("bits").alias("ba")), "a")
     links = materialise(whole.select("a", "b", "pa", "ba", "pb", "bb").mapInArrow(verify, "a long, b long"), "image-links")
-    release(candidates, wanted, chosen, half)
+    release(wanted, chosen, half)
     return links
 
 
+def _across(probes: DataFrame, crowd: DataFrame, links: DataFrame, compared: DataFrame) -> DataFrame:
+    """(a, b): an image that left as a copy of a smaller id and one that its full keys probe for, if they lie in different components and were not
+    compared. Components meet in a key before their images do, so that a mass of copies is one of them."""
+    labels = components(links)
+    part = lambda ids, x: ids.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", F.col("id").alias(x), F.coalesce("f", "id").alias("of_" + x))
+    left = part(probes.join(links.select(F.col("b").alias("id")).distinct(), "id", "left_semi"), "x")
+    other = part(crowd.select("key", "id"), "y")
+    apart = left.select("key", "of_x").distinct().join(other.select("key", "of_y").distinct(), "key").where("of_x <> of_y")
+    met = apart.join(left, ["key", "of_x"]).join(other, ["key", "of_y"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.join(compared, ["a", "b"], "left_anti")
+
+
 #: Probing images of a key that are compared with all at once, in each round: 1 of many at first (most are its copies), then more.
 _CENTRES = (1, 4, 16)
 
 
 def find_copies(features: DataFrame, min_inliers: int = 6, min_share: float = 0.3, bucket_limit: int = 24) -> DataFrame:
-    """id, class_id (the smallest id of its class), n_links (verified links of its distinct image) of every row.
+    """id, class_id (the smallest id of its class), n_links (of its distinct image; inside a mass of copies links that join nothing new are not looked for) of every row.
 
     features: of ``image_features`` or ``page_features``.
     """
@@ -286,7 +298,8 @@ def find_copies(features: DataFrame, min_inliers: int = 6, min_share: float = 0.
     pairs = _pairs(held, full.select("key"), min_inliers)
 
     crowd = materialise(held.join(full, "key").select("key", "id", "n"), "image-crowds")
-    probing, turn, links = materialise(_probes(images, crowd, min_inliers, min_share), "image-probes"), 0, None
+    probes = probing = materialise(_probes(images, crowd, min_inliers, min_share), "image-probes")
+    turn, links, compared = 0, None, None
     while True:
         counts = materialise(probing.groupBy("key").agg(F.count("*").alias("n")), "image-probing", narrow=True)
         if turn and counts.isEmpty():
@@ -298,12 +311,17 @@ def find_copies(features: DataFrame, min_inliers: int = 6, min_share: float = 0.
         asking = probing.join(many, "key", "left_anti").unionByName(centre).select("key", F.col("id").alias("x"))
         met = asking.join(crowd.select("key", "id"), "key").where("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
         pairs = met if pairs is None else pairs.unionByName(met)
-        found = _verified(pairs.distinct(), images, min_inliers, min_share)
+        pairs = materialise(pairs.distinct(), "image-candidates", narrow=True)
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        found = _verified(pairs, images, min_inliers, min_share)
         links, pairs = found if links is None else links.unionByName(found), None
         rest = crowded.join(centre, ["key", "id"], "left_anti").join(found.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
         probing, turn = materialise(rest, "image-probes"), turn + 1
 
     links = materialise(links.distinct(), "all-image-links", narrow=True)
+    across = materialise(_across(probes, crowd, links, compared), "image-candidates", narrow=True)
+    if not across.isEmpty():
+        links = materialise(links.unionByName(_verified(across, images, min_inliers, min_share)), "all-image-links", narrow=True)
     labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = least.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").withColumn("f", F.coalesce("f", "rep"))

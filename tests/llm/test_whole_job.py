@@ -257,6 +257,42 @@ def test_crowded_image_keys_by_brute_force(spark):
     assert got[90][1] == 40
 
 
+def test_images_that_left_join_classes(spark):
+    """Images 10 and 11 are copies of 1 and 2 and left; that they are copies of each other joins both classes."""
+    told = {(1, 10), (2, 11), (10, 11), (1, 12), (2, 13)}
+    ids = (1, 2, 3, 10, 11, 12, 13)
+    crowd = spark.createDataFrame([(7, i) for i in ids], "key long, id long")
+    links = spark.createDataFrame([(1, 10), (2, 11), (1, 12), (2, 13)], "a long, b long")
+    compared = spark.createDataFrame([(a, b) for a in (1, 2, 3) for b in ids if a < b], "a long, b long")
+    met = {(r.a, r.b) for r in image_copies._across(crowd, crowd, links, compared).collect()}
+    assert met == {(10, 11), (10, 13), (11, 12), (12, 13)} and met & told == {(10, 11)}
+
+
+def test_copies_of_different_images_by_brute_force(spark):
+    """Crops of two images, and one picture that holds both: small images that left as copies still find what is copied of them."""
+    rng = np.random.default_rng(11)
+    a, b = noise_image(rng, 56, 60), noise_image(rng, 56, 60)
+    images = [(0, a), (1, b)]
+    for i in range(12):
+        for k, x in enumerate((a, b)):
+            y = x.copy()
+            at = rng.integers(0, 44, 2)
+            y[at[0] : at[0] + 10, at[1] : at[1] + 10] = rng.integers(0, 256)
+            images.append((10 + 2 * i + k, y))
+    both = [np.concatenate([images[2 + 2 * i][1][:, 20:], images[3 + 2 * i][1][:, :40]], axis=1) for i in range(12)]
+    images += [(50 + i, x) for i, x in enumerate(both)]
+    df = spark.createDataFrame(image_rows(images), "id long, height int, width int, pixels binary")
+    got = {r.id: r.class_id for r in image_copies.find_copies(image_copies.image_features(df), bucket_limit=4).collect()}
+    described = {i: image_copies.describe(x.astype(np.uint8)) for i, x in images}
+    top = {i: i for i, _ in images}
+    for i, (p, x) in described.items():
+        for j, (q, y) in described.items():
+            if i < j and (n := image_copies.consensus(p, x, q, y)) >= 6 and n >= 0.3 * min(len(x), len(y)):
+                u, v = sorted((top[i], top[j]))
+                top = {k: u if t == v else t for k, t in top.items()}
+    assert got == top
+
+
 def test_rows_of_one_image_id(spark):
     rng = np.random.default_rng(6)
     x, y = noise_image(rng, 40, 48), noise_image(rng, 40, 48)
