@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthlog.functions.batches import pieces
 from hearthlog.functions.text import rstrip
 from hearthlog.sources.written import hadoop_path, materialise
 
@@ -33,6 +35,8 @@ CHARS_PER_TOKEN = 4
 INPUT_FRACTION = 0.7
 OUTPUT_TOKENS = 1024
 MAX_PASSES = 4
+#: Rows and bytes of texts that are Python objects at a time.
+PIECE_ROWS, PIECE_BYTES = 256, 1 << 20
 
 #: Fixed value: what a summary prompt asks for.
 DEFAULT_TEMPLATE = (
@@ -93,14 +97,21 @@ def chunk_text(text: str, max_chars: int) -> list[str]:
     return [c[i : i + max_chars] for c in chunks for i in range(0, max(len(c), 1), max_chars)]
 
 
+def _schema(df: DataFrame, columns: tuple[str, ...]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def chunk_transcripts(transcripts: DataFrame, max_chars: int, by: tuple[str, ...] = ("provider", "file")) -> DataFrame:
     """by, chunk_index (from one), chunk_total, text. Chunks of a text are found one after the other, those of all texts in parallel."""
+    chosen = transcripts.select(*by, F.coalesce("text", F.lit("")).alias("text"))
 
-    @F.pandas_udf("array<string>")
-    def chunk(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk_text(t or "", max_chars))
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, PIECE_ROWS, PIECE_BYTES):
+            found = pa.array([chunk_text(t, max_chars) for t in batch.column(len(by)).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*by, "c"])
 
-    chunks = transcripts.select(*by, chunk("text").alias("c")).select(*by, F.size("c").alias("chunk_total"), F.posexplode("c").alias("i", "text"))
+    found = chosen.mapInArrow(chunk, _schema(chosen, by) + ", c array<string>")
+    chunks = found.select(*by, F.size("c").alias("chunk_total"), F.posexplode("c").alias("i", "text"))
     return chunks.select(*by, (F.col("i") + 1).alias("chunk_index"), "chunk_total", "text")
 
 
@@ -124,13 +135,13 @@ def first_sentences(n: int = 3) -> Summariser:
 
 def _summarised(df: DataFrame, prompt: Column, summarise: Summariser, keep: tuple[str, ...]) -> DataFrame:
     chosen = df.select(*keep, prompt.alias("prompt"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "prompt") + ", summary string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.drop(columns="prompt").assign(summary=summarise(batch["prompt"]).astype(str).to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, PIECE_ROWS, PIECE_BYTES):
+            said = summarise(batch.column(len(keep)).to_pandas().rename("prompt")).astype(str)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said.to_numpy(), pa.string())], names=[*keep, "summary"])
 
-    return chosen.mapInPandas(run, schema)
+    return chosen.mapInArrow(run, _schema(chosen, keep) + ", summary string")
 
 
 _ANSWERS = "digest string, summary string, error string"

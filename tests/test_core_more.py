@@ -231,3 +231,13 @@ def test_mention_modes(spark):
     found = spark.createDataFrame([("p", "f", 1, ["abc1234"])], "provider string, file string, msg_index long, hashes array<string>")
     assert [r.repo for r in mentions.resolve_commits(found, commits).collect()] == ["q"]
     assert [r.repo for r in mentions.resolve_commits(found, commits, branch_only=True).collect()] == ["r"]
+
+
+def test_summaries_take_few_texts_at_a_time(spark):
+    """What Python holds of a batch is bounded by rows and bytes, whatever Spark's batches are."""
+    df = spark.createDataFrame([("p", f"f{i}", "line\n" * (1 + i % 400) + "x" * (20_000 if i % 9 == 0 else 0)) for i in range(1500)], "provider string, file string, text string").coalesce(1)
+    sizes = lambda s: s.str.len().astype(str) + f" {len(s)} {s.str.len().sum()}"
+    got = [r.summary.split() for r in summarise.map_reduce_summarise(df, sizes, 1_000_000, "reduce", "{{transcript}} .md").collect()]
+    assert len(got) == 1500 and sum(int(n) for n, *_ in got) == sum(5 * (1 + i % 400) + (20_000 if i % 9 == 0 else 0) + 4 for i in range(1500))
+    assert max(int(rows) for _, rows, _ in got) <= 256 and max(int(chars) for *_, chars in got) <= 1 << 20
+    assert summarise.chunk_transcripts(df, 600).groupBy("file").count().count() == 1500
