@@ -14,8 +14,8 @@ Equal sets are taken together first. Candidates among the others come from two k
 Rounds: first, in a bucket of up to three texts all pairs are candidates, and in a fuller one each text meets the
 least row; what is a near copy of a smaller row leaves the full buckets, and so does that least row. What is left
 there are texts that are alike but not similar enough, mostly: of each bucket the sets come together and common
-shingles are counted for all pairs by a matrix product, as long as the bucket has up to ``group_rows`` texts and
-``group_bytes`` of sets. Fuller ones go on in rounds, in which each text meets ``centres`` others (the least row of
+shingles are counted for all pairs by a matrix product (of the similar ones some leave that connect the same, fewer than
+the texts), as long as the bucket has up to ``group_rows`` texts and ``group_bytes`` of sets. Fuller ones go on in rounds, in which each text meets ``centres`` others (the least row of
 each of so many hash classes). So any two texts that share a key have been compared, unless one was found to be a
 near copy of a smaller row before. Such pairs matter only where they join two components: those that meet in a full bucket
 are compared in the end (``_chained``). Components of near copies are the groups.
@@ -161,14 +161,31 @@ def similar_pairs(sets: list[np.ndarray], similarity: float | np.ndarray) -> tup
     return np.nonzero(np.triu(common_members(sets) >= least, 1))
 
 
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the pairs (i, j) of 0 to n - 1, fewer than n, that connect all that these connect."""
+    near = np.zeros((n, n), bool)
+    near[i, j] = near[j, i] = True
+    fresh, found = np.ones(n, bool), []
+    for root in range(n):
+        reached = [root] if fresh[root] else []
+        fresh[root] = False
+        while reached:
+            at = reached.pop()
+            further = np.nonzero(near[at] & fresh)[0]
+            fresh[further] = False
+            reached += further.tolist()
+            found.append((np.full(len(further), at), further))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
 def _grouped(members: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The similar pairs (a, b) within each bucket of members (key, row)."""
+    """Similar pairs (a, b) within each bucket of members (key, row) that connect all that are similar there, fewer than its rows."""
     wanted = members.select("row").distinct()
     sets = materialise(_sets(texts.join(wanted, "row", "left_semi"), n), "shingle-sets")
 
     def compare(group: pa.Table) -> pa.Table:
         rows = group.column("row").to_numpy()
-        i, j = similar_pairs([np.frombuffer(x, "<u8") for x in group.column("set").to_pylist()], similarity)
+        i, j = forest(*similar_pairs([np.frombuffer(x, "<u8") for x in group.column("set").to_pylist()], similarity), len(rows))
         return pa.table({"a": np.minimum(rows[i], rows[j]), "b": np.maximum(rows[i], rows[j])})
 
     pairs = members.select("key", "row").join(sets, "row").groupBy("key").applyInArrow(compare, "a long, b long")
@@ -177,9 +194,10 @@ def _grouped(members: DataFrame, texts: DataFrame, n: int, similarity: float) ->
     return out
 
 
-def _compared(members: DataFrame, texts: DataFrame, n: int, similarity: float, group_rows: int, group_bytes: int) -> DataFrame:
-    """(key, a, b): pairs of a group of members (key, row, part, slack, size) in different parts that are similar, or could be but for
-    their slack: each step of slack stands for a distance of 1 - ``similarity``. A group over the limits is compared block by block."""
+def _compared(members: DataFrame, texts: DataFrame, n: int, similarity: float, group_rows: int, group_bytes: int, between: str) -> DataFrame:
+    """(key, a, b): what is linked by pairs of a group of members (key, row, part, slack, size) in different parts that are similar, or could
+    be but for their slack: each step of slack stands for a distance of 1 - ``similarity``. between: "row", or "part" for links of their parts.
+    Of a group's links come only some that connect the same, fewer than its rows; one over the limits is compared block by block."""
     sets = materialise(_sets(texts.join(members.select("row").distinct(), "row", "left_semi"), n), "shingle-sets")
     load = members.groupBy("key").agg(F.count("*").alias("rows"), (8 * F.sum("size")).alias("bytes"))
     fits = (F.col("rows") <= group_rows) & (F.col("bytes") <= group_bytes)
@@ -189,15 +207,14 @@ def _compared(members: DataFrame, texts: DataFrame, n: int, similarity: float, g
     dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "row", "part", "slack").join(sets, "row")
 
     def compare(group: pa.Table) -> pa.Table:
-        rows, part, slack = (group.column(c).to_numpy() for c in ("row", "part", "slack"))
+        part, slack = (group.column(c).to_numpy() for c in ("part", "slack"))
         least = np.maximum(1 - (1 - similarity) * (1 + slack[:, None] + slack[None, :]), 0.0)
         i, j = similar_pairs([np.frombuffer(x, "<u8") for x in group.column("set").to_pylist()], least)
         apart = part[i] != part[j]
         i, j = i[apart], j[apart]
-        if not slack.any():  # these are similar, so one link unites two parts
-            one = np.unique(np.sort(np.stack([part[i], part[j]], axis=1), axis=1), axis=0, return_index=True)[1]
-            i, j = i[one], j[one]
-        return pa.table({"key": np.repeat(group.column("key").to_numpy()[:1], len(i)), "a": np.minimum(rows[i], rows[j]), "b": np.maximum(rows[i], rows[j])})
+        nodes, at = np.unique(group.column(between).to_numpy(), return_inverse=True)
+        i, j = forest(at[i], at[j], len(nodes))
+        return pa.table({"key": np.repeat(group.column("key").to_numpy()[:1], len(i)), "a": np.minimum(nodes[i], nodes[j]), "b": np.maximum(nodes[i], nodes[j])})
 
     out = materialise(dealt.groupBy("key", "i", "j").applyInArrow(compare, "key long, a long, b long").distinct(), "near-compared")
     release(sets)
@@ -205,7 +222,7 @@ def _compared(members: DataFrame, texts: DataFrame, n: int, similarity: float, g
 
 
 def _chained(crowd: DataFrame, gone: DataFrame, labels: DataFrame, texts: DataFrame, n: int, similarity: float, group_rows: int, group_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b) and its tables: similar pairs of two components in one bucket that the rounds didn't compare, since one row had left as a near copy.
+    """(a, b) and its tables: components (the labels, or single rows) linked by similar pairs in one bucket that the rounds didn't compare, since one row had left as a near copy.
 
     crowd: (key, row, size) of full buckets; gone: links (a, b) by which b left. A bucket within the limits is compared as a whole, each
     set once. In a larger one a row stands for those that left over it: by the
@@ -221,18 +238,18 @@ def _chained(crowd: DataFrame, gone: DataFrame, labels: DataFrame, texts: DataFr
     once = mixed.groupBy("rows", "bytes", "h", "g").agg(F.min("key").alias("key"))  # buckets of the same rows count once
     whole = (F.col("rows") <= group_rows) & (F.col("bytes") <= group_bytes)
     held = materialise(held.join(once.select("key", whole.alias("whole")), "key"), "near-mixed")
-    found = _compared(held.where("whole").select("key", "row", "part", F.lit(0).alias("slack"), "size"), texts, n, similarity, group_rows, group_bytes)
+    found = _compared(held.where("whole").select("key", "row", "part", F.lit(0).alias("slack"), "size"), texts, n, similarity, group_rows, group_bytes, "part")
     crowded = held.where("NOT whole")
     if crowded.isEmpty():
         release(held)
         return found, [found]
     standing = crowded.groupBy("key", F.col("over").alias("row")).agg(F.min("part").alias("part"), F.max("left").alias("slack"), F.max("size").alias("size"))
-    close = _compared(standing, texts, n, similarity, group_rows, group_bytes)
+    close = _compared(standing, texts, n, similarity, group_rows, group_bytes, "row")
     node = lambda row: F.xxhash64("key", row)  # noqa: E731  a chance collision compares more, never less
     linked = components(close.select(node("a").alias("a"), node("b").alias("b")))
     near = close.select("key", F.explode(F.array("a", "b")).alias("over")).distinct().withColumn("node", node("over")).join(linked, "node")
     rows = materialise(near.select("key", "over", "f").join(crowded, ["key", "over"]).select(F.col("f").alias("key"), "row", "part", F.lit(0).alias("slack"), "size"), "near-apart")
-    apart = _compared(rows, texts, n, similarity, group_rows, group_bytes)
+    apart = _compared(rows, texts, n, similarity, group_rows, group_bytes, "part")
     release(held, close, linked, rows)
     return found.unionByName(apart), [found, apart]
 
@@ -303,13 +320,12 @@ def near_copies(texts: DataFrame, n: int = 5, similarity: float = 0.8, bands: in
 
     labels = components(reduce(DataFrame.unionByName, found))
     chains, tables = _chained(buckets, reduce(DataFrame.unionByName, gone), labels, texts, n, similarity, group_rows, group_bytes)
-    if not chains.isEmpty():
-        release(labels)
-        labels = components(reduce(DataFrame.unionByName, [*found, chains.select("a", "b")]))
-    member = reps.select("digest", "row").join(labels.select(F.col("node").alias("row"), F.col("f").alias("group")), "row", "left")
-    member = materialise(member.select("digest", F.coalesce("group", "row").alias("group")), "near-groups", narrow=True)
+    united = components(chains.select("a", "b"))  # of components, each by its smallest row
+    member = reps.select("digest", "row").join(labels.select(F.col("node").alias("row"), F.col("f").alias("part")), "row", "left")
+    member = member.select("digest", F.coalesce("part", "row").alias("part")).join(united.select(F.col("node").alias("part"), F.col("f").alias("group")), "part", "left")
+    member = materialise(member.select("digest", F.coalesce("group", "part").alias("group")), "near-groups", narrow=True)
     out = materialise(sketches.select("row", "digest").join(member, "digest").select("row", "group"), "near-copies")
-    release(*done, *found, *tables, labels, member)
+    release(*done, *found, *tables, labels, united, member)
     return out
 
 

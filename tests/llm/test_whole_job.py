@@ -116,6 +116,53 @@ def test_near_stand_ins_bring_a_row_once(spark, monkeypatch):
     assert 0 < seen["near-apart"] <= seen["near-mixed"] == 40
 
 
+
+def test_groups_of_near_texts_leave_fewer_links_than_rows(spark, monkeypatch):
+    """All texts of a bucket are similar: what leaves it connects them, without all of their pairs, and so do stand-ins and parts."""
+    seen, real = [], near_copies.materialise
+
+    def counted(df, tag, *more, **how):
+        out = real(df, tag, *more, **how)
+        if tag in ("near-links", "near-compared"):
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(i, f"{body} x{i % 20}" + " more" * (i >= 20)) for i in range(40)], "row long, text string")
+    crowd = rows.selectExpr("7L AS key", "row", "61 AS size")
+    links = near_copies._grouped(crowd, rows, 5, 0.8).collect()
+    top = {i: i for i in range(40)}
+    for r in links:
+        assert r.a < r.b
+        u, v = sorted((top[r.a], top[r.b]))
+        top = {k: u if t == v else t for k, t in top.items()}
+    assert set(top.values()) == {0} and seen == [39]
+    gone = spark.createDataFrame([(i, i + 20) for i in range(20)], "a long, b long")
+    labels = crowd.selectExpr("row AS node", "row % 20 AS f")
+    for group_rows in (30, 64):  # by stand-ins, and as a whole
+        seen.clear()
+        found, _ = near_copies._chained(crowd, gone, labels, rows, 5, 0.8, group_rows, 16 << 20)
+        assert {x for r in found.collect() for x in (r.a, r.b)} == set(range(20)) and max(seen) < (120 if group_rows == 30 else 20)
+
+
+def test_forest_connects_what_the_pairs_connect():
+    rng = np.random.default_rng(8)
+    for n, k in ((1, 0), (5, 0), (60, 40), (60, 900)):
+        i, j = rng.integers(0, n, k), rng.integers(0, n, k)
+
+        def parts(pairs, n=n):
+            top = list(range(n))
+            for a, b in pairs:
+                u, v = sorted((top[a], top[b]))
+                top = [u if t == v else t for t in top]
+            return top
+
+        kept = list(zip(*map(np.ndarray.tolist, near_copies.forest(i, j, n)), strict=True))
+        pairs = set(zip(i.tolist(), j.tolist(), strict=True))
+        assert parts(kept) == parts(pairs) and len(kept) == n - len(set(parts(pairs))) and all(p in pairs or p[::-1] in pairs for p in kept)
+
+
 def test_own_columns_never_clash(spark):
     rows = [(1, "a b c", "s", 5, 6, 7), (2, "a b c", None, 5, 6, 7), (None, None, "s", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __row long, __mixrow long, __MIX_size long")
