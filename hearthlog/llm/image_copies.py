@@ -11,7 +11,8 @@ fuller keys (patches that a mass of copies or a common design has):
 
 * A copy needs ``t`` matching descriptors of the smaller image (``min_inliers``, and ``min_share`` of them). So of its d
   descriptors some d - t + 1 hold a match, whichever these are; an image *probes* full keys only by the d - t + 1 whose
-  keys are rarest. A design on under that share of the descriptors is thus never probed, and nothing is lost.
+  keys are rarest. A design on under that share of the descriptors is thus never probed, and nothing is lost. Smaller images probe themselves,
+  so they are left out except where few ask for many.
 * Each probing image is compared with all images of the key while few probe it. Where many do, some of them (the least
   id of each of some hash classes) are compared with all; what is verified as a copy of a smaller id then probes no
   more (it is still compared by others), and so on until none is left.
@@ -157,13 +158,18 @@ def render_page(html: str, width: int = 32) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros((0, width), np.uint8)
 
 
+def _encode(places: np.ndarray) -> bytes:
+    """Places as integers, first the lowest byte of each y, then the next ones: most bytes are zero then, side by side, and compress well."""
+    return np.ascontiguousarray((places * [1, 1, 100, 1]).astype("<i4")).view(np.uint8).T.tobytes()
+
+
 def _descriptor_row(h: int | None, w: int | None, pixels: bytes | None) -> tuple[bytes, bytes, bytes]:
     """Digest of the image, packed places and bits of its descriptors."""
     digest = hashlib.sha256(f"{h}:{w}:".encode() + (b"null" if pixels is None else pixels)).digest()[:16]
     if pixels is None or not h or not w or h * w != len(pixels):
         return digest, b"", b""
     places, bits = describe(np.frombuffer(pixels, np.uint8).reshape(h, w))
-    return digest, (places * [1, 1, 100, 1]).astype("<i4").tobytes(), bits.tobytes()
+    return digest, _encode(places), bits.tobytes()
 
 
 def _rows(ids: pa.Array, rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
@@ -195,7 +201,7 @@ def page_features(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
 
 def _decode(places: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(places, "<i4").reshape(-1, 4) / [1, 1, 100, 1], np.frombuffer(bits, "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(np.frombuffer(places, np.uint8).reshape(16, -1).T).view("<i4") / [1, 1, 100, 1], np.frombuffer(bits, "<u8").reshape(-1, 2)
 
 
 def _keys(features: DataFrame) -> DataFrame:
@@ -212,21 +218,26 @@ def _keys(features: DataFrame) -> DataFrame:
 
 
 def _pairs(held: DataFrame, full: DataFrame, min_inliers: int) -> DataFrame:
-    """(a, b) with a < b that share a key outside full buckets. Every inlier is a descriptor of a with a key that b
+    """(a, b) with a < b that share a key outside full buckets."""
+    return _meeting(held.join(full, "key", "left_anti"), held.join(full, "key", "left_semi"), min_inliers)
+
+
+def _meeting(few: DataFrame, crowded: DataFrame, min_inliers: int) -> DataFrame:
+    """(a, b) with a < b that share a key of few, the rows (id, key, m) outside full buckets. Every inlier is a descriptor of a with a key that b
     has too, so pairs are left out only if a's descriptors with common keys, and all its crowded ones, are too few."""
-    few = held.join(full, "key", "left_anti").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "m"))).alias("ids")).where(F.size("ids") > 1)
+    listed = few.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "m"))).alias("ids")).where(F.size("ids") > 1)
     within = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b.id > a.id), lambda b: F.struct(a.id.alias("a"), b.id.alias("b"), a.m.alias("m")))))
-    pairs = few.select(F.explode(within).alias("e")).select("e.*").groupBy("a", "b").agg(F.sum("m").alias("n"))
-    crowded = held.join(full, "key", "left_semi").groupBy(F.col("id").alias("a")).agg(F.sum("m").alias("more"))
-    return pairs.join(crowded, "a", "left").where(F.col("n") + F.coalesce("more", F.lit(0)) >= min_inliers).select("a", "b")
+    pairs = listed.select(F.explode(within).alias("e")).select("e.*").groupBy("a", "b").agg(F.sum("m").alias("n"))
+    more = crowded.groupBy(F.col("id").alias("a")).agg(F.sum("m").alias("more"))
+    return pairs.join(more, "a", "left").where(F.col("n") + F.coalesce("more", F.lit(0)) >= min_inliers).select("a", "b")
 
 
 def _probes(features: DataFrame, crowd: DataFrame, min_inliers: int, min_share: float) -> DataFrame:
-    """(key, id): the full keys of the rarest descriptors of each image, one of which any copy at least as large matches."""
+    """(key, id, size): the full keys of the rarest descriptors of each image, one of which any copy at least as large matches, and how many descriptors it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            ids, found = [], [np.zeros(0, np.int64)]
+            ids, sizes, found = [], [], [np.zeros(0, np.int64)]
             for id_, bits, full in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 keys = band_keys(np.frombuffer(bits, "<u8").reshape(-1, 2))
                 known, n = (np.array([x[f] for x in full], np.int64) for f in ("key", "n"))
@@ -237,11 +248,12 @@ def _probes(features: DataFrame, crowd: DataFrame, min_inliers: int, min_share:
                 rarest = np.argsort(held.max(axis=1), kind="stable")[: max(0, probing)]
                 probes = np.unique(keys[rarest][held[rarest] > 0])
                 ids.append(np.full(len(probes), id_))
+                sizes.append(np.full(len(probes), len(keys)))
                 found.append(probes)
-            yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64))], names=["key", "id"])
+            yield pa.record_batch([pa.array(np.concatenate(found)), *(pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in (ids, sizes))], names=["key", "id", "size"])
 
     listed = crowd.groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("full"))
-    return features.join(listed, "id").select("id", "bits", "full").mapInArrow(run, "key long, id long")
+    return features.join(listed, "id").select("id", "bits", "full").mapInArrow(run, "key long, id long, size long")
 
 
 def _verified(candidates: DataFrame, features: DataFrame, min_inliers: int, min_share: float) -> DataFrame:
@@ -267,14 +279,14 @@ def _verified(candidates: DataFrame, features: DataFrame, min_inliers: int, min_
 
 
 def _across(probes: DataFrame, crowd: DataFrame, links: DataFrame, compared: DataFrame) -> DataFrame:
-    """(a, b): an image that left as a copy of a smaller id and one that its full keys probe for, if they lie in different components and were not
-    compared. Components meet in a key before their images do, so that a mass of copies is one of them."""
+    """(a, b): an image that left as a copy of a smaller id and one that its full keys probe for (of at least its size, where both have one), if they lie in
+    different components and were not compared. Components meet in a key before their images do, so that a mass of copies is one of them."""
     labels = components(links)
-    part = lambda ids, x: ids.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", F.col("id").alias(x), F.coalesce("f", "id").alias("of_" + x))
+    part = lambda ids, x: ids.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", F.col("id").alias(x), F.coalesce("f", "id").alias("of_" + x), (F.col("size") if "size" in ids.columns else F.lit(0)).alias("size_" + x))
     left = part(probes.join(links.select(F.col("b").alias("id")).distinct(), "id", "left_semi"), "x")
-    other = part(crowd.select("key", "id"), "y")
+    other = part(crowd, "y")
     apart = left.select("key", "of_x").distinct().join(other.select("key", "of_y").distinct(), "key").where("of_x <> of_y")
-    met = apart.join(left, ["key", "of_x"]).join(other, ["key", "of_y"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = apart.join(left, ["key", "of_x"]).join(other, ["key", "of_y"]).where("size_x <= size_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return met.join(compared, ["a", "b"], "left_anti")
 
 
@@ -293,11 +305,12 @@ def find_copies(features: DataFrame, min_inliers: int = 6, min_share: float = 0.
     images = kept.drop("id").withColumnRenamed("row", "id").join(least.select(F.col("rep").alias("id")), "id", "left_semi")
     keys = _keys(images)
     shared = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
-    held = materialise(keys.join(shared.select("key"), "key", "left_semi"), "image-keys")
-    full = shared.where(F.col("n") > bucket_limit)
-    pairs = _pairs(held, full.select("key"), min_inliers)
+    held = materialise(keys.join(shared, "key"), "image-keys")
+    in_full = held.where(F.col("n") > bucket_limit)
+    pairs = _meeting(held.where(F.col("n") <= bucket_limit), in_full, min_inliers)
 
-    crowd = materialise(held.join(full, "key").select("key", "id", "n"), "image-crowds")
+    sizes = images.select("id", F.floor(F.length("bits") / 16).alias("size"))
+    crowd = materialise(in_full.select("key", "id", "n").join(sizes, "id"), "image-crowds")
     probes = probing = materialise(_probes(images, crowd, min_inliers, min_share), "image-probes")
     turn, links, compared = 0, None, None
     while True:
@@ -308,8 +321,8 @@ def find_copies(features: DataFrame, min_inliers: int = 6, min_share: float = 0.
         many = counts.where(F.col("n") > max(centres, 4)).select("key")
         crowded = probing.join(many, "key", "left_semi")
         centre = materialise(crowded.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(centres)).alias("c")).agg(F.min("id").alias("id")).select("key", "id"), "image-centres", narrow=True)
-        asking = probing.join(many, "key", "left_anti").unionByName(centre).select("key", F.col("id").alias("x"))
-        met = asking.join(crowd.select("key", "id"), "key").where("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+        asking = probing.join(many, "key", "left_anti").unionByName(centre.withColumn("size", F.lit(0).cast("long"))).select("key", F.col("id").alias("x"), F.col("size").alias("least"))
+        met = asking.join(crowd.select("key", "id", "size"), "key").where("x <> id AND least <= size").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
         pairs = met if pairs is None else pairs.unionByName(met)
         pairs = materialise(pairs.distinct(), "image-candidates", narrow=True)
         compared = pairs if compared is None else compared.unionByName(pairs)

@@ -315,6 +315,23 @@ def test_images_that_left_join_classes(spark):
     assert met == {(10, 11), (10, 13), (11, 12), (12, 13)} and met & told == {(10, 11)}
 
 
+
+def test_images_are_asked_for_by_the_smaller(spark):
+    """Between classes a pair is compared once, from its smaller image, if both sizes are told."""
+    crowd = spark.createDataFrame([(7, i, size) for i, size in ((1, 50), (2, 50), (10, 30), (11, 40), (12, 60))], "key long, id long, size long")
+    links = spark.createDataFrame([(1, 10), (2, 11), (2, 12)], "a long, b long")
+    compared = links.where("false")
+    met = {(r.a, r.b) for r in image_copies._across(crowd, crowd, links, compared).collect()}
+    assert met == {(2, 10), (10, 11), (10, 12), (1, 11)}  # not (1, 12): 12 is larger and 1 has been compared by itself
+
+
+def test_packed_places_of_descriptors(spark):
+    places = np.array([[0.0, 70000.0, 1.0, 15.0], [33.0, 2.0, 0.5, 0.0], [300.0, 66.0, 0.5, 7.0]])
+    bits = np.arange(6, dtype="<u8").reshape(-1, 2)
+    got, same = image_copies._decode(image_copies._encode(places), bits.tobytes())
+    assert (got == places).all() and (same == bits).all() and len(image_copies._decode(b"", b"")[0]) == 0
+
+
 def test_copies_of_different_images_by_brute_force(spark):
     """Crops of two images, and one picture that holds both: small images that left as copies still find what is copied of them."""
     rng = np.random.default_rng(11)
